@@ -23,3 +23,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rollscope-checkpoint-"))
     return df.checkpoint()
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hold Arrow batches to so many rows, so that long texts don't fill a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
