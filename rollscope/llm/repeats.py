@@ -33,9 +33,9 @@ from rollscope.llm.common import bounded_batches, checkpointed
 LENGTH = 200
 GRAM = 50
 SPAN = LENGTH - GRAM + 1
-STEP = 1 << 20
+STEP = 1 << 17
 HOT = 4096
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -71,17 +71,17 @@ def runs_of(data: bytes | memoryview, ends: np.ndarray) -> Iterator[tuple[np.nda
     """Runs of concatenated texts: (anchor hash, digest, text index, start in the text, windows)."""
     every = np.frombuffer(data, dtype=np.uint8)
     begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    text_of = np.repeat(np.arange(len(ends), dtype=np.int32), ends - begins)
     for low in range(0, len(every), STEP):
         part = every[low : low + STEP + LENGTH - 1]
         if len(part) < LENGTH:
             return
         h, anchor = anchors(part)
-        start = np.arange(len(anchor))
-        text = np.searchsorted(ends, start + low, side="right")
-        inside = start + low + LENGTH <= ends[np.minimum(text, len(ends) - 1)]
-        start, anchor, text = start[inside], anchor[inside], text[inside]
+        text = text_of[low : low + len(anchor)]
+        start = np.flatnonzero(text == text_of[low + LENGTH - 1 : low + LENGTH - 1 + len(anchor)])
         if not len(start):
             continue
+        anchor, text = anchor[start], text[start]
         new = np.ones(len(start), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
         at = np.flatnonzero(new)
@@ -165,6 +165,8 @@ def _mark(keep_first: bool):
         h, s, texts, size = [], [], [], 0
         for frame in frames:
             for row in zip(frame["h"].tolist(), frame["s"].tolist(), frame["run"].tolist(), strict=True):
+                if h and row[:2] == (h[-1], s[-1]):
+                    continue  # the same row of the documents given twice
                 if size >= CHUNK and row[0] != h[-1]:
                     yield h, s, texts
                     h, s, texts, size = [], [], [], 0
@@ -184,13 +186,25 @@ def _mark(keep_first: bool):
 
 
 def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of the runs that are asked for of each text."""
     for frame in frames:
-        for text, doc_id, asked in zip(frame["bytes"], frame["doc_id"], frame["asked"], strict=True):
-            rows = [
-                (x["h"], x["s"], doc_id, x["pos"], x["hot"], text[x["pos"] >> 32 :][: (x["pos"] >> 24 & 255) + LENGTH - 1])
-                for x in asked
-            ]
-            yield pd.DataFrame(rows, columns=["h", "s", "doc_id", "pos", "hot", "run"])
+        if not len(frame):
+            continue
+        n = frame["h"].map(len).to_numpy()
+        pos = np.concatenate(frame["pos"].to_numpy())
+        text = frame["bytes"].to_numpy().repeat(n)
+        start = pos >> 32
+        ends = start + (pos >> 24 & 255) + LENGTH - 1
+        yield pd.DataFrame(
+            {
+                "h": np.concatenate(frame["h"].to_numpy()),
+                "s": np.concatenate(frame["s"].to_numpy()),
+                "doc_id": frame["doc_id"].repeat(n).to_numpy(),
+                "pos": pos,
+                "hot": np.concatenate(frame["hot"].to_numpy()).astype(bool),
+                "run": [t[a:b] for t, a, b in zip(text, start.tolist(), ends.tolist(), strict=True)],
+            }
+        )
 
 
 def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,19 +216,24 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"h": row.h, "s": row.s, "doc_id": row.doc_id, "pos": row.pos, "at": list(runs), "digest": each})
 
 
+def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges as maximal runs in order; ranges that meet are one run."""
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    new = np.concatenate([[True], lo[1:] > reach[:-1]])
+    return lo[new], reach[np.append(np.flatnonzero(new)[1:], len(lo)) - 1]
+
+
 def _removed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
-        for doc_id, text, ranges in zip(frame["doc_id"], frame["bytes"], frame["ranges"], strict=True):
-            runs: list[list[int]] = []
-            for start, end in sorted((int(x["lo"]), int(x["hi"])) for x in (() if ranges is None else ranges)):
-                if runs and start <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], end)
-                else:
-                    runs.append([start, end])
-            cuts = [0, *(x for run in runs for x in run), len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-            out.append((doc_id, len(text), len(text) - len(kept), len(runs), kept, hashlib.sha256(kept).hexdigest()))
+        for doc_id, text, lo, hi in zip(frame["doc_id"], frame["bytes"], frame["lo"], frame["hi"], strict=True):
+            kept, n = text, 0
+            if lo is not None and len(lo):
+                starts, ends = merged(np.asarray(lo), np.asarray(hi))
+                n = len(starts)
+                kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(text)], strict=True))
+            out.append((doc_id, len(text), len(text) - len(kept), n, kept, hashlib.sha256(kept).hexdigest()))
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
@@ -250,28 +269,28 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = T
         .agg(F.collect_list(F.struct("h", "s", F.col("head.pos").alias("pos"), "hot")).alias("asked"))
     )
     same_doc = lambda d, t: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("tag") == F.col(t))
-    once = rows.dropDuplicates(["doc_id", "tag"])
     texts = (
-        once.join(asked, same_doc("a_doc", "a_tag"))
-        .select("doc_id", "bytes", "asked")
+        rows.join(asked, same_doc("a_doc", "a_tag"))
+        .select("doc_id", "bytes", "asked.h", "asked.s", "asked.pos", "asked.hot")
         .mapInPandas(_slices, _RUNS + ", hot boolean, run binary")
     )
     sorted_marks = (
         texts.filter("not hot")
         .select("h", "s", "doc_id", "pos", "run")
         .repartition("h")
-        .sortWithinPartitions("h", "doc_id", "pos")
+        .sortWithinPartitions("h", "doc_id", "pos", "s")
         .mapInPandas(_mark(keep_first), "h long, s long, marks array<int>")
     )
-    windows = texts.filter("hot").mapInPandas(_digests, _RUNS + ", at int, digest binary")
-    copies = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("w_first")).filter("n > 1")
-    marked = windows.join(copies, "digest")
-    if keep_first:
-        marked = marked.filter(place != F.col("w_first"))
-    counted_marks = marked.groupBy("h", "s").agg(
-        F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("marks")
-    )
-    marks = sorted_marks.unionByName(counted_marks)
+    marks = sorted_marks
+    if not per_anchor.filter("hot").isEmpty():
+        windows = texts.filter("hot").dropDuplicates(["h", "s"]).mapInPandas(_digests, _RUNS + ", at int, digest binary")
+        copies = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("w_first")).filter("n > 1")
+        marked = windows.join(copies, "digest")
+        if keep_first:
+            marked = marked.filter(place != F.col("w_first"))
+        marks = marks.unionByName(
+            marked.groupBy("h", "s").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("marks"))
+        )
 
     start = F.shiftright("pos", 32)
     n = F.shiftright("pos", 24).bitwiseAND(255)
@@ -295,7 +314,7 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = T
         .groupBy(F.col("doc_id").alias("r_doc"), tag(F.col("pos")).alias("r_tag"))
         .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     )
-    out = rows.join(ranges, same_doc("r_doc", "r_tag"), "left").select("doc_id", "bytes", "ranges")
+    out = rows.join(ranges, same_doc("r_doc", "r_tag"), "left").select("doc_id", "bytes", "ranges.lo", "ranges.hi")
     done = out.mapInPandas(
         _removed if with_text else _without_text,
         "doc_id long, n_bytes long, n_removed long, n_spans long" + ", kept binary" * with_text + ", kept_sha256 string",
