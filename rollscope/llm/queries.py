@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollscope.llm import chat, licenses, mixing, pii, repeats, secrets, simhash, toxicity
+from rollscope.llm import chat, decontam, licenses, mixing, pii, repeats, secrets, simhash, toxicity
 from rollscope.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
+    "op5_decontam": op5_decontam,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_licenses": op8_licenses,
