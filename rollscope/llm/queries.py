@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollscope.llm import chat, decontam, licenses, mixing, pii, repeats, secrets, simhash, toxicity
+from rollscope.llm import chat, decontam, licenses, mixing, neighbours, pii, repeats, secrets, simhash, toxicity
 from rollscope.llm.common import table
 
 
@@ -43,6 +43,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(embeddings, embeddings.filter("vec_id % 20 = 0"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_licenses": op8_licenses,
+    "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
 }
 
