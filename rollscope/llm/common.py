@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_columns_of(rows: DataFrame, f: Callable, kinds: str, *columns: str) -> DataFrame:
+    """doc_id and the columns that `f` makes of the given ones, in Arrow batches; doc_id itself stays in the JVM."""
+    return rows.select("doc_id", F.pandas_udf(f, kinds)(*columns).alias("_made")).select("doc_id", "_made.*")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hold Arrow batches to so many rows, so that long texts don't fill a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -202,23 +202,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same item_id are one each; null ids are kept. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    columns = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
-    kinds = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+    names = ["item_id", "score", "overlap", "question_overlap", "answer_overlap"]
+    kinds = "array<struct<item_id: long, score: double, overlap: double, question_overlap: double, answer_overlap: double>>"
 
     def scan_with(index: ItemIndex):
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                out = [
-                    (doc_id, index.ids[item], *of)
-                    for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True)
-                    for item, of in sorted(index.leaks(text).items())
-                ]
-                yield pd.DataFrame(out, columns=columns)
+        def found(text: str) -> list[dict]:
+            return [dict(zip(names, (index.ids[i], *of), strict=True)) for i, of in sorted(index.leaks(text).items())]
 
-        return scan
+        return F.pandas_udf(lambda texts: pd.Series([found(t) for t in texts], dtype=object), kinds)
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text")
-    parts = [rows.mapInPandas(scan_with(index), kinds) for index in item_shards(benchmark)]
+    parts = [rows.select("doc_id", F.inline(scan_with(index)("text"))) for index in item_shards(benchmark)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

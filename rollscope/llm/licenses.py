@@ -8,13 +8,14 @@ and with bounded gaps; a template's label is reported if its best chain covers C
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from rollscope.llm.common import bounded_batches
+from rollscope.llm.common import bounded_batches, with_columns_of
 
 MIN_MATCH = 3
 COVERED = 0.75
@@ -178,13 +179,15 @@ class Scanner:
         return len(found), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
-def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    scanner = Scanner()
+@cache
+def _scanner() -> Scanner:
+    return Scanner()
+
+
+def _scan(texts: pd.Series) -> pd.DataFrame:
     columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    for frame in frames:
-        out = pd.DataFrame([scanner.scan(t) for t in frame["text"]], columns=columns)
-        out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-        yield out.astype({"first_word": "Int64", "last_word": "Int64"})
+    out = pd.DataFrame([_scanner().scan(t) for t in texts], columns=columns)
+    return out.astype({"first_word": "Int64", "last_word": "Int64"})
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -195,8 +198,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(coalesce(text, '') as binary) as text")
-    return rows.mapInPandas(
-        _scan,
-        "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
-        "score double",
+    kinds = (
+        "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     )
+    return with_columns_of(rows, _scan, kinds, "text")

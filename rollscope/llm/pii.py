@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rollscope.llm.common import bounded_batches
+from rollscope.llm.common import bounded_batches, with_columns_of
 from rollscope.llm.spans import Span, digest, outside, printed
 from rollscope.llm.tagger import PAD, Tagger, encoded
 
@@ -242,17 +242,16 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """
     tagger = train(docs)
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc_id, (base, every) in zip(frame["doc_id"], every_span(tagger, frame["text"].tolist()), strict=True):
-                n = Counter(kind for kind, _, _ in base)
-                out.append((doc_id, *(n[k] for k in KINDS), digest(base), printed(every)))
-            yield pd.DataFrame(out, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for base, every in every_span(tagger, texts.tolist()):
+            n = Counter(kind for kind, _, _ in base)
+            out.append((*(n[k] for k in KINDS), digest(base), printed(every)))
+        return pd.DataFrame(out, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text")
-    return rows.mapInPandas(scan, f"doc_id long, {counts}, base_sha256 string, spans string")
+    return with_columns_of(rows, scan, f"{counts}, base_sha256 string, spans string", "text")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -269,12 +268,11 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     """The documents with every span masked in `text`; `n_chars` follows if there is one. Null texts stay null."""
     tagger = train(docs)
 
-    def mask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t or "" for t in frame["text"]]
-            new = [masked(t, every) for t, (_, every) in zip(texts, every_span(tagger, texts), strict=True)]
-            frame["text"] = [n if t is not None else None for n, t in zip(new, frame["text"], strict=True)]
-            yield frame
+    def mask(texts: pd.Series) -> pd.Series:
+        whole = [t or "" for t in texts]
+        return pd.Series([masked(t, every) for t, (_, every) in zip(whole, every_span(tagger, whole), strict=True)], dtype=object)
 
-    out = docs.mapInPandas(mask, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), F.pandas_udf(mask, "string")(F.col("text"))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out

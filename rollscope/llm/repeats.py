@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rollscope.llm.common import bounded_batches, checkpointed
+from rollscope.llm.common import bounded_batches, checkpointed, with_columns_of
 
 LENGTH = 200
 GRAM = 50
@@ -224,17 +224,20 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], reach[np.append(np.flatnonzero(new)[1:], len(lo)) - 1]
 
 
-def _removed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for doc_id, text, lo, hi in zip(frame["doc_id"], frame["bytes"], frame["lo"], frame["hi"], strict=True):
-            kept, n = text, 0
-            if lo is not None and len(lo):
-                starts, ends = merged(np.asarray(lo), np.asarray(hi))
-                n = len(starts)
-                kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(text)], strict=True))
-            out.append((doc_id, len(text), len(text) - len(kept), n, kept, hashlib.sha256(kept).hexdigest()))
-        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+def _removed(texts: pd.Series, los: pd.Series, his: pd.Series) -> pd.DataFrame:
+    out = []
+    for text, lo, hi in zip(texts, los, his, strict=True):
+        kept, n = text, 0
+        if lo is not None and len(lo):
+            starts, ends = merged(np.asarray(lo), np.asarray(hi))
+            n = len(starts)
+            kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(text)], strict=True))
+        out.append((len(text), len(text) - len(kept), n, kept, hashlib.sha256(kept).hexdigest()))
+    return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+
+def _without_text(texts: pd.Series, los: pd.Series, his: pd.Series) -> pd.DataFrame:
+    return _removed(texts, los, his).drop(columns="kept")
 
 
 def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = True) -> DataFrame:
@@ -316,13 +319,5 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = T
         .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     )
     out = rows.join(ranges, same_doc("r_doc", "r_tag"), "left").select("doc_id", "bytes", "ranges.lo", "ranges.hi")
-    done = out.mapInPandas(
-        _removed if with_text else _without_text,
-        "doc_id long, n_bytes long, n_removed long, n_spans long" + ", kept binary" * with_text + ", kept_sha256 string",
-    )
-    return done
-
-
-def _without_text(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in _removed(frames):
-        yield frame.drop(columns="kept")
+    kinds = "n_bytes long, n_removed long, n_spans long" + ", kept binary" * with_text + ", kept_sha256 string"
+    return with_columns_of(out, _removed if with_text else _without_text, kinds, "bytes", "lo", "hi")

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from rollscope.llm.common import bounded_batches
+from rollscope.llm.common import bounded_batches, with_columns_of
 from rollscope.llm.spans import Span, digest, outside, printed
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -131,15 +131,14 @@ def lexed_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda x: x[1:])
 
 
-def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-            base = base_spans(text)
-            n = Counter(kind for kind, _, _ in base)
-            every = sorted(base + outside(lexed_spans(text), base), key=lambda x: (x[1], KINDS.index(x[0])))
-            out.append((doc_id, n["assign"], n["access"], n["hex"], digest(base), printed(every)))
-        yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+def _scan(texts: pd.Series) -> pd.DataFrame:
+    out = []
+    for text in texts:
+        base = base_spans(text)
+        n = Counter(kind for kind, _, _ in base)
+        every = sorted(base + outside(lexed_spans(text), base), key=lambda x: (x[1], KINDS.index(x[0])))
+        out.append((n["assign"], n["access"], n["hex"], digest(base), printed(every)))
+    return pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -149,6 +148,5 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text")
-    return rows.mapInPandas(
-        _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    )
+    kinds = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    return with_columns_of(rows, _scan, kinds, "text")

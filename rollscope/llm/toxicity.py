@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -279,12 +279,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     model = train(docs, labels)
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": model.scores(frame["text"])})
-
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text")
-    return rows.mapInPandas(score, "doc_id long, score double").select(
+    score = F.pandas_udf(lambda texts: pd.Series(model.scores(texts)), "double")
+    return rows.select("doc_id", score("text").alias("score")).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
