@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rollscope.llm.common import checkpointed
+
 GOLDEN = 0.6180339887498949
 SLOTS = 65536
 BUCKETS = 4096
@@ -103,7 +105,8 @@ def mix(docs: DataFrame, slots: int = SLOTS, seed: int = 7) -> tuple[DataFrame,
     side by side as separate stretches of the stream; ties in the shuffle hash go by doc_id, then size.
     Reruns agree: the shuffle hash is a function of doc_id and the seed.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    # Counted once: texts are read a single time, what follows works on three narrow columns.
+    sized = checkpointed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     t = targets.withColumnRenamed("source", "t_source")
