@@ -2,7 +2,8 @@
 
 The kernel of two words sums their common subsequences of ORDER letters, each weighted by DECAY to the power of
 the stretches it covers, so gapped spellings and inserted characters still match. Words are compared as letters
-only (`i.d.i.o.t` is `idiot`, digits stand for the letters they imitate, lone letters in a row are one word), and a
+only (`i.d.i.o.t` is `idiot`, digits stand for the letters they imitate, lone letters in a row are one word) after a
+mark of the word's start, and a
 word counts for a landmark only if it has all of the landmark's letters.
 
 A text's features are, for each landmark, the highest kernel value of any of its words, over the landmark's own,
@@ -30,13 +31,14 @@ from rollscope.llm.common import bounded_batches
 
 ORDER = 3
 DECAY = 0.6
-LANDMARKS = 64
+LANDMARKS = 104
 CLEAN_LANDMARKS = 8
 TRAIN_TEXTS = 1500
 TRAIN_CHARS = 20_000
-LONGEST = 24
+LONGEST = 26
+START = "^^"
 HELD_OUT = 5
-LEAST = 0.45
+LEAST = 0.55
 SURE = 0.9
 
 SENTENCE = re.compile(r"[.!?]\s|\n")
@@ -55,8 +57,8 @@ def words_of(text: str) -> set[str]:
 
 
 def letters(word: str) -> list[str]:
-    """The letters of a word, in overlapping parts of LONGEST if there are more."""
-    kept = word if word.isalpha() else "".join(filter(str.isalpha, word.translate(IMITATED)))
+    """START and the letters of a word, in overlapping parts of LONGEST if there are more."""
+    kept = START + (word if word.isalpha() else "".join(filter(str.isalpha, word.translate(IMITATED))))
     if len(kept) <= LONGEST:
         return [kept]
     return [kept[i : i + LONGEST] for i in range(0, len(kept) - LONGEST // 2, LONGEST // 2)]
@@ -154,19 +156,19 @@ def telling_strings(toxic: list[set[str]], clean: list[set[str]], most: int) ->
 
     Each is grown while nearly all of the words that hold it go on alike, and its words are then done with.
     """
-    plain = [{x for w in text for x in letters(w) if len(x) > ORDER} for text in toxic]
-    other = Counter(x for text in clean for x in {x for w in text for x in letters(w) if len(x) > ORDER})
-    new = [{w for w in text if w not in other} | {w for w in text if other[w] * len(toxic) < 0.05 * len(clean)} for text in plain]
-    grams_of = lambda w: {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)}
+    plain = [{x for w in text for x in letters(w) if len(x) > len(START) + ORDER} for text in toxic]
+    other = Counter(x for text in clean for x in {x for w in text for x in letters(w) if len(x) > len(START) + ORDER})
+    new = [{w for w in text if other[w] * len(toxic) < 0.05 * len(clean)} for text in plain]
+    grams_of = lambda w: {w[i : i + n] for n in (4, 5) for i in range(1, len(w) - n + 1)} | {w[1:]}
     held = Counter(w for text in new for w in text)
     holders: dict[str, list[str]] = {}
     for w in held:
         for g in grams_of(w):
             holders.setdefault(g, []).append(w)
     counts = {g: sum(held[w] for w in ws) for g, ws in holders.items()}
-    need = max(3, round(0.03 * len(toxic)))
+    need = max(3, round(0.02 * len(toxic)))
     asked = {g for g, n in counts.items() if n >= need}
-    elsewhere = Counter(g for w, n in other.items() if held.get(w) is None or n for g in grams_of(w) & asked)
+    elsewhere = Counter(g for w in other for g in grams_of(w) & asked)
     found: list[str] = []
     done: set[str] = set()
     for gram in sorted(asked, key=lambda g: (-counts[g], -len(g), g)):
@@ -175,7 +177,7 @@ def telling_strings(toxic: list[set[str]], clean: list[set[str]], most: int) ->
         if n < need or len(found) >= most or elsewhere[gram] * len(toxic) > 0.02 * n * max(1, len(clean)):
             continue
         grown = gram
-        while len(grown) < 12:
+        while len(grown) < 14:
             ways = Counter()
             for w in words:
                 at = w.find(grown)
@@ -212,9 +214,10 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     x, w = np.stack([margin, np.ones(len(y))], axis=1), np.array([2.0, 0.0])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w - np.linalg.solve(h, x.T @ (q - p) + 1e-3 * (w - [2.0, 0.0]))
-    return float(w[0]), float(w[1])
+        h = (x * (q * (1 - q))[:, None]).T @ x + np.eye(2)
+        step = np.linalg.solve(h, x.T @ (q - p) + (w - [2.0, 0.0]))
+        w = w - step / max(1.0, np.abs(step).max())
+    return float(max(w[0], 0.5)), float(w[1])
 
 
 class Model:
@@ -229,7 +232,7 @@ class Model:
         if self.constant is not None:
             return
         strings = telling_strings(bad, good, LANDMARKS - CLEAN_LANDMARKS)
-        usual = Counter(x for s in good for w in s for x in letters(w) if 6 <= len(x) <= 8)
+        usual = Counter(x for s in good for w in s for x in letters(w) if 8 <= len(x) <= 10)
         usual = [w for w, _ in sorted(usual.items(), key=lambda x: (-x[1], x[0])) if not any(t in w or w in t for t in strings)]
         self.landmarks = Landmarks(strings + usual[:CLEAN_LANDMARKS])
         raw = self.landmarks.features(sets)
