@@ -52,7 +52,8 @@ def words_of(text: str) -> set[str]:
     low = text.lower()
     found = set(low.split())
     for run in LONE.findall(low):
-        found.add("".join(run.split()))
+        parts = run.split()
+        found.update(("".join(parts), "".join(parts[1:])))  # the first may be a word of its own
     return found
 
 
@@ -239,8 +240,9 @@ class Model:
         parts = [words_of(x) for t, v in zip(texts, y, strict=True) if v > 0 for x in SENTENCE.split(t) if x]
         sentences = self.landmarks.features(parts)
         sentences = sentences[sentences[:, : len(strings)].max(axis=1, initial=0.0) >= SURE]
-        both = np.concatenate([raw, sentences]) @ self.landmarks.whiten
-        w, b = support_vectors(both, np.concatenate([y, np.ones(len(sentences))]))
+        nothing = np.zeros((1 + len(y) // 20, raw.shape[1]))  # a text without any of the strings is not toxic
+        both = np.concatenate([raw, sentences, nothing]) @ self.landmarks.whiten
+        w, b = support_vectors(both, np.concatenate([y, np.ones(len(sentences)), -np.ones(len(nothing))]))
         self.weights, self.bias = self.landmarks.whiten @ w, b
         self.slope, self.offset = platt(raw @ self.weights + b, y)
 
