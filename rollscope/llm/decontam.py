@@ -63,7 +63,7 @@ class ItemIndex:
     """The inverted index of some items: postings by term in item order, in blocks with their largest impact."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        items = [(i, t) for i, t in sorted(items, key=lambda x: (x[0], x[1] or "")) if words(t)]
+        items = [(i, t) for i, t in sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")) if words(t)]
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
         self.parts = [question_and_answer(t) for _, t in items]
