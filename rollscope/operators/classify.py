@@ -42,7 +42,8 @@ class NaiveBayes:
         )
         distinct = names.select(F.col(column).alias("name")).na.drop().distinct()
         size = F.greatest(F.length("name") - (self.n - 1), F.lit(0))
-        every = distinct.crossJoin(self.labels)  # one row a name and label, as the result has
+        known = self.labels.agg(F.collect_list(F.struct("label", "prior", "base")).alias("_known"))  # one row
+        every = distinct.crossJoin(F.broadcast(known)).select("name", F.inline("_known"))
         return every.join(seen, ["name", "label"], "left").select(
             "name", "label", F.round(F.col("prior") + F.coalesce("gain", F.lit(0.0)) - size * F.col("base"), 6).alias("score")
         )

@@ -24,17 +24,14 @@ def _nearest(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
 def edit_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, mode: str = "blocked", column: str = "last_name") -> DataFrame:
     """(query, neighbour, distance, rank): the k corpus names at the least edit distance, ties by name.
 
-    Both modes are exact. `exact` compares every distinct query with every name. `blocked` first takes the k-th
-    distance among names with the query's first two letters and about its length, which is an upper bound, and
-    then compares only names whose length is within it, with a distance that gives up beyond it. Names meet on
-    an equi-join of lengths, so Spark can split a common length; queries without k names in their block meet all.
+    Both modes give the same rows. `blocked` first takes the k-th distance among names with the query's first two
+    letters and about its length, which is an upper bound, and then compares only names whose length is within it,
+    with a distance that gives up beyond it; `exact` does without bounds. Names meet on an equi-join of lengths,
+    so Spark can split a common length; queries without k names in their block meet all.
     """
     asked = queries.select(F.col(column).alias("query")).filter("query is not null").distinct()
     names = corpus.select(F.col("last_name").alias("neighbour")).filter("neighbour is not null").distinct()
     by_name = (F.col("distance"), F.col("neighbour"))
-    if mode == "exact":
-        pairs = asked.crossJoin(names).withColumn("distance", F.levenshtein("query", "neighbour"))
-        return _nearest(pairs, k, *by_name)
     sized = names.withColumn("_n", F.length("neighbour"))
     near = asked.withColumn("_n", F.explode(F.array(*(F.length("query") + d for d in (-1, 0, 1)))))
     block = (
@@ -43,6 +40,8 @@ def edit_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, mode: str = "blo
         .withColumn("distance", F.levenshtein("query", "neighbour"))
     )
     bounds = _nearest(block, k, *by_name).filter(F.col("rank") == k).select("query", F.col("distance").alias("bound"))
+    if mode == "exact":
+        bounds = bounds.filter("false")
     longest = names.agg(F.coalesce(F.max(F.length("neighbour")), F.lit(0)).alias("longest"))  # one row
     reach = (
         asked.join(bounds, "query", "left")

@@ -618,7 +618,7 @@ def classification_report(spark, sf):
     avg(list_contains(pred, label)::int) as in_topk from judged"""
 )
 def topk_accuracy(spark, sf):
-    rows = _judged(spark, sf)
+    rows = _judged(spark, sf).cache()  # a row a test name, read three times
     parts = [
         evaluate.accuracy(rows, "label", "best"),
         evaluate.topk_accuracy(rows, "truth", "pred").withColumnRenamed("accuracy", "topk"),
