@@ -88,6 +88,16 @@ def state_percent(counts: DataFrame, key: str = "last_name") -> DataFrame:
     return counts.withColumn("percent", F.col("count") / F.sum("count").over(Window.partitionBy(key)) * 100)
 
 
+def attach_aggregate(predictions: DataFrame, aggregate: DataFrame, key: str = "last_name") -> DataFrame:
+    """Predictions with a per-name aggregate; names without one drop out."""
+    return predictions.join(aggregate, key)
+
+
+def unroll_languages(df: DataFrame, column: str = "languages") -> DataFrame:
+    """One row a language of the list column, as `lang`."""
+    return df.withColumn("lang", F.explode(column)).drop(column)
+
+
 def name_profile(counts: DataFrame, name: str) -> DataFrame:
     """The states of one name by percent; the filter reaches the scan."""
     return state_percent(counts.filter(F.col("last_name") == name)).orderBy(F.desc("percent"), "state")

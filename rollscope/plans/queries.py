@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,6 +12,7 @@ from rollscope.functions import names as fn
 from rollscope.functions.sql import register
 from rollscope.operators import classify, corpus, counts, enrich, evaluate, labels, ranking, sampling, similarity
 from rollscope.plans import tables as t
+from rollscope.streaming.rolls import incremental_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -379,6 +382,18 @@ def json_map_explode(spark, sf):
     return t.table(spark, sf, "events").select("event_id", F.explode(fn.parse_transliteration("props")).alias("source", "target"))
 
 
+@query(f"with {t.TOKENS} select last_name, state, count(*) as count from tokens group by 1, 2")
+def streaming_counts(spark, sf):
+    """Running counts over the documents' files as they arrive, after the last of them."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rollscope-stream-")
+    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = t.table(spark, sf, "documents").schema
+    # A pattern, since the table may be one file or a folder.
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/documents.parque[t]")
+    incremental_counts(t.tokens_of(arriving), f"{folder}/counts", f"{folder}/log").awaitTermination()
+    return spark.read.parquet(f"{folder}/counts")
+
+
 # --- nearest names
 
 

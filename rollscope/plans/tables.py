@@ -14,7 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, state, lang, last_name): words of three letters or more of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("state"), "lang", F.lower("text").alias("low"))
+    return tokens_of(table(spark, sf_dir, "documents"))
+
+
+def tokens_of(documents: DataFrame) -> DataFrame:
+    docs = documents.select("doc_id", F.col("source").alias("state"), "lang", F.lower("text").alias("low"))
     rows = docs.select("doc_id", "state", "lang", F.explode(F.split("low", r"[^\p{L}]+")).alias("last_name"))
     return rows.filter(F.length("last_name") > 2)
 

@@ -14,13 +14,16 @@ def stream_rolls(spark: SparkSession, path: str, schema: StructType, files_per_t
     return spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(path)
 
 
-def incremental_counts(names: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Running (last_name, state) counts of a stream of name rows, as the memory table `sink`."""
+def incremental_counts(names: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Running (last_name, state) counts of a stream of name rows; each batch replaces the table at `out`."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
     return (
         name_state_counts(names)
         .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(sink)
+        .foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
