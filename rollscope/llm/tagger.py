@@ -12,11 +12,12 @@ _NUMBER = {c: i for i, c in enumerate(SIGNS, 1)} | {str(d): DIGIT for d in range
 
 
 def encoded(text: str) -> np.ndarray:
-    numbers = (_NUMBER.get(c) or (LETTER if c.isalpha() else OTHER) for c in text.lower() if True)
-    found = np.fromiter(numbers, dtype=np.int64)
-    if len(found) != len(text):  # lower-casing changed the length
-        found = np.array([_NUMBER.get(c, LETTER if c.isalpha() else OTHER) for c in text], dtype=np.int64)
-    return found
+    """One number a character; case doesn't matter."""
+    low = text.lower()
+    if len(low) != len(text):  # a few letters have two lower-case ones
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    numbers = (_NUMBER.get(c) or (LETTER if c.isalpha() else OTHER) for c in low)
+    return np.fromiter(numbers, dtype=np.int64, count=len(low))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
