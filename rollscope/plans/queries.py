@@ -273,7 +273,7 @@ def top3_labels(spark, sf):
     return labels.top3_labels(wide, t.LANGS).select("last_name", "first_lang", "second_lang", "third_lang")
 
 
-#: A dimension as the reference's, made of the nations: each with its region's rank and two neighbours as languages.
+#: A dimension of states and languages made of the nations, whose regions choose the languages.
 _DIM = """dim as (
   select 'Land of ' || replace(n_name, '_', ' ') as state, n_nationkey as seq,
     ['hindi (including x)', 'urdu', 'hindi', 'odia', 'tamil'][n_regionkey + 1] as first,
