@@ -31,8 +31,9 @@ def with_columns_of(rows: DataFrame, f: Callable, kinds: str, *columns: str) ->
     return rows.select("doc_id", F.pandas_udf(f, kinds)(*columns).alias("_made")).select("doc_id", "_made.*")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold Arrow batches to so many rows, so that long texts don't fill a Python worker."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Hold Arrow batches to so many rows and bytes, so that long texts don't fill a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
