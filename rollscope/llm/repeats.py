@@ -264,7 +264,9 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = T
     # Checkpointed, so that both sides of the join come from plain shuffles and a hot anchor can be split.
     runs = checkpointed(found.join(checkpointed(shared), "h"))
 
-    classes = runs.filter("mixed").groupBy("h", "s").agg(F.count("*").alias("c"), F.min(place).alias("head"))
+    classes = checkpointed(
+        runs.filter("mixed").groupBy("h", "s").agg(F.count("*").alias("c"), F.min(place).alias("head"))
+    )
     per_anchor = classes.groupBy("h").agg((F.count("*") > HOT).alias("hot"))
     tag = lambda pos: pos.bitwiseAND(0xFFFFFF)
     asked = (
