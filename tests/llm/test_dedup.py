@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from rollscope.llm import decontam, neighbours, repeats, simhash
+from rollscope.llm import decontam, jaccard, neighbours, repeats, simhash
 from rollscope.llm.components import connected_components
 from rollscope.llm.queries import QUERIES
 from tests.llm.fixtures import documents, empty
@@ -166,6 +166,55 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def brute_similar(texts):
+    """Component numbers under 5-word Jaccard of 0.8 or more, each the first row of its component."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if n == old else n for n in label]
+    return label
+
+
+def edited_texts(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for n in (4, 5, 6, 30, 60, 120, 400):
+        words = [word() for _ in range(n)]
+        for _ in range(10):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randint(0, max(1, n // 30))):
+                words[rng.randrange(n)] = word()
+    return texts
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_similar_texts_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    texts = edited_texts(11)
+    want = brute_similar(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.similar_texts(df).collect()} == dict(enumerate(want))
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(want)
+    prints = [brute_fingerprint(t) for t in texts]
+    assert any(want[i] == want[j] and (prints[i] ^ prints[j]).bit_count() > 4 for i in range(70) for j in range(i))
+
+
+def test_similar_texts_of_the_given_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    want = brute_similar([d.text for d in docs])
+    found = {r.doc_id: r.component_id for r in jaccard.similar_texts(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert found == {d.doc_id: docs[w].doc_id for d, w in zip(docs, want, strict=True)}
+    assert len(set(want)) < len(set(brute_components([brute_fingerprint(d.text) for d in docs])))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     found = connected_components(links).collect()
