@@ -128,10 +128,11 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Both tables have vec_id and embedding; a query is not a candidate of its own. Vectors that are null, zero or
     hold null or non-finite components take no part, nor do those of another length than the query's. A repeated
-    vec_id is one candidate a row.
+    vec_id is one candidate a row. A vec_id is one query however often it is given: of its usable vectors the
+    smallest in array order is searched.
     """
     base = usable(embeddings)
-    asked = usable(queries)
+    asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     size = base.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("reach")).first()
     shards = max(1, math.ceil(size["n"] / SHARD))
     reach = size["reach"] or 0.0

@@ -323,3 +323,16 @@ def test_neighbours_of_odd_rows(spark, monkeypatch):
     assert found[1005] == [1006]
     assert neighbours.nearest(df.filter("false"), df.filter("false")).count() == 0
     assert neighbours.nearest(df.filter("vec_id < 3"), df.filter("vec_id < 2")).count() == 4
+
+
+def test_repeated_query_rows(spark):
+    rows = [(i, [1.0, i / 100]) for i in range(60)] + [(100, [1.0, 1.0]), (100, [1.0, 1.0]), (200, [1.0, 0.0]), (200, [-1.0, -9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in neighbours.nearest(df, df.filter("vec_id >= 100")).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    ids = lambda q: [i for _, i, _ in found[q]]
+    assert {q: [n for n, _, _ in x] for q, x in found.items()} == {q: list(range(1, 21)) for q in (100, 200)}
+    assert ids(100) == list(range(59, 39, -1))
+    assert ids(200) == list(range(20))  # of -1, -9 and 1, 0 the former is the query
+    assert found[200][0][2] == pytest.approx(-1.0)
