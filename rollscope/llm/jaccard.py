@@ -1,13 +1,18 @@
-"""Near-duplicate texts by the Jaccard similarity of their 5-word shingles.
+"""Near-duplicate texts by the Jaccard similarity of their 5-word shingles, found by covering masks over min-wise symbols.
 
-Candidates come from MinHash keys: BANDS keys of ROWS minima each. A pair at the least similarity of 0.8 shares none of
-them with probability (1 - 0.8^4)^32, under 5e-8, and more similar pairs more seldom. Whatever shares a key is
-compared exactly, shingle set with shingle set, before it counts as a link.
+A 64-bit SimHash can't serve at a similarity of 0.8: such texts differ in 10 bits in the mean and in 19 at times, and
+masks that cover 19 bits are 2^20 - 1. Here a sketch has GROUPS groups of SYMBOLS minima, which differ in a fifth of
+their places at 0.8, and the masks of `covering_masks` cover RADIUS differing symbols of a group: each symbol has one
+of the non-zero vectors of RADIUS + 1 bits, each mask keeps the symbols with an odd product, and two differing symbols
+span at most two dimensions, so some mask keeps none of them. Every pair with RADIUS or fewer differing symbols
+in some group shares a key; at 0.8 a group has more with probability 0.125 (three that leave a mask out are found as
+well), all GROUPS of them with one under 5e-7, and more similar pairs more seldom. Whatever shares a key is compared
+exactly, shingle set with shingle set, before it counts as a link.
 
 Equal sets are joined into one row first. In a bucket every member is compared with the bucket's smallest id;
 then only buckets that still hold several components are searched for further pairs, in blocks. There a sketch of
-one bit a minimum drops pairs that differ in more than FAR of 128 bits: at 0.8 the mean is 12.8, and a pair
-exceeds FAR with probability under 1e-6, in all its buckets at once.
+one bit a minimum drops pairs that differ in more than FAR of 49 bits: at 0.8 the mean is 4.9, and a pair
+exceeds FAR with probability under 1e-7, in all its buckets at once.
 """
 
 from __future__ import annotations
@@ -21,18 +26,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollscope.llm.common import bounded_batches, checkpointed
-from rollscope.llm.components import connected_components
+from rollscope.llm.components import connected_components, cross_pairs
 
 SHINGLE = 5
-BANDS, ROWS = 32, 4
-FAR = 34
-BLOCK = 256
+RADIUS = 2
+SYMBOLS = 2 ** (RADIUS + 1) - 1
+GROUPS = 7
+FAR = 18
 SEED = 42
 
 _rng = np.random.default_rng(5)
-_TIMES = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_MIX = _rng.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-_BAND = _rng.integers(0, 2**64, BANDS, dtype=np.uint64)
+_TIMES = _rng.integers(0, 2**64, GROUPS * SYMBOLS, dtype=np.uint64) | np.uint64(1)
+_MASKS = np.array([[(s & m).bit_count() % 2 for s in range(1, SYMBOLS + 1)] for m in range(1, SYMBOLS + 1)], dtype=np.uint64)
+#: How a mask mixes the symbols of a group that it keeps into a key.
+_MIX = (_rng.integers(0, 2**64, (GROUPS, SYMBOLS, SYMBOLS), dtype=np.uint64) | np.uint64(1)) * _MASKS
+_TABLE = _rng.integers(0, 2**64, (GROUPS, SYMBOLS), dtype=np.uint64)
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -46,8 +54,8 @@ def shingle_set(text: bytes | None) -> np.ndarray:
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
-    """The smallest hash under each of the BANDS * ROWS multiplications."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    """The smallest hash under each of the GROUPS * SYMBOLS multiplications."""
+    least = np.full(GROUPS * SYMBOLS, 2**64 - 1, dtype=np.uint64)
     for start in range(0, len(hashes), 2048):
         np.minimum(least, (hashes[start : start + 2048, None] * _TIMES).min(axis=0), out=least)
     return least
@@ -65,19 +73,25 @@ def _ids(raw: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter(map(_id, raw), dtype="<u8", count=len(raw)).view("<i8"))
 
 
+def keys_of(least: np.ndarray) -> np.ndarray:
+    """(sets, GROUPS * SYMBOLS) minima -> (sets, keys), a key for each group and mask."""
+    groups = least.reshape(len(least), GROUPS, 1, SYMBOLS)
+    return ((groups * _MIX).sum(axis=3, dtype=np.uint64) + _TABLE).reshape(len(least), -1).view("<i8")
+
+
 def _described(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for some in texts:
         sets = [shingle_set(t) for t in some]
-        least = np.array([minima(s) for s in sets]).reshape(-1, BANDS, ROWS)
-        keys = ((least * _MIX).sum(axis=2, dtype=np.uint64) + _BAND).view("<i8")
-        bits = np.packbits((least.reshape(len(sets), -1) >> np.uint64(32) & np.uint64(1)).astype(np.uint8), axis=1).view("<i8")
+        least = np.array([minima(s) for s in sets], dtype=np.uint64).reshape(-1, GROUPS * SYMBOLS)
+        bits = np.zeros((len(sets), 64), dtype=np.uint8)
+        bits[:, : least.shape[1]] = least >> np.uint64(32) & np.uint64(1)
         ids = np.fromiter((_id(s.tobytes()) for s in sets), dtype="<u8", count=len(sets)).view("<i8")
-        yield pd.DataFrame({"id": ids, "lo": bits[:, 0], "hi": bits[:, 1], "keys": list(keys)})
+        yield pd.DataFrame({"id": ids, "sketch": np.packbits(bits, axis=1).view("<i8")[:, 0], "keys": list(keys_of(least))})
 
 
 def described(text: Column) -> Column:
     """id of the shingle set, its sketch and its keys."""
-    return F.pandas_udf(_described, "id long, lo long, hi long, keys array<long>")(text.cast("binary"))
+    return F.pandas_udf(_described, "id long, sketch long, keys array<long>")(text.cast("binary"))
 
 
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -106,48 +120,33 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar_classes(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Distinct sets (id, lo, hi, keys, words) -> (id, label): those linked to others, with their component's label.
+    """Distinct sets (id, sketch, keys, words) -> (id, label): those linked to others, with their component's label.
 
     `words` is the hash of one text of the set; the sets themselves are made again from `docs` where they are compared.
     """
-    # An explicit number: the rows grow 32-fold here, after the sizes by which partitions would be merged.
+    # An explicit number: the rows grow 49-fold here, after the sizes by which partitions would be merged.
     spread = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sets.repartition(spread, "id").select("id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     members = checkpointed(rows.join(shared.select("key", "pivot"), "key"))
-    about = checkpointed(sets.select("id", "lo", "hi", "words").join(members.select("id").distinct(), "id", "left_semi"))
+    about = checkpointed(sets.select("id", "sketch", "words").join(members.select("id").distinct(), "id", "left_semi"))
     inside = checkpointed(sets_of(docs, about.select("words")))
     star = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     found = connected_components(verified(star, inside)).withColumnRenamed("node", "id")
 
-    labelled = checkpointed(
-        members.drop("pivot").join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    )
-    mixed = (
-        labelled.groupBy("key")
-        .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
-        .filter("least < most")
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    labelled = checkpointed(members.drop("pivot").join(found, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    seen = labelled.join(about, "id").select("key", "label", F.struct("id", "sketch").alias("one"))
+    near = lambda x, y: F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= FAR
+    met = cross_pairs(seen, near, lambda x: F.struct(x["label"].alias("label"), x["one"]["id"].alias("id")))
+    swap = F.col("one.id") > F.col("other.id")
+    mine, others = (F.struct("one.id", "label"), F.struct("other.id", "other.label"))
+    pairs = checkpointed(
+        met.select(F.when(swap, others).otherwise(mine).alias("x"), F.when(swap, mine).otherwise(others).alias("y"))
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("a_label"), F.col("y.label").alias("b_label"))
+        .distinct()
     )
-    place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    blocks = (
-        labelled.join(mixed, "key")
-        .join(about.drop("words"), "id")
-        .withColumn("own", place)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.collect_list(F.struct("id", "label", "lo", "hi")).alias("block"))
-        .filter(F.size("block") > 1)
-    )
-    one = blocks.select("block", F.explode("block").alias("one"))
-    differ = lambda x: F.bit_count(x["lo"].bitwiseXOR(F.col("one.lo"))) + F.bit_count(x["hi"].bitwiseXOR(F.col("one.hi")))
-    near = F.filter("block", lambda x: (x["label"] > F.col("one.label")) & (differ(x) <= FAR))
-    pairs = one.select(F.col("one.id").alias("a"), F.explode(F.transform(near, lambda x: x["id"])).alias("b")).distinct()
-    bridges = verified(pairs, inside)
-    for end in "ab":
-        name = found.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
-        bridges = bridges.join(name, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
-    links = bridges.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
+    near_pairs = verified(pairs.select("a", "b"), inside)
+    links = pairs.join(near_pairs, ["a", "b"]).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
     second = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
     return (
         labelled.select("id", "label").distinct()
@@ -156,20 +155,28 @@ def similar_classes(sets: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def similar_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id: the smallest doc_id reachable over texts of similarity 0.8 or more.
+def labelled_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, words (a hash of the text), label: equal for texts of one component. One row a row of `docs`.
 
-    Texts without words are equal to each other. Repeated rows stay repeated; null doc_ids never name a component
-    unless all of its rows have none.
+    Null, empty and blank texts have no shingles and are equal to each other; a text of fewer than SHINGLE words is one
+    shingle; long texts are sketched whole, in parts. Repeated rows stay repeated, null doc_ids are kept, an empty
+    table gives none and other columns are ignored, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     made = docs.select("doc_id", F.xxhash64("text").alias("words"), described(F.col("text")).alias("made"))
     printed = checkpointed(made.select("doc_id", "words", "made.*"))
-    firsts = printed.groupBy("id").agg(F.min("doc_id").alias("first"))
-    sets = printed.drop("doc_id").dropDuplicates(["id"])
-    classes = firsts.join(similar_classes(sets, docs), "id", "left").withColumn(
-        "label", F.coalesce("label", "id")
+    sets = printed.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.first("words").alias("words"))
+    classes = similar_classes(sets, docs)
+    return checkpointed(
+        printed.select("doc_id", "words", "id").join(classes, "id", "left").select("doc_id", "words", F.coalesce("label", "id").alias("label"))
     )
-    smallest = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = classes.join(smallest, "label").select("id", "component_id")
-    return printed.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
+
+
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id reachable over texts of similarity 0.8 or more.
+
+    Null doc_ids never name a component unless all of its rows have none; otherwise as `labelled_texts`.
+    """
+    rows = labelled_texts(docs)
+    smallest = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(smallest, "label").select("doc_id", "component_id")

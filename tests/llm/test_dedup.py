@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from rollscope.llm import decontam, jaccard, neighbours, repeats, simhash
+from rollscope.llm import components, decontam, jaccard, neighbours, repeats, simhash
 from rollscope.llm.components import connected_components
 from rollscope.llm.queries import QUERIES
 from tests.llm.fixtures import documents, empty
@@ -125,7 +125,7 @@ def brute_components(prints):
 
 @pytest.mark.parametrize("block", [256, 2])
 def test_near_classes_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(components, "BLOCK", block)
     rng = random.Random(6)
     prints = []
     for _ in range(8):
@@ -197,7 +197,7 @@ def edited_texts(seed):
 
 @pytest.mark.parametrize("block", [256, 2])
 def test_similar_texts_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(components, "BLOCK", block)
     texts = edited_texts(11)
     want = brute_similar(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -215,6 +215,15 @@ def test_similar_texts_of_the_given_table(spark, sf):
     assert len(set(want)) < len(set(brute_components([brute_fingerprint(d.text) for d in docs])))
 
 
+def test_one_document_of_each_group_stays(spark):
+    texts = ["one two three four five six", "another text of some more words", "One two three four five six", None, ""]
+    rows = [(1, texts[0], {"a": 1}), (1, texts[1], None), (0, texts[2], None), (None, texts[1], None), (None, texts[3], None), (5, texts[4], None), (1, texts[1], {"b": 2})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label map<string,int>")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, texts[2]), (1, texts[1]), (5, "")]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     found = connected_components(links).collect()

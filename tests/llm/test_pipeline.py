@@ -3,7 +3,7 @@
 import corpus_pipeline as pipeline
 from rollscope.llm import decontam, pii
 from tests.llm.fixtures import documents, empty
-from tests.llm.test_dedup import brute_components, brute_fingerprint
+from tests.llm.test_dedup import brute_similar
 from tests.llm.test_scans import contract_pii
 
 
@@ -21,7 +21,7 @@ def test_stages(spark, sf):
     assert sum(toxic.get(i) == 0 for i in gone) <= 0.02 * len(texts[0])
 
     ids = sorted(texts[1])
-    label = brute_components([brute_fingerprint(texts[1][i]) for i in ids])
+    label = brute_similar([texts[1][i] for i in ids])
     assert set(texts[2]) == {ids[k] for k in set(label)}
 
     index = decontam.ItemIndex([(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
