@@ -9,9 +9,9 @@ in some group shares a key; at 0.8 a group has more with probability 0.125 (thre
 well), all GROUPS of them with one under 5e-7, and more similar pairs more seldom. Whatever shares a key is compared
 exactly, shingle set with shingle set, before it counts as a link.
 
-Equal sets are joined into one row first. In a bucket every member is compared with the bucket's smallest id;
-then only buckets that still hold several components are searched for further pairs, in blocks. There a sketch of
-one bit a minimum drops pairs that differ in more than FAR of 49 bits: at 0.8 the mean is 4.9, and a pair
+Equal sets are joined into one row first. In a bucket every member is compared with one of them;
+then buckets that still hold several components are searched for further pairs, in blocks, inside tasks that give back
+links of components and no pairs. There a sketch of one bit a minimum drops pairs that differ in more than FAR of 49 bits: at 0.8 the mean is 4.9, and a pair
 exceeds FAR with probability under 1e-7, in all its buckets at once.
 """
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollscope.llm.common import bounded_batches, checkpointed
-from rollscope.llm.components import connected_components, cross_pairs
+from rollscope.llm.components import block_of, blocks_of, connected_components, every_block, mixed_buckets
 
 SHINGLE = 5
 RADIUS = 2
@@ -94,13 +94,16 @@ def described(text: Column) -> Column:
     return F.pandas_udf(_described, "id long, sketch long, keys array<long>")(text.cast("binary"))
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a similarity of 0.8 or more."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")  # merges two sorted stretches
+    n = int((both[1:] == both[:-1]).sum())
+    return 5 * n >= 4 * (len(both) - n)
+
+
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(5 * both >= 4 * (len(x) + len(y) - both))
-    return pd.Series(out, dtype=bool)
+    pairs = zip(a, b, strict=True)
+    return pd.Series([_alike(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")) for x, y in pairs], dtype=bool)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,6 +122,59 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.select(F.pandas_udf(_ids, "long")("hashes").alias("id"), "hashes")
 
 
+def _bridges(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the labels of a block of members and one of strays, of one bucket or of those of one component.
+
+    A pair counts if it shares a key; in a bucket alone, if this is the first one that it shares.
+    """
+    strays, members = (rows[rows["visitor"] == v].reset_index(drop=True) for v in (True, False))
+    keys, labels, ids, sketch = np.array(members["keys"].tolist(), dtype=np.int64).reshape(-1, GROUPS * SYMBOLS), *(members[c].to_numpy() for c in ("label", "id", "sketch"))
+    sets = [np.frombuffer(x, dtype="<u8") for x in members["hashes"]]
+    size, home = np.array([len(x) for x in sets]), ~members["stray"].to_numpy(dtype=bool)
+    top: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while label in top:
+            label = top[label]
+        return label
+
+    links = []
+    for one in strays.itertuples():
+        mine = np.frombuffer(one.hashes, dtype="<u8")
+        same = keys == np.asarray(one.keys)
+        met = same.any(axis=1) if one.whole else same.argmax(axis=1) == list(one.keys).index(one.key)
+        near = met & (labels != one.label) & (home | (ids > one.id))
+        near &= np.bitwise_count(sketch ^ one.sketch) <= FAR
+        near &= 5 * np.minimum(size, len(mine)) >= 4 * np.maximum(size, len(mine))
+        for k in np.flatnonzero(near).tolist():
+            a, b = root(int(one.label)), root(int(labels[k]))
+            if a != b and _alike(mine, sets[k]):
+                top[max(a, b)] = min(a, b)
+                links.append((int(one.label), int(labels[k])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def bridges(labelled: DataFrame, about: DataFrame) -> DataFrame:
+    """(key, id, label) and each id's sketch, keys and hashes -> links (a, b) between labels of pairs that share a key.
+
+    The buckets of one main component are mostly views of the same texts; where they are (all together hold at most
+    four times as many texts as the largest), they are searched as one, so that a pair is not met once a bucket.
+    """
+    seen = checkpointed(labelled.join(mixed_buckets(labelled), "key").withColumn("stray", F.col("label") != F.col("main")))
+    each = seen.select("main", "id", "label", "stray").distinct()
+    sizes = each.groupBy("main").agg(F.count("*").alias("ids"), F.count_if("stray").alias("strays"))
+    largest = seen.groupBy("main").agg(F.max("n").alias("most"))
+    whole = checkpointed(sizes.join(largest, "main").filter("ids <= 4 * most").select("main", F.col("ids").alias("n"), "strays"))
+    columns = ["whole", "key", "id", "label", "stray", "n", "strays"]
+    gathered = each.join(whole, "main").withColumn("whole", F.lit(True)).withColumnRenamed("main", "key").select(columns)
+    alone = seen.join(whole, "main", "left_anti").withColumn("whole", F.lit(False)).select(columns)
+    rows = gathered.unionByName(alone).withColumns({"blocks": blocks_of(F.col("n")), "stray_blocks": blocks_of(F.col("strays"))})
+    kept = ["whole", "key", "id", "label", "stray"]
+    laid = rows.select(*kept, F.lit(False).alias("visitor"), block_of("blocks").alias("i"), every_block("stray_blocks").alias("j"))
+    visits = rows.filter("stray").select(*kept, F.lit(True).alias("visitor"), every_block("blocks").alias("i"), block_of("stray_blocks", 1).alias("j"))
+    return laid.unionByName(visits).join(about, "id").groupBy("whole", "key", "i", "j").applyInPandas(_bridges, "a long, b long")
+
+
 def similar_classes(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Distinct sets (id, sketch, keys, words) -> (id, label): those linked to others, with their component's label.
 
@@ -127,26 +183,17 @@ def similar_classes(sets: DataFrame, docs: DataFrame) -> DataFrame:
     # An explicit number: the rows grow 49-fold here, after the sizes by which partitions would be merged.
     spread = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sets.repartition(spread, "id").select("id", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    # Buckets choose by one of four orders: members of a large group meet several of its texts, not one.
+    pivot = F.min_by("id", F.xxhash64("id", F.pmod("key", F.lit(4)))).alias("pivot")
+    shared = rows.groupBy("key").agg(pivot, F.count("*").alias("n")).filter("n > 1")
     members = checkpointed(rows.join(shared.select("key", "pivot"), "key"))
-    about = checkpointed(sets.select("id", "sketch", "words").join(members.select("id").distinct(), "id", "left_semi"))
+    about = checkpointed(sets.join(members.select("id").distinct(), "id", "left_semi"))
     inside = checkpointed(sets_of(docs, about.select("words")))
-    star = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.filter("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     found = connected_components(verified(star, inside)).withColumnRenamed("node", "id")
 
     labelled = checkpointed(members.drop("pivot").join(found, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    seen = labelled.join(about, "id").select("key", "label", F.struct("id", "sketch").alias("one"))
-    near = lambda x, y: F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= FAR
-    met = cross_pairs(seen, near, lambda x: F.struct(x["label"].alias("label"), x["one"]["id"].alias("id")))
-    swap = F.col("one.id") > F.col("other.id")
-    mine, others = (F.struct("one.id", "label"), F.struct("other.id", "other.label"))
-    pairs = checkpointed(
-        met.select(F.when(swap, others).otherwise(mine).alias("x"), F.when(swap, mine).otherwise(others).alias("y"))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("a_label"), F.col("y.label").alias("b_label"))
-        .distinct()
-    )
-    near_pairs = verified(pairs.select("a", "b"), inside)
-    links = pairs.join(near_pairs, ["a", "b"]).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
+    links = bridges(labelled, about.drop("words").join(inside, "id")).distinct()
     second = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
     return (
         labelled.select("id", "label").distinct()
