@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -243,17 +244,67 @@ def item_texts(seed, n=30):
 @pytest.mark.parametrize("threshold", [0.05, 0.2, 0.5])
 def test_wand_against_full_scores(threshold):
     rng, vocabulary, items = item_texts(7, 150)
-    index = decontam.ItemIndex(list(enumerate(items)))
-    for _ in range(60):
-        passage = " ".join(rng.choice(vocabulary) for _ in range(60)) + " " + rng.choice(items)
-        code = index.terms_of(index.numbers(decontam.words(passage)))
-        terms = np.flatnonzero(np.isin(index.codes, code))
-        scores = Counter()
-        for t in terms.tolist():
-            for i, x in zip(index.items[t], index.impacts[t], strict=True):
-                scores[i] += x
-        want = {i: pytest.approx(s) for i, s in scores.items() if s >= threshold - 1e-9}
-        assert dict(index.search(terms, threshold)) == want
+    items += ["solitary", "Solitary?", vocabulary[0]]
+    whole = decontam.ItemIndex(list(enumerate(items)))
+    assert sum(len(x.item_of) for x in whole.classes) > len(items)
+    for index in whole.classes:
+        for _ in range(60):
+            passage = " ".join(rng.choice(vocabulary) for _ in range(60)) + " " + rng.choice(items)
+            terms = np.unique(index.hits(whole.numbers(decontam.words(passage)))[1])
+            scores = Counter()
+            for t in terms.tolist():
+                for i, x in zip(index.items[t], index.impacts[t], strict=True):
+                    scores[i] += x
+            want = {i: pytest.approx(s) for i, s in scores.items() if s >= threshold - 1e-9}
+            assert dict(index.search(terms, threshold)) == want
+
+
+def brute_leaks(texts, items):
+    """(text, item) for which some window of twice the item's size class meets the overlaps, by plain lists."""
+    split = lambda t: [w for w in "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in (t or "").lower()).split(" ") if w]
+    grams = lambda ws: {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+    share = lambda ws, there: len(grams(ws) & grams(there)) / len(grams(ws)) if len(ws) >= 5 else float(any(there[i : i + len(ws)] == ws for i in range(len(there))))
+    out = set()
+    for i, item in enumerate(items):
+        whole = split(item)
+        if not whole:
+            continue
+        parts = [p for p in map(split, re.split(r"(?<=[.!?])\s+|\n", item)) if p]
+        question, answer = (sum(parts[:-1], []), parts[-1]) if len(parts) > 1 else (whole, whole)
+        size = 32
+        while size < len(whole):
+            size *= 2
+        for d, text in enumerate(texts):
+            ws = split(text)
+            if not set(ws) & set(whole):
+                continue
+            for start in range(0, max(1, len(ws) - size), size):
+                there = ws[start : start + 2 * size]
+                said = sum((Counter(answer) & Counter(there)).values()) / len(answer)
+                if share(whole, there) >= 0.8 or share(question, there) >= 0.8 and said >= 0.8:
+                    out.add((d, i))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    """Both ways, with questions beside scattered answers, one-word items and items that are much longer than others."""
+    rng, vocabulary, items = item_texts(12, 25)
+    items += ["solitary", " ".join(rng.choice(vocabulary) for _ in range(300)) + ".", "What is it? " + " ".join(rng.choice(vocabulary) for _ in range(40)) + "."]
+    texts = []
+    for item in items:
+        ws = item.split()
+        filler = lambda k: " ".join("".join(rng.choice("ijklmn") for _ in range(4)) for _ in range(k))
+        head, _, tail = item.rpartition(". ")
+        mixed = tail.rstrip(".").split()
+        rng.shuffle(mixed)
+        texts += [f"{filler(rng.randint(0, 90))} {item} {filler(rng.randint(0, 90))}", f"{filler(40)} {head}. {filler(3)} {' '.join(mixed)} {filler(30)}"]
+        texts += [" ".join(w if rng.random() > 0.04 else "zz" for w in ws), " ".join(ws[: len(ws) // 2]), f"{head}. {filler(2000)} {tail}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect())
+    want = brute_leaks(texts, items)
+    assert found == sorted(want) and len(items) <= len(want) < len(texts) * 2
+    assert (items.index("solitary") * 5, items.index("solitary")) in want
 
 
 def test_leaks_are_found_and_others_left(spark):
@@ -271,18 +322,18 @@ def test_leaks_are_found_and_others_left(spark):
 
 
 def test_shards_agree_with_one_index(spark, sf, monkeypatch):
-    pairs = lambda: sorted((r.doc_id, r.item_id) for r in QUERIES["op5_decontam"](spark, sf).collect())
+    pairs = lambda: sorted(map(tuple, QUERIES["op5_decontam"](spark, sf).collect()))
     whole = pairs()
     monkeypatch.setattr(decontam, "SHARD_WORDS", 400)
     assert whole == pairs() and whole
 
 
-def test_leak_query_against_all_shingles(spark, sf):
-    items = {r.item_id: decontam.words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    docs = {r.doc_id: decontam.shingles(decontam.words(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    want = {(d, i) for d, s in docs.items() for i, w in items.items() if (x := decontam.shingles(w)) and len(x & s) / len(x) >= decontam.OVERLAP}
-    found = {(r.doc_id, r.item_id) for r in QUERIES["op5_decontam"](spark, sf).collect()}
-    assert want <= found
+def test_leak_query_against_brute_force(spark, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    want = {(docs[d].doc_id, items[i].item_id) for d, i in brute_leaks([d.text for d in docs], [i.text for i in items])}
+    found = [(r.doc_id, r.item_id) for r in QUERIES["op5_decontam"](spark, sf).collect()]
+    assert set(found) == want and len(found) == len(want) > 0
 
 
 def test_decontamination_odd_rows(spark):
