@@ -5,10 +5,12 @@ patterns, and the same windows with their spans rewritten to forms that the patt
 plus sign, spelled-out at-signs and dots, spaced parts). The sample is the TRAIN_WINDOWS windows with the
 smallest hashes among all distinct ones, so it is bounded, uniform and the same in every run.
 
-A span needs a digit, an at-sign or a bracketed `at`; only text within MARGIN of one is tagged, in windows of
-WINDOW characters that overlap by half. The windows' scores are averaged where they overlap, weighted towards
-the middle of a window, and one path is decoded over each whole region. Decoded spans that fail their kind's
-check, or touch a base span, are dropped.
+Windows of WINDOW characters lie on one grid over the whole text and overlap by half. Their scores are averaged where
+they overlap, weighted towards the middle of a window, and one path is decoded over each region. Every kind of span
+holds a digit, an at-sign, or an `at` that is bracketed or followed by a `dot`, else its check drops it; so regions begin
+as the cells of the grid around those and the address characters that adjoin them, and grow while a decoded span
+reaches their edge. Cells outside of regions can hold no span that would be kept, whatever their length.
+Decoded spans that fail their kind's check, or touch a base span, are dropped.
 """
 
 from __future__ import annotations
@@ -31,11 +33,16 @@ from rollscope.llm.tagger import PAD, Tagger, encoded
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_WINDOWS = 1200
 WINDOW = 48
-MARGIN = 24
+CELL = WINDOW // 2
+BATCH = 1 << 20
 
-TRIGGER = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]", re.ASCII)
+AT = r"[(\[{<] ?at ?[)\]}>]|\bat\b(?=[^\n]{1,80}?\bdot\b)"
+TRIGGER = re.compile(rf"[0-9@]|{AT}", re.ASCII | re.IGNORECASE)
+#: What is looked for where the text has no word `dot`.
+PLAIN_TRIGGER = re.compile(r"[0-9@]|[(\[{<] ?at ?[)\]}>]", re.ASCII | re.IGNORECASE)
 MAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+JOINED = re.compile(r" ?[A-Za-z0-9._%+-]*")
 IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -46,6 +53,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether digits, of any number and with any zeros before them, are at most 255."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or 0) <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """The contract's patterns, by kind and then start."""
     found: list[Span] = []
@@ -58,7 +71,7 @@ def base_spans(text: str) -> list[Span]:
             found.append(("email", start, m.end()))
             free = m.end()
     # Four runs of digits and dots: a failed start inside a run would fail as the run's first digit does.
-    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [("ip", *m.span()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -68,15 +81,25 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def cells(text: str) -> int:
+    return max(1, -(-len(text) // CELL))
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within MARGIN of a trigger, merged where they meet."""
+    """Ranges of cells around the triggers: of the address characters that adjoin one, and a cell more on both sides."""
     found: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        start, end = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if found and start <= found[-1][1]:
-            found[-1][1] = max(end, found[-1][1])
+    last, joined = cells(text), 0
+    for m in (TRIGGER if "dot" in text or "DOT" in text or "Dot" in text else PLAIN_TRIGGER).finditer(text):
+        start, end = m.start(), m.end()
+        while start > joined and (LOCAL.match(text, start - 1) or start == m.start() and text[start - 1] == " "):
+            start -= 1
+        if end > joined:
+            joined = JOINED.match(text, end).end()
+        a, b = max(0, start // CELL - 1), min(last, -(-max(end, joined) // CELL) + 1)
+        if found and a <= found[-1][1]:
+            found[-1][1] = max(b, found[-1][1])
         else:
-            found.append([start, end])
+            found.append([a, b])
     return [(a, b) for a, b in found]
 
 
@@ -102,7 +125,7 @@ def tagged_spans(tags: np.ndarray) -> list[Span]:
 def rewritten(kind: str, text: str, rng: random.Random) -> str:
     """A form of a span that the base patterns don't match."""
     if kind == "email":
-        at, dot = rng.choice([(" (at) ", "."), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", " (dot) ")])
+        at, dot = rng.choice([(" (at) ", "."), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", " (dot) "), (" at ", " dot ")])
         local, _, domain = text.partition("@")
         return local + at + domain.replace(".", dot)
     if kind == "ip":
@@ -157,50 +180,94 @@ def fit_tagger(snippets: list[str]) -> Tagger | None:
 def plausible(kind: str, text: str) -> bool:
     digits = re.sub("[^0-9]", "", text)
     if kind == "email":
-        return bool(re.search(r"@|[(\[] ?at ?[)\]]", text)) and bool(re.search(r"\.|dot", text)) and " " not in text.strip()[:1]
+        return bool(re.search(rf"@|{AT}", text, re.IGNORECASE)) and bool(re.search(r"\.|dot", text, re.IGNORECASE))
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(map(octet, parts))
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15 and not re.search("[A-Za-z]", text)
 
 
-def model_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
-    """Spans that the tagger decodes in each text."""
-    where = [(i, a, b) for i, text in enumerate(texts) for a, b in regions(text)]
-    if not where:
-        return [[] for _ in texts]
-    pieces = [(r, start) for r, (_, a, b) in enumerate(where) for start in range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2)]
-    ids = np.full((len(pieces), WINDOW), PAD)
-    codes = [encoded(texts[i][a:b]) for i, a, b in where]
-    for row, (r, start) in zip(ids, pieces, strict=True):
-        some = codes[r][start - where[r][1] :][:WINDOW]
-        row[: len(some)] = some
+def window_scores(tagger: Tagger, codes: list[np.ndarray], wanted: list[list[tuple[int, int]]]) -> list[np.ndarray]:
+    """Mean scores over ranges of cells (text, from, to) of the windows that hold each character."""
+    pieces = []  # (range, first character of the window in its text)
+    flat = [(t, a, b) for t, some in enumerate(wanted) for a, b in some]
+    for r, (t, a, b) in enumerate(flat):
+        most = max(1, cells(codes[t]) - 1)  # windows of the text
+        pieces += [(r, w * CELL) for w in range(max(0, a - 1), min(most, b))]
     middle = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    total = [np.zeros((len(c), tagger.n_tags), np.float32) for c in codes]
-    weight = [np.zeros(len(c), np.float32) for c in codes]
-    for low in range(0, len(pieces), 2048):
-        for (r, start), scores in zip(pieces[low : low + 2048], tagger.emissions(ids[low : low + 2048]), strict=True):
-            at = start - where[r][1]
-            n = min(WINDOW, len(codes[r]) - at)
-            total[r][at : at + n] += scores[:n] * middle[:n, None]
-            weight[r][at : at + n] += middle[:n]
+    bounds = [(a * CELL, min(b * CELL, len(codes[t]))) for t, a, b in flat]
+    total = [np.zeros((high - low, tagger.n_tags), np.float32) for low, high in bounds]
+    weight = [np.zeros(high - low, np.float32) for low, high in bounds]
+    for begin in range(0, len(pieces), 2048):
+        some = pieces[begin : begin + 2048]
+        ids = np.full((len(some), WINDOW), PAD)
+        for row, (r, at) in zip(ids, some, strict=True):
+            part = codes[flat[r][0]][at : at + WINDOW]
+            row[: len(part)] = part
+        for (r, at), scores in zip(some, tagger.emissions(ids), strict=True):
+            low, high = max(at, bounds[r][0]), min(at + WINDOW, bounds[r][1])
+            total[r][low - bounds[r][0] : high - bounds[r][0]] += scores[low - at : high - at] * middle[low - at : high - at, None]
+            weight[r][low - bounds[r][0] : high - bounds[r][0]] += middle[low - at : high - at]
+    return [t / w[:, None] for t, w in zip(total, weight, strict=True)]
+
+
+def decoded(tagger: Tagger, scores: list[np.ndarray]) -> list[np.ndarray]:
+    """The best tag path over each of the score tables, padded together in lots of BATCH rows or fewer (or of one table)."""
+    paths: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(scores)
+    order = sorted((r for r, s in enumerate(scores) if len(s)), key=lambda r: len(scores[r]))
+    while order:
+        n = 1
+        while n < min(256, len(order)) and (n + 1) * len(scores[order[n]]) <= BATCH:
+            n += 1
+        some, order = order[:n], order[n:]
+        lengths = np.array([len(scores[r]) for r in some])
+        every = np.zeros((n, lengths.max(), tagger.n_tags), np.float32)
+        for row, r in zip(every, some, strict=True):
+            row[: len(scores[r])] = scores[r]
+        for r, path in zip(some, tagger.decode(every, lengths), strict=True):
+            paths[r] = path[: len(scores[r])]
+    return paths
+
+
+def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def model_spans(tagger: Tagger, texts: list[str], whole: bool = False) -> list[list[Span]]:
+    """Spans that the tagger decodes in each text; `whole` decodes every text from end to end instead of its regions."""
     found: list[list[Span]] = [[] for _ in texts]
-    order = sorted(range(len(where)), key=lambda r: len(codes[r]))
-    for low in range(0, len(order), 256):
-        some = order[low : low + 256]
-        lengths = np.array([len(codes[r]) for r in some])
-        scores = np.zeros((len(some), lengths.max(), tagger.n_tags), np.float32)
-        for row, r in zip(scores, some, strict=True):
-            row[: len(codes[r])] = total[r] / weight[r][:, None]
-        for r, path in zip(some, tagger.decode(scores, lengths), strict=True):
-            i, a, _ = where[r]
-            for kind, start, end in tagged_spans(path[: len(codes[r])]):
-                raw = texts[i][a + start : a + end]
+    todo = {t: ([(0, cells(text))] if whole else regions(text)) for t, text in enumerate(texts) if text}
+    todo = {t: some for t, some in todo.items() if some}
+    codes = {t: encoded(texts[t]) for t in todo}
+    while todo:
+        some = list(todo)
+        paths = iter(decoded(tagger, window_scores(tagger, [codes[t] for t in some], [todo[t] for t in some])))
+        again: dict[int, list[tuple[int, int]]] = {}
+        for t in some:
+            spans, grown = [], []
+            for a, b in todo[t]:
+                path, at = next(paths), a * CELL
+                left, right = a > 0 and path[0] > 0, b < cells(texts[t]) and path[-1] > 0
+                grown.append((max(0, a - 4 * left), min(cells(texts[t]), b + 4 * right)))
+                spans += [(kind, at + start, at + end) for kind, start, end in tagged_spans(path)]
+            if merged_ranges(grown) != todo[t]:
+                again[t] = merged_ranges(grown)
+                continue
+            for kind, start, end in spans:
+                raw = texts[t][start:end]
                 start, end = start + len(raw) - len(raw.lstrip()), end - len(raw) + len(raw.rstrip())
-                if end > start and plausible(kind, texts[i][a + start : a + end]):
-                    found[i].append((kind, a + start, a + end))
+                if end > start and plausible(kind, texts[t][start:end]):
+                    found[t].append((kind, start, end))
+        todo = again
     return found
 
 
@@ -210,8 +277,8 @@ def _snippets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for text in frame["text"]:
             for a, b in regions(text):
-                for start in range(a, b, 2 * WINDOW):
-                    snippet = text[start : min(b, start + 2 * WINDOW)]
+                for start in range(a * CELL, min(b * CELL, len(text)), 2 * WINDOW):
+                    snippet = text[start : min(b * CELL, start + 2 * WINDOW)]
                     least[hashlib.md5(snippet.encode()).hexdigest()] = snippet
         if len(least) > 4 * TRAIN_WINDOWS:
             least = {k: least[k] for k in heapq.nsmallest(TRAIN_WINDOWS, least)}
@@ -238,7 +305,9 @@ def every_span(tagger: Tagger | None, texts: list[str]) -> list[tuple[list[Span]
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end by kind, code points).
 
-    Null texts are empty and give no spans; repeated rows give repeated results; other columns are ignored.
+    Null texts are empty and give no spans; repeated rows give repeated results; other columns are ignored. Texts and
+    runs of digits of any length are read whole. Of spans of the method that overlap the first stays, of those with
+    one start the longest. An empty table gives none, and without digits or at-signs there is no tagger to train.
     """
     tagger = train(docs)
 
@@ -265,7 +334,10 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """The documents with every span masked in `text`; `n_chars` follows if there is one. Null texts stay null."""
+    """The documents with every span masked in `text`; `n_chars` follows if there is one. Null texts stay null.
+
+    Rows and all other columns stay, repeated rows as well; spans are those of `find_personal_data`.
+    """
     tagger = train(docs)
 
     def mask(texts: pd.Series) -> pd.Series:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 Span = tuple[str, int, int]
 
@@ -18,10 +19,17 @@ def digest(spans: list[Span]) -> str:
 
 def outside(extra: list[Span], base: list[Span]) -> list[Span]:
     """Those of `extra` that share no character with a base span or an earlier one of `extra`."""
-    taken = sorted((start, end) for _, start, end in base)
-    found = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, start, end in sorted(base, key=lambda x: x[1]):
+        if ends and start < ends[-1]:
+            ends[-1] = max(end, ends[-1])
+        else:
+            starts.append(start)
+            ends.append(end)
+    found: list[Span] = []
     for span in sorted(set(extra), key=lambda x: (x[1], -x[2], x[0])):
-        if not any(start < span[2] and span[1] < end for start, end in taken):
+        k = bisect_left(starts, span[2])  # base spans before it begin before the span's end
+        if (not k or ends[k - 1] <= span[1]) and (not found or found[-1][2] <= span[1]):
             found.append(span)
-            taken.append((span[1], span[2]))
     return found
