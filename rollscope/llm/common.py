@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rollscope.sources.shared import delete_folder, shared_folder
+
+__all__ = ["bounded_batches", "checkpointed", "delete_folder", "shared_folder", "table", "with_columns_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
@@ -14,15 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster shares.
-
-    The folder is `spark.checkpoint.dir` of the session; a private one is set only where that is unset,
-    as in local tests.
-    """
+    """Cut the lineage with a reliable checkpoint in the folder the cluster shares."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rollscope-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

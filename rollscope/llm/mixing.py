@@ -97,23 +97,29 @@ def slot_schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     return hits.unionByName(own).select("sid", rank.cast("long").alias("rank"), "slot")
 
 
+def row_hash(doc_id: Column, text: Column, seed: int) -> Column:
+    """By which rows are shuffled: a digest of id and text, so that rows of one id, or without one, lie apart."""
+    plain = F.md5(F.coalesce(text, F.lit("")))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), plain))
+
+
 def mix(docs: DataFrame, slots: int = SLOTS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(laid, cuts): every document with its place in its source's stream, and what each slot takes of it.
 
-    `laid`: doc_id, source, size, sid, source_size, target, offset. `cuts`: doc_id, sid, offset, slot, words.
+    `laid`: doc_id, source, hash, size, sid, source_size, target, offset. `cuts`: sid, offset, slot, words.
     Documents without words (null, empty or blank texts) are laid at size 0 and never taken. Repeated rows lie
-    side by side as separate stretches of the stream; ties in the shuffle hash go by doc_id, then size.
-    Reruns agree: the shuffle hash is a function of doc_id and the seed.
+    side by side as separate stretches of the stream; ties in the shuffle hash are such rows. Texts of any
+    length are counted whole. Reruns agree: the shuffle hash is a function of doc_id, text and the seed. Null
+    sources are one source, null doc_ids are kept, an empty table gives none, other columns are ignored.
     """
-    # Counted once: texts are read a single time, what follows works on three narrow columns.
-    sized = checkpointed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    # Counted once: texts are read a single time, what follows works on narrow columns.
+    hashed = row_hash(F.col("doc_id"), F.col("text"), seed).alias("hash")
+    sized = checkpointed(docs.select("doc_id", "source", hashed, n_words(F.col("text")).alias("size")))
+    targets = checkpointed(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     t = targets.withColumnRenamed("source", "t_source")
     keyed = (
         sized.join(t, F.col("source").eqNullSafe(F.col("t_source")))
         .drop("t_source")
-        .withColumn("hash", hashed)
         .withColumn("bucket", (F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % BUCKETS).cast("int"))
     )
     in_source = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,15 +129,15 @@ def mix(docs: DataFrame, slots: int = SLOTS, seed: int = 7) -> tuple[DataFrame,
         .select("sid", "bucket", F.coalesce(F.sum("in_bucket").over(in_source), F.lit(0)).alias("base"))
     )
     in_bucket = (
-        Window.partitionBy("sid", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("sid", "bucket").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
     )
     laid = (
         keyed.withColumn("inside", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
         .join(sums, ["sid", "bucket"])
         .withColumn("offset", F.col("base") + F.col("inside"))
-        .select("doc_id", "source", "size", "sid", "source_size", "target", "goal", "offset")
+        .select("doc_id", "source", "hash", "size", "sid", "source_size", "target", "goal", "offset")
     )
-    schedule = slot_schedule(targets, slots)
+    schedule = checkpointed(slot_schedule(targets, slots))
     counts = schedule.groupBy("sid").agg(F.count("*").alias("n"))
     blocks = (
         laid.filter("size > 0 and goal > 0")
@@ -148,29 +154,38 @@ def mix(docs: DataFrame, slots: int = SLOTS, seed: int = 7) -> tuple[DataFrame,
             "words",
             F.expr("least(hi, ((rank + 1) * goal) div n) - greatest(lo, (rank * goal) div n)"),
         )
-        .select("doc_id", "sid", "offset", "slot", "words")
+        .select("sid", "offset", "slot", "words")
     )
     return laid, cuts
 
 
-def mix_documents(docs: DataFrame, slots: int = SLOTS, seed: int = 7) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken."""
+def mix_documents(docs: DataFrame, slots: int = SLOTS, seed: int = 7, with_text: bool = False) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken, first_slot, n_slots and, if asked for, text.
+
+    `first_slot` is the earliest slot of the schedule that takes words of the document (null if none does), `n_slots`
+    the number of its pieces. Rows are those of `mix`.
+    """
     laid, cuts = mix(docs, slots, seed)
-    taken = cuts.groupBy("sid", "offset").agg(F.sum("words").alias("taken"))
+    taken = cuts.groupBy("sid", "offset").agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots")
+    )
     stretch = F.when(F.col("size") > 0, F.col("offset"))  # rows without words share the offset of the next one
-    return (
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_slots")]
+    mixed = (
         laid.withColumn("offset", stretch)
         .join(taken, ["sid", "offset"], "left")
-        .select(
-            "doc_id", "source", "size", "source_size", "target",
-            F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-        )
-    )
+        .select("doc_id", "source", "hash", "size", "source_size", "target", *counts, "first_slot")
+    )
+    if with_text:
+        texts = docs.select(row_hash(F.col("doc_id"), F.col("text"), seed).alias("hash"), "text").dropDuplicates(["hash"])
+        mixed = mixed.join(texts, "hash")
+    return mixed.drop("hash")
 
 
 ORACLE = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    md5('7:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as hash
   from documents
 ), per as (select source, sum(size)::bigint as source_size from sized group by source),
 ranked as (
@@ -183,18 +198,37 @@ ranked as (
   from w window r as (order by cap / w, sid rows between unbounded preceding and 1 preceding)
 ), c as (select *, cap::double * w_before < w::double * left_before as capped from o),
 t as (
-  select source, source_size, cap, case when capped then cap::double else coalesce(
+  select sid, source, source_size, cap, case when capped then cap::double else coalesce(
     w::double * (total - sum(case when capped then cap else 0 end) over ())::double
       / nullif((sum(case when capped then 0 else w end) over ())::double, 0), 0) end as target from c
-), g as (select *, least(floor(target)::bigint, cap) as goal from t),
-h as (select *, md5('7:' || doc_id::varchar) as hash from sized),
-laid as (
-  select h.doc_id, h.size, g.source_size, g.target, g.goal, coalesce(sum(h.size) over (
-    partition by h.source order by ('0x' || substr(hash, 1, 8))::bigint % 4096, hash, doc_id, h.size
+), g as (
+  select *, coalesce(sum(goal) over (order by sid rows between unbounded preceding and 1 preceding), 0)::bigint as lo,
+    (sum(goal) over ())::bigint as every
+  from (select *, least(floor(target)::bigint, cap)::bigint as goal from t)
+), points as (
+  select slot, (slot + 0.5::double) * 0.6180339887498949::double as x from (select unnest(range(65536)) as slot)
+), hits as (
+  select sid, slot from points join g
+    on least(floor((x - floor(x)) * every)::bigint, every - 1) >= lo and least(floor((x - floor(x)) * every)::bigint, every - 1) < lo + goal
+  union all select sid, 65536 + sid from g where goal > 0
+), schedule as (
+  select sid, slot, row_number() over (partition by sid order by slot) - 1 as rank, count(*) over (partition by sid) as n
+  from hits
+), laid as (
+  select h.doc_id, h.size, g.sid, g.source_size, g.target, g.goal, coalesce(sum(h.size) over (
+    partition by h.source order by ('0x' || substr(hash, 1, 8))::bigint % 4096, hash
     rows between unbounded preceding and 1 preceding), 0)::bigint as a
-  from h join g on h.source is not distinct from g.source
+  from sized h join g on h.source is not distinct from g.source
+), parts as (
+  select sid, a, a + e * source_size as lo, least(a + e * source_size + size, goal) as hi, goal
+  from laid, (select unnest(range(3)) as e) where size > 0 and a + e * source_size < goal
+), cuts as (
+  select p.sid, p.a, s.slot, least(hi, ((rank + 1) * goal) // n) - greatest(lo, (rank * goal) // n) as words
+  from parts p join schedule s on s.sid = p.sid and s.rank >= ((lo + 1) * n - 1) // goal and s.rank <= (hi * n - 1) // goal
+), taken as (
+  select sid, a, sum(words)::bigint as taken, min(slot)::bigint as first_slot, count(*)::bigint as n_slots
+  from cuts group by sid, a
 )
-select doc_id, size, source_size, target, case when size = 0 then 0 else
-  size * (goal // source_size) + greatest(0, least(a + size, goal % source_size) - a) end::bigint as taken
-from laid
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, first_slot, coalesce(n_slots, 0)::bigint as n_slots
+from laid left join taken on laid.sid = taken.sid and laid.a = taken.a and laid.size > 0
 """
