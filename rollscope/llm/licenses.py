@@ -1,8 +1,9 @@
 """License scan: a generalised suffix automaton of licence templates, matching statistics, chained matches.
 
 The words of a file stream through the automaton, which keeps the longest suffix read so far that occurs in
-some template. Matches of MIN_MATCH words or more that cannot be carried on are chained per template, in order
-and with bounded gaps; a template's label is reported if its best chain covers COVERED of its words.
+some template. Matches of MIN_MATCH words or more that cannot be carried on are chained per template, at every place that
+they have in it, in order and with bounded gaps: each match continues the chain that has the most words with it.
+A template's label is reported if its heaviest chain covers COVERED of its words.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -53,19 +55,20 @@ def words(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over word numbers; each state knows one end position per template."""
+    """Generalised suffix automaton over word numbers; each state knows all its end positions in the templates."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [{}]
+        self.link, self.length = [-1], [0]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for number, sequence in enumerate(sequences):
             last = 0
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(number, at + 1)
+                self.ends[last].setdefault(number, []).append(at + 1)
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for number, end in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(number, end)
+            for number, some in self.ends[state].items():
+                self.ends[self.link[state]].setdefault(number, []).extend(some)
 
     def _new(self, length: int) -> int:
         self.next.append({})
@@ -109,6 +112,15 @@ class SuffixAutomaton:
             yield state, n
 
 
+class Chain(NamedTuple):
+    """Matches in order: words covered, first word and end in the file, end in the template."""
+
+    words: int
+    start: int
+    end: int
+    to: int
+
+
 class Scanner:
     """Templates and phrases as word numbers, with the automaton over the templates."""
 
@@ -151,22 +163,24 @@ class Scanner:
                 yield end, before[1], before[0]
 
     def covered(self, ids: np.ndarray) -> list[tuple[str, float, int, int]]:
-        """(label, covered share of the template, first word, end) of the best chain of each template met."""
-        chains: dict[int, list[int]] = {}  # template -> [file start, file end, template end, words covered]
-        best: dict[int, tuple[int, int, int]] = {}
+        """(label, covered share of the template, first word, end) of the heaviest chain of each template met."""
+        open_: dict[int, list[Chain]] = {}
+        best: dict[int, Chain] = {}
         for end, n, state in self.matches(ids):
-            for template, to in self.automaton.ends[state].items():
-                chain = chains.get(template)
-                # Words that the last match of the chain has covered don't count again.
-                over = max(0, chain[1] - (end - n), chain[2] - (to - n)) if chain else 0
-                if chain and over < n and 0 <= end - n + over - chain[1] <= GAP:
-                    chain = [chain[0], end, to, chain[3] + n - over]
-                else:
-                    chain = [end - n, end, to, n]
-                chains[template] = chain
-                if chain[3] > best.get(template, (0,))[0]:
-                    best[template] = (chain[3], chain[0], end)
-        return [(self.labels[t], min(1.0, c / self.sizes[t]), a, b) for t, (c, a, b) in best.items()]
+            for template, places in self.automaton.ends[state].items():
+                # Only chains that end within a template and a gap of here can be carried on.
+                chains = [c for c in open_.get(template, ()) if c.end >= end - self.sizes[template] - GAP]
+                new = []
+                for to in places:
+                    chain = Chain(n, end - n, end, to)
+                    for c in chains:
+                        over = max(0, c.end - (end - n), c.to - (to - n))  # words that the chain has covered
+                        if over < n and 0 <= end - n + over - c.end <= GAP and c.words + n - over > chain.words:
+                            chain = Chain(c.words + n - over, c.start, end, to)
+                    new.append(chain)
+                open_[template] = chains + new
+                best[template] = max([best.get(template, new[0]), *new], key=lambda c: c.words)
+        return [(self.labels[t], min(1.0, c.words / self.sizes[t]), c.start, c.end) for t, c in best.items()]
 
     def scan(self, text: bytes) -> tuple:
         found = words(text)
@@ -194,7 +208,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words, no labels and score 0. A text with a base phrase scores 1, any other the
-    covered share of its best template. Repeated rows give repeated results; other columns are ignored.
+    covered share of its best template. Texts of any length are read whole; of chains of equal weight the first
+    counts. Repeated rows give repeated results, null doc_ids are kept, an empty table gives none; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(coalesce(text, '') as binary) as text")

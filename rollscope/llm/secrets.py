@@ -1,10 +1,14 @@
 """Secret scan: base patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer turns a text into names, literals and marks. `name = literal`, `name: literal`, `"name" => literal`
-and calls such as `set(name, literal)` give name-literal pairs; a name assigned before stands for its literal
-where it is assigned on, and adjacent or added literals are one value. A literal is reported if the name it
+The lexer turns a text into names, literals and marks. `name = literal`, `name: literal`, `name: type = literal`,
+`"name" => literal` and calls such as `set(name, literal)` give name-literal pairs; a name assigned before stands for its
+value where it is assigned on, and adjacent or added literals are one value. A literal is reported if the name it
 ends up under is sensitive and the value looks like a credential: the score is the weight of the most sensitive
-word of the name times the plausibility of the value, and SCORE or more counts.
+word of the name times the plausibility of the value, and SCORE or more counts. Lines that begin with a comment mark
+are comments; elsewhere such a mark ends nothing, since texts may hold URLs and anchors on one long line.
+
+Values are kept as what they were put together from, with the sums that their score needs, so that assignments which
+build on each other cost one step each, however often a value is added to itself.
 """
 
 from __future__ import annotations
@@ -33,14 +37,18 @@ WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "private": 0.6, "key": 0.6, "pass": 0.8,
 }
-PLACEHOLDERS = ("changeme", "example", "placeholder", "your", "dummy", "sample", "xxxx", "****", "redacted", "none", "null")
+# Words of a literal that stand for a secret and are none; digits may follow.
+PLACEHOLDER = re.compile(
+    r"(?:^|[^a-z0-9])(?:changeme|example|placeholder|your[a-z]*|dummy|sample|redacted|none|null)[0-9]*(?![a-z0-9])|xxxx|\*{4}", re.IGNORECASE | re.ASCII
+)
 TOKEN = re.compile(
-    r"""(?P<blank>[^\S\n]+)|(?P<comment>(?:\#|//)[^\n]*)
-    |(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)
+    r"""(?P<comment>^[^\S\n]*(?:\#|//)[^\n]*)|(?P<blank>[^\S\n]+)|(?P<slash>//+)
+    |(?P<text>"(?:[^"\\\n]|\\.)*"|(?:(?<![A-Za-z])|(?<=\b[bBfFrRuU]))'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)
+    |(?P<prefix>\b[bBfFrRuU](?=["']))
     |(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)
     |(?P<assign>:=|=>|->|=(?!=)|:(?!//))|(?P<join>[+.](?=\s))|(?P<bare>[A-Za-z0-9+/_=~-][A-Za-z0-9+/_.=~-]*)
     |(?P<line>\n)|(?P<other>.)""",
-    re.VERBOSE | re.ASCII | re.DOTALL,
+    re.VERBOSE | re.ASCII | re.DOTALL | re.MULTILINE,
 )
 SENSITIVE = re.compile("|".join(sorted(WEIGHTS)), re.IGNORECASE | re.ASCII)
 
@@ -63,71 +71,117 @@ def name_weight(name: str) -> float:
     return max((WEIGHTS.get(x, 0.0) for x in [*parts, *map("".join, zip(parts, parts[1:], strict=False))]), default=0.0)
 
 
-def value_weight(value: str) -> float:
-    """How much a literal looks like a credential: length, variety, and no placeholder."""
-    if len(value) < 8 or re.search(r"\s", value) or "${" in value or "{{" in value:
-        return 0.0
-    if any(x in value.lower() for x in PLACEHOLDERS):
-        return 0.1
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value[:4096]).values()) if n <= 4096 else 4.0
-    kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 3.0) * (1.0 if kinds >= 2 else 0.6)
-
-
-def assigned_literals(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(name, spans of its literal) for every assignment, with names assigned before put in."""
-    known: dict[str, list[tuple[int, int]]] = {}
+class Value:
+    """A literal, or what others make together: its length, shares of characters, kinds of them, and flaws."""
+
+    __slots__ = ("span", "parts", "n", "shares", "kinds", "blank", "placeholder", "told")
+
+    def __init__(self, span: tuple[int, int] | None, parts: list[Value], n: float, shares: dict[str, float], kinds: int, blank: bool, placeholder: bool):
+        self.span, self.parts, self.told = span, parts, False
+        self.n, self.shares, self.kinds, self.blank, self.placeholder = n, shares, kinds, blank, placeholder
+
+    @classmethod
+    def literal(cls, text: str, start: int, end: int) -> Value:
+        value, n = text[start:end], end - start
+        kinds = sum(1 << i for i, k in enumerate(("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")) if re.search(k, value))
+        blank = bool(re.search(r"\s", value)) or "${" in value or "{{" in value
+        return cls((start, end), [], n, {c: k / n for c, k in Counter(value).items()}, kinds, blank, bool(PLACEHOLDER.search(value)))
+
+    @classmethod
+    def of(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        n = sum(p.n for p in parts)
+        shares: Counter[str] = Counter()
+        for p in parts:
+            for c, x in p.shares.items():
+                shares[c] += x * (p.n / n if n else 0.0)
+        kinds = 0
+        for p in parts:
+            kinds |= p.kinds
+        n = min(1e300, n)  # that of a value added to itself again and again stays finite
+        return cls(None, parts, n, shares, kinds, any(p.blank for p in parts), any(p.placeholder for p in parts))
+
+    def weight(self) -> float:
+        """How much it looks like a credential: length, variety, and no placeholder."""
+        if self.n < 8 or self.blank:
+            return 0.0
+        if self.placeholder:
+            return 0.1
+        entropy = -sum(x * math.log2(x) for x in self.shares.values() if x > 0)
+        return min(1.0, entropy / 3.0) * (1.0 if self.kinds.bit_count() >= 2 else 0.6)
+
+    def tell(self) -> Iterator[tuple[int, int]]:
+        """Spans of the literals it was made of that no value has told before."""
+        todo = [self]
+        while todo:
+            one = todo.pop()
+            if not one.told:
+                one.told = True
+                if one.span:
+                    yield one.span
+                todo += one.parts
+
+
+def assigned_values(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) for every assignment, with names assigned before put in."""
+    known: dict[str, Value] = {}
     name: str | None = None
+    argument = False  # the name is the first argument of a call
     target: str | None = None  # the name left of an assignment mark whose value is being read
-    value: list[tuple[int, int]] = []
-    joining = True
-
-    def close() -> Iterator[tuple[str, list[tuple[int, int]]]]:
-        nonlocal target, value
-        if target and value:
-            known[target] = value
-            yield target, value
-        target, value = None, []
+    annotated: str | None = None  # a name whose type is being read
+    value: list[Value] = []
+    plain = True  # the value has names only
+    joining, mark, before = True, "", ""
 
     for m in TOKEN.finditer(text):
-        kind = m.lastgroup
-        if kind in ("blank", "comment"):
+        kind, word = m.lastgroup, m[0]
+        if kind in ("blank", "comment", "prefix"):
             continue
         start, end = m.span()
         if kind == "text":
             start, end = start + 1, end - 1
-        if target is None:
-            if kind == "assign" and name:
-                target, joining = name, True
-            elif kind in ("name", "text") and end - start < 100:
-                name = text[start:end]
-            elif kind != "other" or m[0] not in "\"'])":
+        if annotated:
+            if word == "=":
+                target, value, plain, joining, mark, annotated = annotated, [], True, True, word, None
+            elif kind == "line":
+                annotated = None
+        elif target is None:
+            if kind == "assign" and name or word == "," and name and argument:
+                target, value, plain, joining, mark = name, [], True, True, word
+            elif kind in ("name", "text"):
+                name, argument = text[start:end], before == "("
+            elif kind != "other" or word not in "\"'])":
                 name = None
         elif kind == "join" and value:
             joining = True
-        elif kind == "assign" and target and not value:
-            continue
-        elif kind in ("text", "bare", "name") and joining:
-            value = value + (known.get(m[0], [(start, end)]) if kind == "name" else [(start, end)])
-            joining = False
-        elif kind == "text" and value:
-            value = [*value, (start, end)]
+        elif kind == "assign" and (not value or word == "=" and mark == ":" and plain):
+            value, plain, joining = [], True, True
+        elif kind in ("text", "bare", "name") and joining or kind == "text" and value:
+            value.append(known.get(word) or Value.literal(text, start, end) if kind == "name" else Value.literal(text, start, end))
+            plain, joining = plain and kind == "name" and word not in known, False
+        elif word in ("[", "|") and mark == ":" and value and plain:
+            annotated, target = target, None
         else:
-            yield from close()
-            name = text[start:end] if kind in ("name", "text") and end - start < 100 else None
-    yield from close()
+            if value:
+                known[target] = Value.of(value)
+                yield target, known[target]
+            target, name = None, text[start:end] if kind in ("name", "text") else None
+            argument = before == "("
+        before = word
+    if target and value:
+        yield target, Value.of(value)
 
 
 def lexed_spans(text: str) -> list[Span]:
-    """Literals under sensitive names. A text without an assignment mark or a sensitive word has none."""
-    if not ("=" in text or ":" in text or "->" in text) or not SENSITIVE.search(text):
+    """Literals under sensitive names. A text without a mark or a call, or without a sensitive word, has none."""
+    if not ("=" in text or ":" in text or "->" in text or "(" in text) or not SENSITIVE.search(text):
         return []
     found = set()
-    for name, spans in assigned_literals(text):
-        weight = name_weight(name)
-        if weight and weight * value_weight("".join(text[a:b] for a, b in spans)) >= SCORE:
-            found.update(("literal", a, b) for a, b in spans if b > a)
+    for name, value in assigned_values(text):
+        weight = name_weight(name) if SENSITIVE.search(name) else 0.0
+        if weight and weight * value.weight() >= SCORE:
+            found.update(("literal", a, b) for a, b in value.tell() if b > a)
     return sorted(found, key=lambda x: x[1:])
 
 
@@ -144,7 +198,9 @@ def _scan(texts: pd.Series) -> pd.DataFrame:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end by start, code points).
 
-    Null texts are empty and give no spans; repeated rows give repeated results; other columns are ignored.
+    Null texts are empty and give no spans; texts, names and literals of any length are read whole. Of literals of the
+    method that overlap a base span or an earlier literal none is added. Repeated rows give repeated results, null
+    doc_ids are kept, an empty table gives none; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text")

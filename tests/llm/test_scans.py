@@ -36,6 +36,8 @@ def test_pii_base_is_the_contract(text):
 def test_pii_base_on_planted_and_long_texts():
     text = "a@b.c@d.e x.y@mail.example.org 1.2.3.4.5.6.7.8 300.1.1.1 4111 1111 1111 1111 +49 (30) 1234-567"
     assert pii.base_spans(text) == contract_pii(text)
+    digits = "9" * 5000
+    assert pii.base_spans(f"1.2.3.{digits} 1.2.3.{'0' * 5000}7") == [("ip", 5007, 5007 + 5007)]
     for long in ("a" * 100_000, "1" * 100_000, "1." * 50_000, "+1 " * 30_000, "a@" * 30_000):
         pii.base_spans(long)
 
@@ -96,6 +98,23 @@ def test_pii_queries(spark, sf):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for x, _, _ in want) for k in pii.KINDS)
 
 
+def test_regions_give_what_whole_texts_give(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    texts += [f"{'a' * 60} [at] example dot org, or +49 {'1 ' * 40}", "x" * 200 + " 00491234567890 " + "y" * 200, ""]
+    tagger = pii.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert pii.model_spans(tagger, texts) == pii.model_spans(tagger, texts, whole=True)
+    assert sum(map(len, pii.model_spans(tagger, texts))) > 0
+    one = pii.window_scores(tagger, [pii.encoded(texts[0][:100])], [[(0, 5)]])[0]
+    ids = np.zeros((4, pii.WINDOW), dtype=np.int64)
+    for w in range(4):
+        part = pii.encoded(texts[0][:100])[w * pii.CELL : w * pii.CELL + pii.WINDOW]
+        ids[w, : len(part)] = part
+    every = tagger.emissions(ids)
+    for i in range(100):  # the mean over the windows that hold a character, weighted to their middles
+        held = [(every[w, i - w * 24], min(i - w * 24 + 1, 48 - (i - w * 24))) for w in range(4) if 0 <= i - w * 24 < 48]
+        assert one[i] == pytest.approx(sum(s * k for s, k in held) / sum(k for _, k in held), rel=1e-4, abs=1e-5)
+
+
 def test_pii_odd_rows(spark):
     df = documents(spark)
     assert pii.find_personal_data(df).count() == df.count()
@@ -130,6 +149,50 @@ def test_lexer():
     secrets.lexed_spans("key=" * 20_000)
 
 
+def told(code):
+    return [code[a:b] for _, a, b in secrets.lexed_spans(code)]
+
+
+def test_lexer_forms():
+    assert told('client.set("db_pwd", "Zx81Kq2m1LL9")') == ["Zx81Kq2m1LL9"]
+    assert told("setenv('API-KEY', 'Zx81Kq2m1LL9', 1); put(user, bob)") == ["Zx81Kq2m1LL9"]
+    assert told('passphrase: str = "Zx81Kq2m1LL9"\nuser_pwd: Optional[str] = "Ab12Cd34Ef"\npwd: Optional[str]\n') == ["Zx81Kq2m1LL9", "Ab12Cd34Ef"]
+    assert told('db_pwd = "Zx81NullKq2m1LL9"') == ["Zx81NullKq2m1LL9"] and told('db_pwd = "null-1234567"') == []
+    assert told('see http://a.b/c#d and don\'t set db_pwd = "S3cretXyz9", it isn\'t safe # or pwd: "Qw3rTyUi0p"') == ["S3cretXyz9", "Qw3rTyUi0p"]
+    long = "x" * 300
+    assert told(f'{long}_pwd = "Zx81Kq2m1LL9"') == ["Zx81Kq2m1LL9"]
+    assert told('db_pwd = "' + "ab" * 9000 + '"') == told('db_pwd = "' + "ab" * 90 + '"') == []
+    assert told("db_pwd = b'Zx81Kq2m1LL9'") == ["Zx81Kq2m1LL9"]
+
+
+def test_lexer_on_values_that_build_on_each_other():
+    assert told('a = "Zx81"\n' + "a = a + a\n" * 2000 + "db_pwd = a\n" * 50) == ["Zx81"]
+    lines = "".join(f'a = a + "k{i}Z"\n' for i in range(20_000))
+    assert len(told('a = "Zx81"\n' + lines + "db_pwd = a\n")) == 20_001
+
+
+def test_many_spans_in_linear_time():
+    extra = [("literal", 10 * i, 10 * i + 6) for i in range(100_000)]
+    base = [("hex", 20 * i + 5, 20 * i + 9) for i in range(50_000)]
+    assert secrets.outside(extra, base) == [s for s in extra if s[1] % 20]
+    assert secrets.outside([("a", 0, 5), ("b", 3, 9), ("c", 5, 7)], []) == [("a", 0, 5), ("c", 5, 7)]
+
+
+def brute_outside(extra, base):
+    kept = []
+    for s in sorted(set(extra), key=lambda x: (x[1], -x[2], x[0])):
+        if not any(s[1] < e and a < s[2] for _, a, e in [*base, *kept]):
+            kept.append(s)
+    return kept
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=8), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=8))
+def test_outside(extra, base):
+    extra, base = ([("k", a, a + n) for a, n in some] for some in (extra, base))
+    assert secrets.outside(extra, base) == brute_outside(extra, base)
+
+
 def test_secret_queries(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in QUERIES["op7_secrets"](spark, sf).collect():
@@ -172,8 +235,9 @@ def test_matching_statistics(templates, text):
         assert n == best
         if n:
             assert sorted(automaton.ends[state]) == found(text[at - n : at])
-            for number, end in automaton.ends[state].items():
-                assert templates[number][end - n : end] == text[at - n : at]
+            part = text[at - n : at]
+            for number, ends in automaton.ends[state].items():
+                assert sorted(ends) == [e for e in range(n, len(templates[number]) + 1) if templates[number][e - n : e] == part]
 
 
 def test_licence_chains():
@@ -185,6 +249,36 @@ def test_licence_chains():
     assert scanner.scan(b"the license of this work")[5] == ""
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=3, max_size=14), st.lists(st.integers(0, 5), max_size=24))
+def test_chains_against_all_chains(template, text):
+    """The heaviest chain of matches, by trying every one of them at each of its places."""
+    letters = "abcdefgh"
+    scanner = licenses.Scanner((("x", " ".join(letters[i] for i in template)),), {})
+    number = {letters[i]: scanner.number.get(letters[i].encode(), -1) for i in range(6)}
+    ids = np.array([number[letters[i]] for i in text], dtype=np.int32)
+    places = [(end, n, to) for end, n, state in scanner.matches(ids) for to in scanner.automaton.ends[state].get(0, ())]
+    best = {}
+    for end, n, to in places:
+        best[end, to] = n
+        for (e, t), w in list(best.items()):
+            over = max(0, e - (end - n), t - (to - n))
+            if (e, t) != (end, to) and e <= end and over < n and 0 <= end - n + over - e <= licenses.GAP and e < end:
+                best[end, to] = max(best[end, to], w + n - over)
+    want = min(1.0, max(best.values()) / len(template)) if best else None
+    found = scanner.covered(ids)
+    assert (found[0][1] if found else None) == want
+
+
+def test_chain_over_a_phrase_that_repeats():
+    text = "one two three alpha beta gamma one two three delta epsilon zeta one two three"
+    scanner = licenses.Scanner((("x", text),), {})
+    assert scanner.scan(b"one two three delta epsilon zeta one two three")[6] == pytest.approx(9 / 15)
+    cut = "one two three alpha zz gamma one two three delta epsilon zz one two three"
+    assert scanner.scan(cut.encode())[6] >= 11 / 15
+    scanner.scan(b"one two three qq " * 30_000)
+
+
 def test_licence_queries(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in QUERIES["op8_licenses"](spark, sf).collect():
