@@ -8,12 +8,16 @@ A string of LENGTH bytes that starts anywhere else in the corpus is a repeat. Ma
 2. Anchors that occur once drop out (aggregated before the shuffle). Runs whose anchor has one digest only are
    whole repeats of each other.
 3. The rest, one run a digest, is sorted in suffix order by anchor group: ranks of 8, 24, 72 and 200 bytes by
-   prefix tripling, ties in corpus order. Among suffixes that agree on LENGTH bytes the nearest smaller position
-   in suffix order is then the predecessor, so the longest previous factor reaches LENGTH exactly if the
-   predecessor has the same rank, and the longest next factor exactly if the successor has.
-   Anchor groups of over HOT digests are not sorted in one task: their windows are counted by 128-bit digests.
+   prefix tripling, ties in corpus order. The common prefixes of neighbours are compared byte by byte; from them and from
+   each suffix's previous and next smaller position in suffix order comes the longest-previous-factor array, and
+   from the larger positions the longest-next-factor array. Lengths count up to LENGTH, which is what removal asks for.
+   An anchor group of over HOT digests does not fit a task; its windows are counted by 128-bit digests over all
+   tasks instead, which decides the same question for groups of any size.
 4. The runs' repeated starts give byte ranges, joined to the documents.
 
+Runs are the same if the 64-bit hash of their anchors and the 64-bit digest of their bytes are: two different runs of one
+anchor are confused with probability 2^-64.
+
 `keep_first=True` removes later copies and keeps the first in (doc_id, position) order; False removes all.
 """
 
@@ -112,8 +116,8 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts in order of their first LENGTH bytes, ties by position; whether each equals its predecessor).
+def suffix_order(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The numbers of the starts in order of their first LENGTH bytes, ties by position.
 
     Prefix tripling: ranks of 8-byte strings, then of 24 and 72, then of LENGTH from three overlapping 72s.
     At most 2^21 bytes.
@@ -137,22 +141,79 @@ def suffix_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     every = slice(None)
     rank = ranked(tripled(ranked(tripled(ranked(key), 8, every)), 24, every))
     full = tripled(rank, (LENGTH - 72) // 2, starts)
-    order = np.argsort(full, kind="stable")
-    return order, np.concatenate([[False], np.diff(full[order]) == 0])
+    return np.argsort(full, kind="stable")
+
+
+def common_prefixes(data: np.ndarray, sorted_starts: np.ndarray) -> np.ndarray:
+    """Length of the common prefix, up to LENGTH, of each suffix and the one before it in suffix order; 0 for the first."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    word = np.zeros(len(data), dtype=np.uint64)
+    for i in range(8):
+        word = (word << np.uint64(8)) | padded[i : i + len(data)]
+    lcp = np.full(len(sorted_starts), LENGTH, dtype=np.int64)
+    lcp[:1] = 0
+    open_ = np.arange(1, len(sorted_starts))
+    for k in range(0, LENGTH, 8):
+        differ = word[sorted_starts[open_] + k] ^ word[sorted_starts[open_ - 1] + k]
+        done = np.flatnonzero(differ)
+        high = differ[done]
+        equal = np.zeros(len(done), dtype=np.int64)  # leading bytes that agree
+        for shift in range(8, 64, 8):
+            equal += high < np.uint64(1) << np.uint64(64 - shift)
+        lcp[open_[done]] = k + equal
+        open_ = open_[differ == 0]
+        if not len(open_):
+            break
+    return lcp
+
+
+def _nearest_smaller(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place in suffix order the common prefix with the nearest place before it of a smaller position.
+
+    Every place points to the one before it with the common prefix so far; pointers to larger positions take
+    over where those point and the smaller of both prefixes, all at once, until none is left.
+    """
+    before, shared = np.arange(len(position)) - 1, lcp.copy()
+    shared[:1] = 0
+    open_ = np.arange(1, len(position))
+    while len(open_):
+        open_ = open_[before[open_] >= 0]
+        open_ = open_[position[before[open_]] > position[open_]]
+        through = before[open_]
+        nearer, least = before[through], np.minimum(shared[open_], shared[through])
+        before[open_], shared[open_] = nearer, least
+    shared[before < 0] = 0
+    return shared
+
+
+def longest_previous_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix, by position, the longest prefix up to LENGTH that also starts at a smaller position.
+
+    That earlier match is the nearest smaller position before or after the suffix in suffix order.
+    """
+    n = len(order)
+    after = np.zeros(n, dtype=np.int64)
+    after[1:] = lcp[1:][::-1]  # of each place and the one after it, in reverse order
+    best = np.maximum(_nearest_smaller(order, lcp), _nearest_smaller(order[::-1], after)[::-1])
+    out = np.empty(n, dtype=np.int64)
+    out[order] = best
+    return out
 
 
-def factor_marks(strings: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each string, of the windows in it: (longest previous factor, longest next factor) >= LENGTH."""
+def factors(strings: list[bytes], later: bool) -> tuple[list[np.ndarray], list[np.ndarray] | None]:
+    """For each string, of the windows in it: longest previous factors, and longest next factors if asked for."""
     lengths = np.array([len(x) for x in strings])
     begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     counts = lengths - LENGTH + 1
     bounds = np.cumsum(counts)
     starts = np.repeat(begins - np.concatenate([[0], bounds[:-1]]), counts) + np.arange(bounds[-1])
-    order, same = suffix_order(np.frombuffer(b"".join(strings), dtype=np.uint8), starts)
-    earlier, later = np.zeros(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
-    earlier[order] = same
-    later[order[:-1]] = same[1:]
-    return list(zip(np.split(earlier, bounds[:-1]), np.split(later, bounds[:-1]), strict=True))
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    order = suffix_order(data, starts)
+    lcp = common_prefixes(data, starts[order])
+    cut = lambda lpf: np.split(lpf, bounds[:-1])
+    previous = cut(longest_previous_factors(order, lcp))
+    # Positions counted from the end turn next factors into previous ones.
+    return previous, cut(longest_previous_factors(len(order) - 1 - order, lcp)[::-1]) if later else None
 
 
 def _flat(marks: np.ndarray) -> list[int]:
@@ -179,7 +240,9 @@ def _mark(keep_first: bool):
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for h, s, texts in groups(frames):
-            found = [_flat(a if keep_first else a | b) for a, b in factor_marks(texts)]
+            previous, later = factors(texts, not keep_first)
+            longest = previous if keep_first else map(np.maximum, previous, later)
+            found = [_flat(x >= LENGTH) for x in longest]
             yield pd.DataFrame({"h": h, "s": s, "marks": found})
 
     return mark
@@ -243,7 +306,8 @@ def _without_text(texts: pd.Series, los: pd.Series, his: pd.Series) -> pd.DataFr
 def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, unless left out), kept_sha256.
 
-    Null texts are empty. Texts under LENGTH bytes are never touched. Rows that agree in doc_id and text get the
+    Null texts are empty. Texts under LENGTH bytes are never touched, longer ones are read whole, in overlapping
+    parts. An empty table gives none. Rows that agree in doc_id and text get the
     same result: with keep_first=False they are copies of each other, with True they count as one first copy.
     Null doc_ids are kept. Other columns are ignored.
     """
@@ -312,7 +376,9 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = T
     if keep_first:
         plain = plain.filter(place != F.col("first"))
     plain = plain.select("doc_id", "pos", F.inline(whole))
-    joined = runs.filter("mixed").join(classes, ["h", "s"]).join(marks, ["h", "s"], "left")
+    # One row a class, put together first: then the runs meet it in one join, of which Spark can split a hot class.
+    per_class = checkpointed(classes.join(marks, ["h", "s"], "left"))
+    joined = runs.filter("mixed").join(per_class, ["h", "s"])
     is_copy = (place != F.col("head")) if keep_first else (F.col("c") > 1)
     partly = joined.select("doc_id", "pos", F.inline(F.when(is_copy, whole).otherwise(some)))
     ranges = (

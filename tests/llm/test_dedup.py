@@ -76,12 +76,38 @@ def test_repeats_odd_rows(spark):
 @given(st.lists(st.binary(min_size=repeats.LENGTH, max_size=240).map(lambda b: bytes(x % 2 for x in b)), min_size=1, max_size=5), st.integers(0, 10))
 def test_suffix_order(strings, seed):
     strings = strings + [strings[0][:210]]
-    marks = repeats.factor_marks(strings)
+    previous, later = (np.concatenate(x) for x in repeats.factors(strings, True))
     windows = [s[i : i + repeats.LENGTH] for s in strings for i in range(len(s) - repeats.LENGTH + 1)]
-    earlier = np.concatenate([m[0] for m in marks])
-    later = np.concatenate([m[1] for m in marks])
     for i, w in enumerate(windows):
-        assert earlier[i] == (w in windows[:i]) and later[i] == (w in windows[i + 1 :])
+        assert (previous[i] >= repeats.LENGTH) == (w in windows[:i]) and (later[i] >= repeats.LENGTH) == (w in windows[i + 1 :])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 2**30), min_size=1, max_size=3), st.sampled_from([1, 2, 3]))
+def test_longest_previous_factors_against_all_pairs(seeds, letters):
+    def word(seed):
+        rng = random.Random(seed)
+        part = bytes(rng.randrange(letters) for _ in range(rng.randint(1, 9)))
+        return (part * 260)[: rng.randint(200, 215)] if rng.random() < 0.6 else bytes(rng.randrange(letters) for _ in range(207))
+
+    strings = [word(x) for x in seeds] + [word(seeds[0])]
+    windows = [s[i : i + repeats.LENGTH] for s in strings for i in range(len(s) - repeats.LENGTH + 1)]
+    same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), repeats.LENGTH)
+    previous, later = (np.concatenate(x).tolist() for x in repeats.factors(strings, True))
+    assert previous == [max((same(w, x) for x in windows[:i]), default=0) for i, w in enumerate(windows)]
+    assert later == [max((same(w, x) for x in windows[i + 1 :]), default=0) for i, w in enumerate(windows)]
+
+
+def test_repeats_query_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    want = brute_repeats([(d.text or "").encode() for d in docs], keep_first=False)
+    found = {r.doc_id: r for r in QUERIES["op3_suffix_dedup"](spark, sf).collect()}
+    assert len(found) == len(docs) and any(map(any, want))
+    for d, flags in zip(docs, want, strict=True):
+        kept = bytes(b for b, f in zip((d.text or "").encode(), flags, strict=True) if not f)
+        runs = sum(1 for k in range(len(flags)) if flags[k] and (k == 0 or not flags[k - 1]))
+        r = found[d.doc_id]
+        assert (r.n_removed, r.n_spans, r.kept_sha256) == (sum(flags), runs, hashlib.sha256(kept).hexdigest())
 
 
 # --- SimHash
