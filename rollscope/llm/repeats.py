@@ -376,9 +376,10 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = T
     if keep_first:
         plain = plain.filter(place != F.col("first"))
     plain = plain.select("doc_id", "pos", F.inline(whole))
-    # One row a class, put together first: then the runs meet it in one join, of which Spark can split a hot class.
-    per_class = checkpointed(classes.join(marks, ["h", "s"], "left"))
-    joined = runs.filter("mixed").join(per_class, ["h", "s"])
+    # Classes and marks, one row each, come first and are dealt anew with a part of the key; then the runs meet them in one
+    # join of two plain shuffles, in which Spark can split a hot class further.
+    per_class = classes.join(marks, ["h", "s"], "left").withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    joined = runs.filter("mixed").withColumn("part", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(2)).cast("int")).join(per_class, ["h", "s", "part"])
     is_copy = (place != F.col("head")) if keep_first else (F.col("c") > 1)
     partly = joined.select("doc_id", "pos", F.inline(F.when(is_copy, whole).otherwise(some)))
     ranges = (
