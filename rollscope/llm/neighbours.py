@@ -2,115 +2,153 @@
 
 Vectors are lifted by one coordinate to a common length, which makes the largest inner product the smallest
 distance; PROJECTIONS Gaussian projections (2-stable) keep distances in the sense that the squared projected
-distance over the squared distance is chi-square with PROJECTIONS degrees of freedom. A kd-tree over the
-projections of each shard gives its leaves in the order of their distance from the projected query; the vectors
-of a leaf are verified by their inner products; and a query stops once a vector as near as its K-th best would
-be projected nearer than the next leaf with probability CONFIDENCE.
+distance over the squared distance is chi-square with PROJECTIONS degrees of freedom.
 
-Shards are hashes of vec_id, so a crowd of equal vectors is spread over all of them. Queries come in blocks of
-QUERIES; each block meets each shard in a task of its own, and the shards' answers are merged by rank.
+The projected space is cut into cells by a kd-tree whose splits are medians of a bounded sample (SAMPLE vectors,
+those with the smallest hashes); every vector is put into its cell, and a cell of more than SHARD vectors into several
+shards by hash, so a crowd of equal vectors is spread. A query first meets the shards of its own cell, then
+those of all cells that its K-th best so far does not rule out by the stopping test. In a shard a kd-tree over
+the projections gives the vectors in the order of their projected distance, leaf by leaf; they are verified by their
+inner products in that order, and a query stops once a vector as near as its K-th best would be projected
+nearer than the next one with probability CONFIDENCE.
 """
 
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rollscope.llm.common import checkpointed
+
 K = 20
-PROJECTIONS = 8
+PROJECTIONS = 24
 CONFIDENCE = 0.95
 LEAF = 64
 FIRST = 4
 SHARD = 16384
 QUERIES = 4096
+SAMPLE = 16384
 
 
-def chi_square(x: np.ndarray, m: int = PROJECTIONS) -> np.ndarray:
+def chi_square(x: np.ndarray | float, m: int = PROJECTIONS) -> np.ndarray:
     """Distribution function for an even number of degrees of freedom."""
-    half, term, total = x / 2, np.ones_like(x), np.zeros_like(x)
+    half = np.minimum(np.asarray(x, dtype=float), 1e3) / 2
+    term, total = np.ones_like(half), np.zeros_like(half)
     for i in range(m // 2):
         total += term
         term = term * half / (i + 1)
     return 1 - np.exp(-half) * total
 
 
+def directions(length: int) -> np.ndarray:
+    """The projections of lifted vectors of this length, the same in every task."""
+    return np.random.default_rng(20).standard_normal((length + 1, PROJECTIONS))
+
+
+def projected(vectors: np.ndarray, reach: float) -> np.ndarray:
+    lift = np.sqrt(np.maximum(reach**2 - (vectors**2).sum(axis=1), 0.0))
+    return np.hstack([vectors, lift[:, None]]) @ directions(vectors.shape[1])
+
+
+def projected_queries(queries: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Projections of the queries at the common length, and the factors that bring them there."""
+    scale = reach / np.sqrt((queries**2).sum(axis=1))
+    return np.hstack([queries * scale[:, None], np.zeros((len(queries), 1))]) @ directions(queries.shape[1]), scale
+
+
+def median_boxes(points: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(members, lower corners, upper corners): boxes of at most `size` points, by medians along the widest axis.
+
+    The corners are those of the half-spaces that the splits leave, so the boxes fill the space.
+    """
+    boxes, todo = [], [(np.arange(len(points)), np.full(PROJECTIONS, -np.inf), np.full(PROJECTIONS, np.inf))]
+    while todo:
+        some, low, high = todo.pop()
+        axis = int(np.argmax(np.ptp(points[some], axis=0))) if len(some) else 0
+        at = np.median(points[some, axis]) if len(some) else 0.0
+        left = points[some, axis] < at
+        if len(some) <= size or not left.any():
+            boxes.append((some, low, high))
+            continue
+        below, above = high.copy(), low.copy()
+        below[axis] = above[axis] = at
+        todo += [(some[~left], above, high), (some[left], low, below)]
+    return [b[0] for b in boxes], np.array([b[1] for b in boxes]), np.array([b[2] for b in boxes])
+
+
+def box_distances(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(points, boxes) squared distances."""
+    near = np.zeros((len(at), len(low)))
+    for d in range(at.shape[1]):
+        near += np.maximum(np.maximum(low[None, :, d] - at[:, d, None], at[:, d, None] - high[None, :, d]), 0.0) ** 2
+    return near
+
+
 class ProjectedTree:
-    """A kd-tree over projected vectors whose leaves hold LEAF vectors or fewer."""
+    """A kd-tree over the projections of a shard. `verified` counts the inner products that were taken."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, reach: float):
         order = np.argsort(ids, kind="stable")
-        self.vectors, self.ids = vectors[order], ids[order]
-        self.reach = max(reach, math.sqrt(float((vectors**2).sum(axis=1).max(initial=0.0))))
-        rng = np.random.default_rng(20)
-        self.along = rng.standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        lift = np.sqrt(np.maximum(self.reach**2 - (self.vectors**2).sum(axis=1), 0.0))
-        points = np.hstack([self.vectors, lift[:, None]]) @ self.along
-        leaves, todo = [], [np.arange(len(points))]
-        while todo:
-            some = todo.pop()
-            if len(some) <= LEAF:
-                leaves.append(np.sort(some))
-                continue
-            axis = int(np.argmax(np.ptp(points[some], axis=0)))
-            half = len(some) // 2
-            split = some[np.argpartition(points[some, axis], half)]
-            todo += [split[half:], split[:half]]
-        self.leaves = leaves
-        self.low = np.array([points[x].min(axis=0) for x in leaves]).reshape(-1, PROJECTIONS)
-        self.high = np.array([points[x].max(axis=0) for x in leaves]).reshape(-1, PROJECTIONS)
-
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, inner products) of the k best of each query, best first; -1 where there are fewer."""
-        n = len(queries)
-        scale = self.reach / np.sqrt((queries**2).sum(axis=1))
-        at = np.hstack([queries * scale[:, None], np.zeros((n, 1))]) @ self.along
-        near = np.zeros((n, len(self.leaves)))
-        for d in range(PROJECTIONS):
-            gap = np.maximum(self.low[None, :, d] - at[:, d, None], at[:, d, None] - self.high[None, :, d])
-            near += np.maximum(gap, 0.0) ** 2
-        order = np.argsort(near, axis=1)
-        bound = np.take_along_axis(near, order, axis=1)
-        best = np.full((n, k), -np.inf)
-        rows = np.full((n, k), -1, dtype=np.int64)
-        open_, begin, width = np.arange(n), 0, FIRST
-        while begin < len(self.leaves):
-            # Squared distance to the K-th best: both lifted vectors have length `reach`.
-            kth = np.maximum(2 * self.reach**2 - 2 * best[open_, -1] * scale[open_], 0.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = np.where(bound[open_, begin] > 0, bound[open_, begin] / kth, 0.0)
-            open_ = open_[~(chi_square(np.minimum(ratio, 1e3)) >= CONFIDENCE)]
-            if not len(open_):
+        self.vectors, self.ids, self.reach, self.verified = vectors[order], ids[order], reach, 0
+        self.points = projected(self.vectors, reach)
+        self.leaves, _, _ = median_boxes(self.points, LEAF)
+        self.low = np.array([self.points[x].min(axis=0) for x in self.leaves])
+        self.high = np.array([self.points[x].max(axis=0) for x in self.leaves])
+
+    def _one(self, query: np.ndarray, own: int, at: np.ndarray, scale: float, bounds: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, inner products) of the k best of a query whose K-th best elsewhere is `least`."""
+        order = np.argsort(bounds, kind="stable")
+        rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        waiting, distance = np.zeros(0, dtype=np.int64), np.zeros(0)
+        opened, width, lot = 0, FIRST, 4 * k
+
+        def over(next_one: float) -> bool:
+            """The stopping test; both lifted vectors have length `reach`."""
+            kth = max(least, scores[k - 1] if len(scores) >= k else -np.inf)
+            far = max(2 * self.reach**2 - 2 * kth * scale, 0.0)
+            return next_one > 0 and (far == 0 or (math.isfinite(far) and float(chi_square(next_one / far)) >= CONFIDENCE))
+
+        while opened < len(order):
+            if over(bounds[order[opened]]) and not len(waiting):
+                break
+            new = np.concatenate([self.leaves[i] for i in order[opened : opened + width]])
+            opened, width = opened + width, 2 * width
+            waiting = np.concatenate([waiting, new])
+            distance = np.concatenate([distance, ((self.points[new] - at) ** 2).sum(axis=1)])
+            by_distance = np.argsort(distance, kind="stable")
+            waiting, distance = waiting[by_distance], distance[by_distance]
+            # Up to the next leaf the order of the projected neighbours is known.
+            horizon = bounds[order[opened]] if opened < len(order) else np.inf
+            known = int(np.searchsorted(distance, horizon, "right"))
+            low = 0
+            while low < known and not over(distance[low]):
+                some = waiting[low : min(low + lot, known)]
+                low, lot = low + len(some), 2 * lot
+                self.verified += len(some)
+                # Summed one way for every pair, so that equal vectors have equal scores.
+                found = np.einsum("kj,j->k", self.vectors[some], query)
+                keep = (self.ids[some] != own) & (found >= least)
+                rows, scores = np.concatenate([rows, some[keep]]), np.concatenate([scores, found[keep]])
+                best = np.lexsort((rows, -scores))[:k]
+                rows, scores = rows[best], scores[best]
+            if low < known:
                 break
-            end = min(len(self.leaves), begin + width)
-            some = order[open_, begin:end]
-            scores = np.full((len(open_), end - begin, LEAF), -np.inf)
-            which = np.full(scores.shape, len(self.ids), dtype=np.int64)
-            by_leaf = np.argsort(some, axis=None, kind="stable")
-            q, slot = np.unravel_index(by_leaf, some.shape)
-            at_leaf = np.searchsorted(some.ravel()[by_leaf], np.arange(len(self.leaves) + 1))
-            for leaf, members in enumerate(self.leaves):
-                part = slice(at_leaf[leaf], at_leaf[leaf + 1])
-                if part.start < part.stop:
-                    # Summed one way for every pair, so that equal vectors have equal scores.
-                    found = np.einsum("ij,kj->ik", queries[open_[q[part]]], self.vectors[members])
-                    found[query_ids[open_[q[part]]][:, None] == self.ids[members][None, :]] = -np.inf
-                    scores[q[part], slot[part], : len(members)] = found
-                    which[q[part], slot[part], : len(members)] = members
-            both = np.hstack([best[open_], scores.reshape(len(open_), -1)])
-            which = np.hstack([rows[open_], which.reshape(len(open_), -1)])
-            # All that tie with the K-th best are kept apart before they are put in vec_id order.
-            worst = -np.partition(-both, k - 1, axis=1)[:, k - 1]
-            keep = both >= worst[:, None]
-            column = np.argsort(~keep, axis=1, kind="stable")[:, : max(k, keep.sum(axis=1).max())]
-            both, which = (np.take_along_axis(x, column, axis=1) for x in (both, which))
-            top = np.lexsort((which, -both), axis=1)[:, :k]
-            best[open_] = np.take_along_axis(both, top, axis=1)
-            rows[open_] = np.where(np.isfinite(best[open_]), np.take_along_axis(which, top, axis=1), -1)
-            begin, width = end, width * 2
-        return rows, best
+            waiting, distance = waiting[known:], distance[known:]
+        return rows, scores
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, k: int = K) -> pd.DataFrame:
+        """query_id, vec_id, score of the k best of each query that are not under its `least`."""
+        at, scale = projected_queries(queries, self.reach)
+        bounds = box_distances(at, self.low, self.high)
+        out = []
+        for i, own in enumerate(query_ids.tolist()):
+            rows, scores = self._one(queries[i], own, at[i], scale[i], bounds[i], least[i], k)
+            out.append(pd.DataFrame({"query_id": own, "vec_id": self.ids[rows], "score": scores}))
+        return pd.concat(out)
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -123,48 +161,120 @@ def usable(embeddings: DataFrame) -> DataFrame:
     )
 
 
+class Cells:
+    """The boxes of the projected space, for each length of vectors in the sample; other lengths have one cell, 0."""
+
+    def __init__(self, sample: list[list[float]], n: int, reach: float):
+        self.reach, self.boxes = reach, {}
+        by_length: dict[int, list[list[float]]] = {}
+        for v in sample:
+            by_length.setdefault(len(v), []).append(v)
+        for length, some in by_length.items():
+            points = projected(np.array(some), reach)
+            self.boxes[length] = median_boxes(points, max(1, math.floor(len(sample) * SHARD / max(1, n))))[1:]
+
+    def of(self, vectors: pd.Series, queries: bool) -> np.ndarray:
+        """The cell of each vector, or that in which each query would lie."""
+        out = np.zeros(len(vectors), dtype=np.int32)
+        lengths = vectors.map(len).to_numpy()
+        for length in self.boxes.keys() & set(lengths.tolist()):
+            at = np.flatnonzero(lengths == length)
+            low, high = self.boxes[length]
+            for begin in range(0, len(at), 4096):
+                some = at[begin : begin + 4096]
+                given = np.stack(vectors.to_numpy()[some])
+                points = projected_queries(given, self.reach)[0] if queries else projected(given, self.reach)
+                out[some] = self._inside(points, low, high)
+        return out
+
+    @staticmethod
+    def _inside(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        inside = np.ones((len(points), len(low)), dtype=bool)
+        for d in range(points.shape[1]):
+            inside &= (points[:, d, None] >= low[None, :, d]) & (points[:, d, None] < high[None, :, d])
+        return inside.argmax(axis=1)
+
+    def others(self, vectors: pd.Series, homes: pd.Series, kth: pd.Series) -> pd.Series:
+        """The further cells that each query has to meet, given the inner product of its K-th best (null: none yet)."""
+        out = []
+        for v, home, least in zip(vectors, homes, kth.to_numpy(dtype=float), strict=True):
+            if len(v) not in self.boxes:
+                out.append([])
+                continue
+            at, scale = projected_queries(np.asarray(v)[None, :], self.reach)
+            bound = box_distances(at, *self.boxes[len(v)])[0]
+            far = 2 * self.reach**2 - 2 * least * scale[0]
+            open_ = ~(chi_square(bound / far) >= CONFIDENCE) if far > 0 else np.ones(len(bound), dtype=bool) if math.isnan(far) else bound <= 0
+            open_[home] = False
+            out.append(np.flatnonzero(open_).tolist())
+        return pd.Series(out, dtype=object)
+
+
+def _meet(data: pd.DataFrame, wanted: pd.DataFrame, reach: float, k: int) -> pd.DataFrame:
+    """The answers of one shard to one block of queries; vectors of other lengths than a query's don't count."""
+    out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=float)]
+    for length in wanted["v"].map(len).unique() if len(data) else ():
+        some, ask = data[data["v"].map(len) == length], wanted[wanted["v"].map(len) == length]
+        if not len(some):
+            continue
+        tree = ProjectedTree(np.stack(some["v"].to_numpy()), some["vec_id"].to_numpy(), reach)
+        for low in range(0, len(ask), 512):
+            part = ask.iloc[low : low + 512]
+            out.append(tree.search(np.stack(part["v"].to_numpy()), part["vec_id"].to_numpy(), part["kth"].fillna(-np.inf).to_numpy(), k))
+    return pd.concat(out).astype({"query_id": "int64", "vec_id": "int64"})
+
+
+def answers(base: DataFrame, asked: DataFrame, shards: DataFrame, reach: float, k: int) -> DataFrame:
+    """Queries (vec_id, v, kth, cell) against the vectors (vec_id, v, cell, shard) of their cells -> query_id, vec_id, score.
+
+    Each shard is one group with the queries sent to it, in blocks of about QUERIES if there are more.
+    """
+    asking = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    cells = shards.join(asking, "cell")
+    whole = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = base.join(cells.select("cell", "blocks"), "cell").select("cell", "shard", whole("blocks").alias("block"), "vec_id", "v")
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int").alias("block")
+    right = asked.join(cells, "cell").select("cell", whole("shards").alias("shard"), block, "vec_id", "v", "kth")
+    keys = ["cell", "shard", "block"]
+    meet = partial(_meet, reach=reach, k=k)
+    return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(
+        lambda data, wanted: meet(data, wanted), "query_id long, vec_id long, score double"
+    )
+
+
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest of the others, ties to the smaller vec_id.
 
     Both tables have vec_id and embedding; a query is not a candidate of its own. Vectors that are null, zero or
     hold null or non-finite components take no part, nor do those of another length than the query's. A repeated
     vec_id is one candidate a row. A vec_id is one query however often it is given: of its usable vectors the
-    smallest in array order is searched.
+    smallest in array order is searched. Empty tables give none; other columns are ignored, whatever their names.
     """
     base = usable(embeddings)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    size = base.agg(F.count("*").alias("n"), F.max(norm).alias("reach")).first()
+    n, reach = size["n"], size["reach"] or 1.0
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE if n > SHARD else 0)
+    cells = Cells([r.v for r in sample.select("v").collect()], n, reach)
+
+    cell = F.pandas_udf(lambda v: pd.Series(cells.of(v, False)), "int")
+    home = F.pandas_udf(lambda v: pd.Series(cells.of(v, True)), "int")
+    placed = checkpointed(base.select("vec_id", "v", cell("v").alias("cell")))
+    shards = placed.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    split = placed.join(shards, "cell").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).drop("shards")
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    size = base.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("reach")).first()
-    shards = max(1, math.ceil(size["n"] / SHARD))
-    reach = size["reach"] or 0.0
-    blocks = max(1, math.ceil(asked.count() / QUERIES))
-    cells = [F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")]
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    of_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
-    left = base.select("vec_id", "v", *cells).select("*", every_block)
-    right = asked.select("vec_id", "v", of_block).select("*", every_shard)
-
-    def meet(data: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for length in wanted["v"].map(len).unique() if len(data) else ():
-            some, ask = data[data["v"].map(len) == length], wanted[wanted["v"].map(len) == length]
-            if not len(some):
-                continue
-            tree = ProjectedTree(np.stack(some["v"].to_numpy()), some["vec_id"].to_numpy(), reach)
-            ids = ask["vec_id"].to_numpy()
-            for low in range(0, len(ask), 512):
-                part = slice(low, low + 512)
-                rows, scores = tree.search(np.stack(ask["v"].to_numpy()[part]), ids[part], k)
-                q, r = np.nonzero(rows >= 0)
-                out.append(pd.DataFrame({"query_id": ids[part][q], "vec_id": tree.ids[rows[q, r]], "score": scores[q, r]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = (
-        left.groupBy("shard", "block")
-        .cogroup(right.groupBy("shard", "block"))
-        .applyInPandas(meet, "query_id long, vec_id long, score double")
-    )
+    asked = checkpointed(asked.select("vec_id", "v", home("v").alias("cell"), F.lit(None).cast("double").alias("kth")))
+
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
+    best = lambda df: df.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    first = checkpointed(best(answers(split, asked, shards, reach, k)))
+    if not cells.boxes:
+        return first.select("query_id", "rank", "vec_id", "score")
+    kth = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    further = F.pandas_udf(lambda v, at, least: cells.others(v, at, least), "array<int>")
+    again = (
+        asked.drop("kth").join(kth, "vec_id", "left")
+        .select("vec_id", "v", "kth", F.explode(further("v", "cell", "kth")).alias("cell"))
     )
+    second = answers(split, checkpointed(again), shards, reach, k)
+    return best(first.drop("rank").unionByName(second)).select("query_id", "rank", "vec_id", "score")

@@ -395,6 +395,46 @@ def test_recall_on_the_given_vectors(spark, sf):
     assert hits / (20 * len(found)) >= 0.95
 
 
+def brute_nearest(vectors, query):
+    scores = {i: float(vectors[query] @ v) for i, v in vectors.items() if i != query}
+    return sorted(scores, key=lambda i: (-scores[i], i))[:20]
+
+
+def test_recall_over_several_cells_and_shards(spark, monkeypatch):
+    """At sf0.1, where the vectors have no structure, and on clustered ones with a crowd of equal vectors."""
+    monkeypatch.setattr(neighbours, "SHARD", 300)
+    monkeypatch.setattr(neighbours, "QUERIES", 20)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 16))
+    clustered = np.concatenate([centres[rng.integers(0, 40, 3000)] + 0.2 * rng.standard_normal((3000, 16)), np.repeat(centres[:1], 1000, axis=0)])
+    rows = {
+        "given": [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()],
+        "clustered": [(i, v.tolist()) for i, v in enumerate(clustered)],
+    }
+    for name, some in rows.items():
+        vectors = {i: np.array(v, dtype=float) for i, v in some}
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>")
+        found = defaultdict(list)
+        for r in neighbours.nearest(df, df.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+            found[r.query_id].append(r.vec_id)
+        assert len(found) == sum(i % 20 == 0 for i in vectors) and all(len(x) == 20 for x in found.values()), name
+        hits = 0
+        for q, got in found.items():
+            least = float(vectors[q] @ vectors[brute_nearest(vectors, q)[-1]])
+            hits += sum(float(vectors[q] @ vectors[i]) >= least - 1e-9 for i in got)
+        assert hits / (20 * len(found)) >= 0.9, name
+
+
+def test_clustered_vectors_are_not_all_verified():
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((100, 64))[rng.integers(0, 100, 8192)] + 0.25 * rng.standard_normal((8192, 64))
+    tree = neighbours.ProjectedTree(vectors, np.arange(8192), float(np.sqrt((vectors**2).sum(axis=1).max())))
+    found = tree.search(vectors[:100], np.arange(100), np.full(100, -np.inf))
+    assert tree.verified / (100 * 8192) < 0.2
+    hits = sum(len(set(some.vec_id) & set(brute_nearest(dict(enumerate(vectors)), q))) for q, some in found.groupby("query_id"))
+    assert hits / 2000 >= 0.95
+
+
 def test_neighbours_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD", 64)
     nan = float("nan")
