@@ -46,10 +46,10 @@ def match_states(states: DataFrame, dimension: DataFrame, column: str = "state")
 
 
 def state_langs(states: DataFrame, dimension: DataFrame, column: str = "state") -> DataFrame:
-    """(state, first, second, third, fourth): the four most spoken languages in lower case."""
+    """(state, first, second, third, fourth): the four most spoken languages in lower case, null for unmatched states."""
     spoken = ["most_spoken_lang", "second_most_spoken_lang", "third_most_spoken_lang", "fourth_most_spoken_lang"]
     matched = match_states(states, dimension, column)
-    rows = matched.join(dimension.withColumnRenamed("state", "matched"), "matched")
+    rows = matched.join(dimension.withColumnRenamed("state", "matched"), "matched", "left")
     picked = [F.lower(c).alias(n) for c, n in zip(spoken[1:], ["second", "third", "fourth"], strict=True)]
     return rows.select(column, clean_language(spoken[0]).alias("first"), *picked)
 
@@ -57,16 +57,17 @@ def state_langs(states: DataFrame, dimension: DataFrame, column: str = "state")
 def allocate_languages(counts: DataFrame, langs: DataFrame, state: str = "state") -> DataFrame:
     """(last_name, lang, weight) rows: the count split over the state's four languages.
 
-    Where two ranks name one language the later rank's weight stands, not the sum.
+    Where two ranks name one language the later rank's weight stands, not the sum. The names of a state without
+    languages stay, with a null language and no weight.
     """
     ranks = ["first", "second", "third", "fourth"]
     entries = F.array(*(F.struct(F.lit(r).alias("r"), F.col(c).alias("lang"), F.lit(w).alias("w")) for r, (c, w) in enumerate(zip(ranks, LANG_WEIGHTS, strict=True))))
     last = F.filter("_langs", lambda x: x["lang"].isNotNull() & ~F.exists("_langs", lambda y: (y["lang"] == x["lang"]) & (y["r"] > x["r"])))
     return (
-        counts.join(langs, state)
+        counts.join(langs, state, "left")
         .withColumn("_langs", entries)
-        .withColumn("_one", F.explode(last))
-        .select("last_name", F.col("_one.lang").alias("lang"), (F.col("count") * F.col("_one.w")).alias("weight"))
+        .withColumn("_one", F.explode_outer(last))
+        .select("last_name", F.col("_one.lang").alias("lang"), (F.col("count") * F.coalesce("_one.w", F.lit(0.0))).alias("weight"))
     )
 
 

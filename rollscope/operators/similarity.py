@@ -16,21 +16,47 @@ from rollscope.operators.ranking import has_column
 CUTOFF = 0.6
 
 
+PARTS = 16
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Over all partitions: names are few bytes, by which partitions would be merged, and much work each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def in_parts(names: DataFrame) -> DataFrame:
+    """Names with their length `_n` and one of PARTS parts, so that a common length is many keys."""
+    return names.withColumns({"_n": F.length("neighbour"), "_part": F.pmod(F.hash("neighbour"), F.lit(PARTS))})
+
+
+def to_every_part(queries: DataFrame) -> DataFrame:
+    return queries.withColumn("_part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+
+
 def _nearest(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k of each query; Spark limits groups before and after the shuffle."""
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def deletions(c: Column) -> Column:
+    """A string and what is left of it without one or two of its letters."""
+    cut = lambda s: F.when(
+        F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(c), cut(c), F.flatten(F.transform(cut(c), cut))))
+
+
 def edit_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, mode: str = "blocked", column: str = "last_name") -> DataFrame:
     """(query, neighbour, distance, rank): the k corpus names at the least edit distance, ties by name.
 
     Both modes give the same rows. `blocked` first takes the k-th distance among names with the query's first two
-    letters and about its length, which is an upper bound, and then compares only names whose length is within it,
-    with a distance that gives up beyond it; `exact` does without bounds. Names meet on an equi-join of lengths,
-    so Spark can split a common length; queries without k names in their block meet all.
+    letters and about its length, which is an upper bound. Names within two edits share a string that is left of each
+    without two letters or fewer, so queries bounded by two meet only names on such strings; the others meet the
+    names whose length is within their bound, on an equi-join of lengths with a distance that gives up beyond it.
+    `exact` does without bounds, as queries without k names in their block do.
     """
     asked = queries.select(F.col(column).alias("query")).filter("query is not null").distinct()
-    names = corpus.select(F.col("last_name").alias("neighbour")).filter("neighbour is not null").distinct()
+    names = spread(corpus.select(F.col("last_name").alias("neighbour")).filter("neighbour is not null").distinct(), "neighbour")
     by_name = (F.col("distance"), F.col("neighbour"))
     sized = names.withColumn("_n", F.length("neighbour"))
     near = asked.withColumn("_n", F.explode(F.array(*(F.length("query") + d for d in (-1, 0, 1)))))
@@ -42,9 +68,13 @@ def edit_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, mode: str = "blo
     bounds = _nearest(block, k, *by_name).filter(F.col("rank") == k).select("query", F.col("distance").alias("bound"))
     if mode == "exact":
         bounds = bounds.filter("false")
+    bounded = asked.join(bounds, "query", "left")
+    few = spread(bounded.filter("bound <= 2"), "query").select("query", "bound", F.explode(deletions(F.col("query"))).alias("_left"))
+    left = names.select("neighbour", F.explode(deletions(F.col("neighbour"))).alias("_left"))
+    close = spread(few, "_left").join(spread(left, "_left"), "_left").drop("_left").distinct()
     longest = names.agg(F.coalesce(F.max(F.length("neighbour")), F.lit(0)).alias("longest"))  # one row
     reach = (
-        asked.join(bounds, "query", "left")
+        bounded.filter("bound is null or bound > 2")
         .crossJoin(F.broadcast(longest))
         .withColumn("bound", F.coalesce("bound", F.greatest(F.length("query"), "longest")))
         .withColumn("_low", F.greatest(F.length("query") - F.col("bound"), F.lit(0)))
@@ -53,7 +83,9 @@ def edit_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, mode: str = "blo
         .withColumn("_n", F.explode(F.sequence("_low", "_high")))
     )
     pairs = (
-        reach.join(sized, "_n")
+        spread(to_every_part(reach), "_n", "_part").join(spread(in_parts(names), "_n", "_part"), ["_n", "_part"])
+        .select("query", "bound", "neighbour")
+        .unionByName(close)
         .withColumn("distance", F.expr("levenshtein(query, neighbour, bound)"))
         .filter("distance >= 0")
         .select("query", "neighbour", "distance")
@@ -81,6 +113,11 @@ def ngram_features(names: DataFrame, n: Sequence[int] = (2,), max_df: float = 1.
     return counts.join(kept, "gram").select("name", "gram", "tf", "df", "n_names")
 
 
+def gram_totals(names: DataFrame, n: Sequence[int] = (2,), column: str = "last_name") -> DataFrame:
+    """(gram, df, total): how many names have each gram, and how often it occurs in all of them."""
+    return ngram_counts(names, n, column).groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
 def tfidf(features: DataFrame) -> DataFrame:
     """(name, gram, w): tf * (ln((1 + n) / (1 + df)) + 1), each name scaled to length 1."""
     raw = features.withColumn("w", F.col("tf") * (F.log((1 + F.col("n_names")) / (1 + F.col("df"))) + 1))
@@ -101,7 +138,7 @@ def cosine_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, max_df: float
     left = asked.select(F.col("name").alias("query"), "gram", F.col("w").alias("wq"))
     right = weights.select(F.col("name").alias("neighbour"), "gram", F.col("w").alias("wc"))
     pairs = (
-        left.join(right, "gram")
+        spread(left, "gram").join(spread(right, "gram"), "gram")
         .groupBy("query", "neighbour")
         .agg(F.round(F.sum(F.col("wq") * F.col("wc")), 9).alias("similarity"))
     )
@@ -114,30 +151,46 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def letter_tokens(names: DataFrame, column: str) -> DataFrame:
+    """Adds `tokens`: each letter with its number among the equal letters of the name, so that none repeats."""
+    letters = F.filter(F.split(column, ""), lambda x: x != "")
+    numbered = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    return names.withColumn("tokens", numbered)
+
+
 def closest_match(queries: DataFrame, corpus: DataFrame, cutoff: float = CUTOFF, column: str = "last_name") -> DataFrame:
     """(query, neighbour, ratio): the best sequence ratio of cutoff or more, ties to the later name; else nulls.
 
-    A ratio of the cutoff means shared letters: only names that share letters enough to reach it are compared.
+    The ratio of the nearest name by edit distance is a lower bound of the best one. What is matched is a common
+    subsequence, so a ratio of at least the bound needs lengths that are near enough, an edit distance of at most
+    (1 - bound) times both lengths together, and as many shared letters; only pairs that have all three are compared.
     """
-    asked = queries.select(F.col(column).alias("query")).filter("query is not null").distinct()
-    names = corpus.select(F.col("last_name").alias("neighbour")).filter("neighbour is not null").distinct()
-    letters = lambda df, c, n: df.select(c, F.length(c).alias(n), F.explode(F.split(c, "")).alias("ch")).filter("ch <> ''").groupBy(c, n, "ch").agg(F.count("*").alias(f"_{n}"))
-    shared = (
-        letters(asked, "query", "nq")
-        .join(letters(names, "neighbour", "nc"), "ch")
-        .groupBy("query", "neighbour", "nq", "nc")
-        .agg(F.sum(F.least("_nq", "_nc")).alias("both"))
-        .filter(2 * F.col("both") >= cutoff * (F.col("nq") + F.col("nc")))
+    asked = letter_tokens(queries.select(F.col(column).alias("query")).filter("query is not null").distinct(), "query")
+    names = letter_tokens(corpus.select(F.col("last_name").alias("neighbour")).filter("neighbour is not null").distinct(), "neighbour")
+    nearest = edit_knn(queries, corpus, 1, column=column)
+    bounds = nearest.select("query", F.greatest(F.lit(cutoff), sequence_ratio("neighbour", "query")).alias("bound"))
+    mine = (
+        asked.withColumnRenamed("tokens", "mine").join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(cutoff)))
+        .withColumn("_low", F.ceil(F.length("query") * F.col("bound") / (2 - F.col("bound")) - 1e-9).cast("int"))
+        .withColumn("_high", F.floor(F.length("query") * (2 - F.col("bound")) / F.col("bound") + 1e-9).cast("int"))
+        .withColumn("_n", F.explode(F.sequence("_low", "_high")))
+    )
+    both = F.length("query") + F.length("neighbour")
+    met = (
+        spread(to_every_part(mine), "_n", "_part").join(spread(in_parts(names), "_n", "_part"), ["_n", "_part"])
+        .withColumn("_far", F.floor((1 - F.col("bound")) * both + 1e-9).cast("int"))
+        .filter("levenshtein(query, neighbour, _far) >= 0")
+        .filter(2 * F.size(F.array_intersect("mine", "tokens")) >= F.col("bound") * both - 1e-9)
     )
-    scored = shared.select("query", "neighbour", sequence_ratio("neighbour", "query").alias("ratio")).filter(F.col("ratio") >= cutoff)
+    scored = met.select("query", "neighbour", sequence_ratio("neighbour", "query").alias("ratio")).filter(F.col("ratio") >= cutoff)
     best = scored.groupBy("query").agg(F.max(F.struct("ratio", "neighbour")).alias("b")).select("query", "b.neighbour", "b.ratio")
-    return asked.join(best, "query", "left")
+    return asked.select("query").join(best, "query", "left")
 
 
 def neighbour_labels(neighbours: DataFrame, corpus: DataFrame, labels: Sequence[str], how: str = "sum") -> DataFrame:
     """(query, one column a label): the neighbours' corpus rows added up or averaged."""
     rows = neighbours.join(corpus, neighbours["neighbour"] == corpus["last_name"])
-    add = F.sum if how == "sum" else F.avg
+    add = F.sum if how == "sum" else lambda c: F.round(F.avg(c), 9)  # so that the order of adding makes no ties
     return rows.groupBy("query").agg(*(add(F.col(f"`{c}`")).alias(c) for c in labels))
 
 
@@ -154,7 +207,7 @@ def knn_sweep(queries: DataFrame, corpus: DataFrame, labels: Sequence[str], ks:
     ranked = cosine_knn(queries, corpus, max(ks), column=column)
     each = ranked.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("rank <= k")
     rows = each.join(corpus, each["neighbour"] == corpus["last_name"])
-    means = rows.groupBy("query", "k").agg(*(F.avg(F.col(f"`{c}`")).alias(c) for c in labels))
+    means = rows.groupBy("query", "k").agg(*(F.round(F.avg(F.col(f"`{c}`")), 9).alias(c) for c in labels))
     return means.select("query", "k", argmax([F.col(f"`{c}`") for c in labels], labels).alias("pred"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,8 @@ from rollscope.functions import names as fn
 from rollscope.functions.sql import register
 from rollscope.operators import classify, corpus, counts, enrich, evaluate, labels, ranking, sampling, similarity
 from rollscope.plans import tables as t
+from rollscope.sources import rolls, schemas
+from rollscope.sources.shared import shared_folder
 from rollscope.streaming.rolls import incremental_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,12 +217,12 @@ def source_proportions(spark, sf):
     return corpus.state_proportions(t.names(spark, sf))
 
 
-_USERS = r"users as (select doc_id, string_split(text, ' ')[1] as name from documents)"
+_USERS = r"users as (select doc_id, unnest(regexp_split_to_array(text, '\s+')) as name from documents)"
 
 
 def _users(spark, sf):
-    """A user's table: the first word of every document as it is written."""
-    return t.table(spark, sf, "documents").select("doc_id", F.get(F.split("text", " "), F.lit(0)).alias("name"))
+    """A user's table: every word of every document as it is written."""
+    return t.table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("name"))
 
 
 @query(
@@ -279,12 +280,12 @@ _DIM = """dim as (
     ['hindi (including x)', 'urdu', 'hindi', 'odia', 'tamil'][n_regionkey + 1] as first,
     ['urdu', 'odia', 'tamil', 'telugu', 'odia'][n_regionkey + 1] as second,
     ['bengali', 'hindi', 'nepali', 'odia', 'tamil'][n_regionkey + 1] as third,
-    ['odia', 'odia', 'hindi', 'mizo', 'odia'][n_regionkey + 1] as fourth from nation)"""
+    ['odia', 'odia', 'hindi', 'mizo', 'odia'][n_regionkey + 1] as fourth from nation where n_nationkey <> 7)"""
 
 
 def _dimension(spark, sf):
     pick = lambda *x: F.get(F.array(*map(F.lit, x)), F.col("n_regionkey"))
-    return t.table(spark, sf, "nation").select(
+    return t.table(spark, sf, "nation").filter("n_nationkey <> 7").select(  # one state has no row
         F.concat(F.lit("Land of "), F.replace("n_name", F.lit("_"), F.lit(" "))).alias("state"),
         F.col("n_nationkey").alias("seq"),
         pick("Hindi (including x)", "Urdu", "Hindi", "Odia", "Tamil").alias("most_spoken_lang"),
@@ -308,12 +309,13 @@ def state_match_containment(spark, sf):
 _ALLOC = f"""{t.ROLL}, {_DIM}, m as (
   select n_name as state, arg_max(dim.state, dim.seq) as matched from nation
     left join dim on contains(lower(dim.state), lower(replace(n_name, '_', ' '))) group by 1),
-l as (select m.state, regexp_replace(first, 'hindi .including.*', 'hindi') as first, second, third, fourth from m join dim on matched = dim.state),
+l as (select m.state, regexp_replace(first, 'hindi .including.*', 'hindi') as first, second, third, fourth from m left join dim on matched = dim.state),
 c as (select string_split(elector_name, ' ')[-1] as last_name, state, count(*) as count from roll group by 1, 2),
 a as (
   select last_name, unnest([first, second, third, fourth]) as lang, unnest([0.5, 0.25, 0.125, 0.125]::double[]) as w,
-    unnest([1, 2, 3, 4]) as r, count, state from c join l using (state)),
-alloc as (select last_name, lang, count * w as weight from a qualify row_number() over (partition by last_name, state, lang order by r desc) = 1)"""
+    unnest([1, 2, 3, 4]) as r, count, state from c left join l using (state)),
+alloc as (select last_name, lang, count * w as weight from a where lang is not null qualify row_number() over (partition by last_name, state, lang order by r desc) = 1
+  union all select last_name, null as lang, 0.0::double as weight from c left join l using (state) where first is null)"""
 
 
 def _allocated(spark, sf):
@@ -385,8 +387,7 @@ def json_map_explode(spark, sf):
 @query(f"with {t.TOKENS} select last_name, state, count(*) as count from tokens group by 1, 2")
 def streaming_counts(spark, sf):
     """Running counts over the documents' files as they arrive, after the last of them."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rollscope-stream-")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = t.table(spark, sf, "documents").schema
     # A pattern, since the table may be one file or a folder.
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/documents.parque[t]")
@@ -394,17 +395,66 @@ def streaming_counts(spark, sf):
     return spark.read.parquet(f"{folder}/counts")
 
 
+# --- sources and sinks
+
+
+def _written(spark, sf, layout, name, by=None):
+    """The roll as gzipped CSV files in the shared folder."""
+    path = f"{shared_folder(spark)}/rolls-{uuid.uuid4().hex}/{name}"
+    rolls.write_csv(t.roll(spark, sf).select(*layout), path, by)
+    return path
+
+
+@query(f"with {t.ROLL}, twice as (select * from roll union all select * from roll) select elector_name, father_or_husband_name, state, sex, count(*) as n from twice group by all")
+def roll_layouts(spark, sf):
+    """The roll through files of two layouts, a renamed and a transliterated one, read back as one table."""
+    other = [F.col(c).alias(f"{c}_t13n") for c in ("elector_name", "father_or_husband_name")]
+    named = _written(spark, sf, [F.col("elector_name").alias("name"), "father_or_husband_name", "sex", "state"], "named")
+    t13n = _written(spark, sf, [*other, "state", "sex"], "t13n")
+    rows = rolls.union_rolls(
+        rolls.reconcile_roll(rolls.read_rolls(spark, named, schemas.ROLL_NAMED), "named"),
+        rolls.reconcile_roll(rolls.read_rolls(spark, t13n, schemas.ROLL_T13N), "t13n"),
+    )
+    return rows.groupBy("elector_name", "father_or_husband_name", "state", "sex").agg(F.count("*").alias("n"))
+
+
+@query(f"with {t.ROLL} select state, elector_name, count(*) as n from roll group by all")
+def roll_file_names(spark, sf):
+    """Files of one state each, in a tree, with the states read from their names."""
+    path = _written(spark, sf, ["elector_name", "father_or_husband_name", "sex", F.replace("state", F.lit("_"), F.lit(" ")).alias("file")], "tree", "file")
+    fs = spark._jvm.org.apache.hadoop.fs
+    root = fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in store.listStatus(root):  # one a state
+        if folder.isDirectory():
+            state = folder.getPath().getName().split("=")[1].replace("%20", " ").replace(" ", "~")
+            for k, file in enumerate(store.listStatus(folder.getPath())):
+                store.rename(file.getPath(), fs.Path(folder.getPath(), f"{state}_2021-{k}.csv.gz"))
+    read = rolls.read_rolls(spark, path, schemas.strings("elector_name", "father_or_husband_name", "sex"), recursive=True)
+    rows = rolls.with_state_from_path(read).withColumn("state", F.replace("state", F.lit("~"), F.lit("_")))
+    return rows.groupBy("state", "elector_name").agg(F.count("*").alias("n"))
+
+
+@query(f"with {t.ROLL}, c as (select elector_name as last_name, state, count(*) as n from roll group by all) select last_name, state, n from c")
+def corpus_round_trip(spark, sf):
+    """A corpus written by state and appended to, read back."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    found = t.roll(spark, sf).groupBy(F.col("elector_name").alias("last_name"), "state").agg(F.count("*").alias("n"))
+    rolls.write_corpus(found, path, "state")
+    return rolls.read_corpus(spark, path).select("last_name", "state", "n")
+
+
 # --- nearest names
 
 
 @query(
-    f"""with {t.TOKENS}, {t.CORPUS}, {t.PART_WORDS}, q as (select distinct last_name as query from words),
+    f"""with {t.TOKENS}, {t.CORPUS}, {t.ASKED_WORDS}, q as (select distinct last_name as query from words),
     p as (select query, last_name as neighbour, levenshtein(query, last_name) as distance from q, corpus)
     select *, row_number() over (partition by query order by distance, neighbour)::int as rank from p qualify rank <= 3"""
 )
 def edit_knn_top3(spark, sf):
     found = counts.name_counts(t.names(spark, sf)).filter("count >= 3")
-    return similarity.edit_knn(t.part_words(spark, sf), found).select("query", "neighbour", "distance", "rank")
+    return similarity.edit_knn(t.asked_names(spark, sf), found).select("query", "neighbour", "distance", "rank")
 
 
 _LOOKUP = f"""w as (select last_name, {_LANG_WIDE} from names group by 1 having count(*) >= 3),
@@ -415,12 +465,12 @@ _LOOKUP = f"""w as (select last_name, {_LANG_WIDE} from names group by 1 having
 
 
 @query(
-    f"""with {t.TOKENS}, {t.PART_WORDS}, q as (select distinct last_name as query from words), {_LOOKUP}
+    f"""with {t.TOKENS}, {t.ASKED_WORDS}, q as (select distinct last_name as query from words), {_LOOKUP}
     select last_name, predicted_lang, count(*) as n from words left join best on last_name = query group by 1, 2"""
 )
 def lookup_lang(spark, sf):
     wide = corpus.pivot_states(counts.name_state_counts(counts.min_occurrence(t.names(spark, sf)), state="lang"), t.LANGS, state="lang")
-    found = similarity.lookup_lang(t.part_words(spark, sf), "last_name", wide, t.LANGS)
+    found = similarity.lookup_lang(t.asked_names(spark, sf), "last_name", wide, t.LANGS)
     return found.groupBy("last_name", "predicted_lang").agg(F.count("*").alias("n"))
 
 
@@ -430,6 +480,11 @@ tf as (select name, gram, count(*) as tf from g0 group by 1, 2),
 df0 as (select gram, count(*) as df, (select count(*) from d) as n_names from tf group by 1)"""
 
 
+@query(f"with {t.TOKENS}, {_GRAMS} select gram, count(*) as df, sum(tf)::bigint as total from tf group by 1")
+def gram_totals(spark, sf):
+    return similarity.gram_totals(t.names(spark, sf))
+
+
 @query(f"with {t.TOKENS}, {_GRAMS} select gram, df from df0")
 def bigram_df(spark, sf):
     return similarity.ngram_features(t.names(spark, sf)).select("gram", "df").distinct()
@@ -457,13 +512,13 @@ q2 as (select name, gram, count(*) as tf from q1 group by 1, 2),
 q3 as (select name, gram, tf * (ln((1 + n_names) / (1 + df)) + 1) as w from q2 join kept using (gram)),
 q as (select name, gram, w / sqrt(sum(w * w) over (partition by name)) as w from q3),
 p as (select q.name as query, c.name as neighbour, round(sum(q.w * c.w), 9) as similarity from q join c using (gram) group by 1, 2),
-nn as (select *, row_number() over (partition by query order by similarity desc, neighbour)::int as rank from p qualify rank <= 5)"""
+nn as (select *, row_number() over (partition by query order by similarity desc, neighbour)::int as rank from p qualify rank <= 10)"""
 
 
-@query(f"with {t.TOKENS}, {t.PART_WORDS}, {_COSINE} select query, neighbour, round(similarity, 6) as similarity, rank from nn")
+@query(f"with {t.TOKENS}, {t.ASKED_WORDS}, {_COSINE} select query, neighbour, round(similarity, 6) as similarity, rank from nn where rank <= 5")
 def cosine_knn(spark, sf):
     found = counts.name_counts(t.names(spark, sf)).filter("count >= 3")
-    pairs = similarity.cosine_knn(t.part_words(spark, sf), found, 5)
+    pairs = similarity.cosine_knn(t.asked_names(spark, sf), found, 5)
     return pairs.select("query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -476,25 +531,32 @@ _KNN = f"""{_COSINE}, lc as (select last_name, {", ".join(f"count(*) filter (lan
 
 
 @query(
-    f"""with {t.TOKENS}, {t.PART_WORDS}, {_KNN},
+    f"""with {t.TOKENS}, {t.ASKED_WORDS}, {_KNN},
     k as (select query, rank, lc.* from nn join lc on neighbour = last_name),
-    e as (select unnest([3, 5]) as k),
-    m as (select query, e.k, {", ".join(f"avg({c}) as {c}" for c in t.LANGS)} from k, e where rank <= e.k group by 1, 2)
+    e as (select unnest([3, 5, 10]) as k),
+    m as (select query, e.k, {", ".join(f"round(avg({c}), 9) as {c}" for c in t.LANGS)} from k, e where rank <= e.k group by 1, 2)
     select query, k, case {_CASE("greatest(de, en, es, fr)", t.LANGS)} end as pred from m"""
 )
 def knn_sweep(spark, sf):
-    return similarity.knn_sweep(t.part_words(spark, sf), _lang_corpus(spark, sf), t.LANGS, (3, 5))
+    return similarity.knn_sweep(t.asked_names(spark, sf), _lang_corpus(spark, sf), t.LANGS, (3, 5, 10))
 
 
-@query()
+@query(
+    f"""with {t.TOKENS}, {t.ASKED_WORDS}, {_KNN},
+    m as (select query, {", ".join(f"round(avg({c}), 9) as {c}" for c in t.LANGS)} from nn join lc on neighbour = last_name where rank <= 5 group by 1),
+    u as (select query, unnest(['de', 'en', 'es', 'fr']) as label, unnest([de, en, es, fr]) as v from m),
+    best as (select *, row_number() over (partition by query order by v desc, label) as place from u qualify place <= 3)
+    select query, string_agg(label, ',' order by place) as pred_state from best group by 1"""
+)
 def knn_state(spark, sf):
-    found = similarity.knn_state(t.part_words(spark, sf), _lang_corpus(spark, sf), t.LANGS, k=5)
+    found = similarity.knn_state(t.asked_names(spark, sf), _lang_corpus(spark, sf), t.LANGS, k=5)
     return found.withColumn("pred_state", F.concat_ws(",", "pred_state"))
 
 
 @query()
 def closest_match(spark, sf):
-    return similarity.closest_match(t.part_words(spark, sf), counts.name_counts(t.names(spark, sf)).filter("count >= 3"))
+    """For the names whose hash is divisible by 2048, as each is compared with many."""
+    return similarity.closest_match(t.asked_names(spark, sf, 2048), counts.name_counts(t.names(spark, sf)).filter("count >= 3"))
 
 
 # --- splits and samples
@@ -508,6 +570,16 @@ def split_80_20(spark, sf):
     return rows.groupBy("last_name", "part").agg(F.count("*").alias("n"))
 
 
+@query(f"with {t.TOKENS} select last_name, case when {_H} % 10000 < 8000 then 0 when {_H} % 10000 < 9000 then 1 else 2 end as part, count(*) as n from names group by 1, 2")
+def split_80_10_10(spark, sf):
+    return sampling.split_by_key(t.names(spark, sf), "last_name", (0.8, 0.1, 0.1)).groupBy("last_name", "part").agg(F.count("*").alias("n"))
+
+
+@query(f"with {t.TOKENS} select last_name, case when {_H} % 10000 < 9025 then 0 when {_H} % 10000 < 9500 then 1 else 2 end as part, count(*) as n from names group by 1, 2")
+def split_nested_95_5(spark, sf):
+    return sampling.split_by_key(t.names(spark, sf), "last_name", (0.9025, 0.0475, 0.05)).groupBy("last_name", "part").agg(F.count("*").alias("n"))
+
+
 @query(
     f"""with {t.TOKENS}, p as (select distinct last_name, state from names)
     select last_name, state, (row_number() over (partition by state order by {_H}, last_name)
@@ -633,7 +705,10 @@ def classification_report(spark, sf):
     avg(list_contains(pred, label)::int) as in_topk from judged"""
 )
 def topk_accuracy(spark, sf):
-    rows = _judged(spark, sf).cache()  # a row a test name, read three times
+    rows = _judged(spark, sf)
+    folder = f"{shared_folder(spark)}/judged-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)  # a row a test name, read three times
+    rows = spark.read.parquet(folder)
     parts = [
         evaluate.accuracy(rows, "label", "best"),
         evaluate.topk_accuracy(rows, "truth", "pred").withColumnRenamed("accuracy", "topk"),
@@ -642,6 +717,26 @@ def topk_accuracy(spark, sf):
     return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
 
 
+@query(
+    f"""with {t.TOKENS}, {_JUDGED}, c as (select unnest(truth[1:3]) as one, pred from judged)
+    select avg(list_contains(pred, one)::int) as accuracy from c"""
+)
+def pair_accuracy(spark, sf):
+    return evaluate.pair_accuracy(_judged(spark, sf), "truth", "pred")
+
+
+@query(
+    f"""with {t.TOKENS}, {_JUDGED}, f as (select last_name, count(*) as total_freq, count(*) / (select count(*) from names) as total_freq_n from names group by 1)
+    select name as last_name, array_to_string(pred, ',') as pred, total_freq, total_freq_n, label from judged join f on name = last_name"""
+)
+def evaluation_table(spark, sf):
+    """Predictions of the test names with their counts and true labels."""
+    rows = _judged(spark, sf)
+    predictions = rows.select(F.col("name").alias("last_name"), F.concat_ws(",", "pred").alias("pred"))
+    frequencies = counts.name_share(t.names(spark, sf)).withColumnsRenamed({"count": "total_freq", "share": "total_freq_n"})
+    return evaluate.evaluation_table(predictions, frequencies, rows.select(F.col("name").alias("last_name"), "label"))
+
+
 @query(
     f"""with {t.TOKENS}, {_JUDGED} select avg(coalesce(truth[1] = pred[1], false)::int) as first, avg(coalesce(truth[2] = pred[2], false)::int) as second,
     avg(coalesce(truth[3] = pred[3], false)::int) as third,
@@ -727,18 +822,18 @@ def pred_last_state(spark, sf):
 
 @query()
 def predict_lang(spark, sf):
-    """Three models on the first, second and third label of each name, applied to the words of part names."""
+    """Three models on the first, second and third label of each name, applied to the names asked for."""
     wide = corpus.pivot_states(counts.name_state_counts(t.names(spark, sf), state="lang"), t.LANGS, state="lang")
     ranked = labels.top3_labels(wide, t.LANGS)
     models = tuple(classify.NaiveBayes(ranked, label=c) for c in ("first_lang", "second_lang", "third_lang"))
-    found = classify.predict_lang(t.part_words(spark, sf), "last_name", models)
+    found = classify.predict_lang(t.asked_names(spark, sf), "last_name", models)
     return found.groupBy("last_name", F.concat_ws(",", "predicted_lang").alias("predicted_lang")).agg(F.count("*").alias("n"))
 
 
 @query()
 def forest_lang(spark, sf):
     train, test = _split_pairs(spark, sf)
-    found = classify.forest_state(train, test, num_trees=10, features=256)
+    found = classify.forest_state(train, test)
     return found.groupBy("label", "pred").agg(F.count("*").alias("n"))
 
 
@@ -762,3 +857,24 @@ def sql_functions(spark, sf):
         "select normalize_name(last_name) as name, size(char_bigrams(last_name)) as bigrams, count(*) as n "
         "from rollscope_names group by 1, 2"
     )
+
+
+_LAST = "string_split({0}, ' ')[-1]"
+
+
+@query(
+    f"""with {t.ROLL}, w as (select elector_name as a, father_or_husband_name as b from roll),
+    s as (select a, b, {_LAST.format("a")} as fallback,
+      case when {_LAST.format("a")} = {_LAST.format("b")} and length({_LAST.format("a")}) > 2 then {_LAST.format("a")} end as household,
+      lower([x for x in string_split(a, ' ') if list_contains(string_split(b, ' '), x)][1]) as shared from w)
+    select a, b, fallback, household, case when length(shared) >= 3 then shared end as shared, count(*) as n from s group by all"""
+)
+def sql_name_rules(spark, sf):
+    """The rules for last names as SQL functions."""
+    register(spark)
+    t.roll(spark, sf).createOrReplaceTempView("rollscope_roll")
+    return spark.sql(
+        "select elector_name as a, father_or_husband_name as b, last_name_fallback(elector_name, father_or_husband_name) as fallback, "
+        "last_name_household(elector_name, father_or_husband_name) as household, "
+        "last_name_shared(elector_name, father_or_husband_name) as shared, count(*) as n from rollscope_roll group by all"
+    )

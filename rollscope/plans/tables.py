@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rollscope.operators.ranking import hash32 as hash32_column
+
 SOURCES = [f"src{i}" for i in range(20)]
 LANGS = ["de", "en", "es", "fr"]
 
@@ -50,6 +52,15 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("last_name"))
 
 
+#: Searches ask for the names whose hash is divisible by this.
+ASKED_EACH = 64
+
+
+def asked_names(spark: SparkSession, sf_dir: str, each: int = ASKED_EACH) -> DataFrame:
+    """(last_name): the rows of the names that the searches ask for, a stated set that grows with the documents."""
+    return names(spark, sf_dir).select("last_name").filter(hash32_column("last_name") % each == 0)
+
+
 TOKENS = r"""
 tokens0 as (
   select doc_id, source as state, lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) as last_name from documents
@@ -70,3 +81,6 @@ CORPUS = "corpus as (select last_name from names group by 1 having count(*) >= 3
 
 def hash32(key: str, seed: str = "0") -> str:
     return f"('0x' || substr(md5('{seed}:' || ({key})::varchar), 1, 8))::bigint"
+
+
+ASKED_WORDS = f"words as (select last_name from names where {hash32('last_name')} % {ASKED_EACH} = 0)"

@@ -187,3 +187,18 @@ def test_empty_tables(spark):
     assert similarity.edit_knn(empty, empty).count() == 0
     assert similarity.cosine_knn(empty, empty).count() == 0
     assert sampling.sample_per_group(empty, "last_name", "state").count() == 0
+
+
+def test_closest_match_against_all_pairs(spark, sf):
+    from difflib import SequenceMatcher
+
+    from rollscope.plans import tables
+
+    known = counts.name_counts(tables.names(spark, sf)).filter("count >= 3")
+    asked = tables.asked_names(spark, sf, 512)
+    found = {r.query: (r.neighbour, r.ratio) for r in similarity.closest_match(asked, known).collect()}
+    names = [r.last_name for r in known.collect()]
+    assert len(found) > 20
+    for q, got in found.items():
+        ratio, best = max((SequenceMatcher(None, n, q).ratio(), n) for n in names)
+        assert got == ((best, ratio) if ratio >= similarity.CUTOFF else (None, None))
