@@ -53,7 +53,7 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Searches ask for the names whose hash is divisible by this.
-ASKED_EACH = 64
+ASKED_EACH = 512
 
 
 def asked_names(spark: SparkSession, sf_dir: str, each: int = ASKED_EACH) -> DataFrame:
