@@ -1,16 +1,18 @@
 """Toxicity: a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 The kernel of two words sums their common subsequences of ORDER letters, each weighted by DECAY to the power of
-the stretches it covers, so gapped spellings and inserted characters still match. Words are compared as letters
-only (`i.d.i.o.t` is `idiot`, digits stand for the letters they imitate, lone letters in a row are one word) after a
-mark of the word's start, and a
-word counts for a landmark only if it has all of the landmark's letters.
-
-A text's features are, for each landmark, the highest kernel value of any of its words, over the landmark's own,
-stretched so that LEAST and less is 0 and 1 and more is 1, and squared.
-Landmarks are strings that set toxic training texts apart, and frequent words of the others. The features are
-whitened by the landmarks' kernel matrix (Nyström), a support vector machine is trained on them by dual
-coordinate descent, and its margin is mapped to a probability (Platt).
+the stretches it covers, so gapped spellings and inserted characters still match. It is normalised to 1 for equal words
+and raised to POWER, a kernel again, under which words that share a few letters by chance are nearly orthogonal. Words
+are compared as letters only (`i.d.i.o.t` is `idiot`, digits stand for the letters they imitate, lone letters in a row are
+one word) after a mark of the word's start.
+
+A text is the set of its words' beginnings, so endings cost nothing, and a landmark is a set of one string. The kernel of
+a text with a landmark is the highest of any beginning; normalised values under FLOOR count as 0, which changes a kernel
+value by FLOOR to the POWER at most. Pairs that can't reach FLOOR by their letters are not computed: without some of its
+letters a landmark keeps only a part of its norm.
+Landmarks are strings that set toxic training texts apart, and frequent words of the others. Kernel values with the
+landmarks times the inverse root of the landmarks' own kernel matrix are the features (Nyström), a support vector machine
+is trained on them by dual coordinate descent, and its margin is mapped to a probability (Platt).
 
 Training texts are whole texts and, of toxic ones, also each sentence that a telling string (SURE or more) shows to
 be meant. Training uses at most TRAIN_TEXTS texts of each label, those with the smallest hashes, of TRAIN_CHARS characters
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from rollscope.llm.common import bounded_batches
 
 ORDER = 3
-DECAY = 0.6
+DECAY = 0.8
 LANDMARKS = 104
 CLEAN_LANDMARKS = 8
 TRAIN_TEXTS = 1500
@@ -38,8 +41,9 @@ TRAIN_CHARS = 20_000
 LONGEST = 26
 START = "^^"
 HELD_OUT = 5
-LEAST = 0.55
-SURE = 0.9
+POWER = 7
+FLOOR = 0.7
+SURE = 0.5
 
 SENTENCE = re.compile(r"[.!?]\s|\n")
 LONE = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
@@ -110,40 +114,133 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def least_norms() -> np.ndarray:
+    """The norm that a string of 1, 2, ... LONGEST letters has at least, that of one of all different letters."""
+    n, wide = np.arange(1, LONGEST + 1)[:, None], np.arange(2, LONGEST)[None, :]
+    return np.sqrt(((n - wide).clip(0) * (wide - 1) * DECAY ** (2.0 * (wide + 1))).sum(axis=1))
+
+
 class Landmarks:
-    """The landmark strings with their letters and their own kernel values."""
+    """The landmark strings with their subsequences of three letters and their Nyström map."""
 
     def __init__(self, strings: list[str]):
         self.strings = strings
         self.bits = letter_bits(strings)
-        self.own = kernel(strings, strings)
-        at = [(i, j) for i in range(len(strings)) for j in range(len(strings))]
-        cross = kernel([strings[i] for i, _ in at], [strings[j] for _, j in at]).reshape(len(strings), len(strings))
-        scale = np.sqrt(self.own)
-        values, vectors = np.linalg.eigh(cross / scale[:, None] / scale[None, :])
+        codes = sorted({ord(c) for s in strings for c in s})
+        self.numbers = np.zeros(max(codes, default=0) + 2, np.int64)  # of the letters of landmarks; 0 for any other
+        self.numbers[codes] = np.arange(1, len(codes) + 1)
+        self.letters = len(codes) + 1
+        weight: Counter = Counter()  # of (subsequence, landmark)
+        for number, s in enumerate(strings):
+            for at in combinations(range(len(s)), ORDER):
+                weight["".join(s[i] for i in at), number] += DECAY ** (at[-1] - at[0] + 1)
+        every = sorted({u for u, _ in weight})
+        weights = np.zeros((len(every) + 1, len(strings)))  # a row a subsequence, none for row 0
+        row = {u: i + 1 for i, u in enumerate(every)}
+        for (u, number), w in weight.items():
+            weights[row[u], number] = w
+        weights /= np.sqrt((weights**2).sum(axis=0))
+        # The landmarks that have each subsequence, and the weights there.
+        self.holds = (weights > 0).sum(axis=1)
+        self.begins = np.cumsum(self.holds) - self.holds
+        self.held_by = np.nonzero(weights)[1]
+        self.weights = weights[weights > 0]
+        # Numbers of the first two letters, and by these and the third that of the subsequence.
+        pair = {u: i + 1 for i, u in enumerate(sorted({u[:2] for u in every}))}
+        of = lambda c: int(self.numbers[ord(c)])
+        self.pairs = np.zeros(self.letters**2, np.int64)
+        for u, i in pair.items():
+            self.pairs[of(u[0]) * self.letters + of(u[1])] = i
+        self.triples = np.zeros((len(pair) + 1) * self.letters, np.int32)
+        for u in every:
+            self.triples[pair[u[:2]] * self.letters + of(u[2])] = row[u]
+        values, vectors = np.linalg.eigh((weights.T @ weights) ** POWER)
         self.whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+        bits = letter_bits(every)
+        self.spare = [self._spare(b, bits, w**2) for b, w in zip(self.bits, weights[1:].T, strict=True)]
+
+    @staticmethod
+    def _spare(own: np.uint32, bits: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """The sets of a landmark's letters, as bits, that a word can lack and still have a normalised kernel of FLOOR with it.
+
+        The kernel is the inner product over the subsequences that both have, so, normalised, it is at most the norm of the
+        landmark's subsequences without those letters.
+        """
+        bits, parts = bits[parts > 0], parts[parts > 0]
+        each = [1 << i for i in range(32) if int(own) >> i & 1]
+        allowed, latest = [0], [0]
+        while latest:  # a set is allowed only if all smaller ones are
+            larger = {some | one for some in latest for one in each if one > some}
+            latest = sorted(x for x in larger if parts[(bits & np.uint32(x)) == 0].sum() >= FLOOR**2)
+            allowed += latest
+        return np.array(sorted(allowed), dtype=np.uint32)
+
+    def likeness(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word number, landmark, kernel) of the beginnings of words of LONGEST letters or fewer whose normalised value with
+        a landmark is FLOOR or more, raised to POWER."""
+        bits = letter_bits(words)
+        near = np.zeros(len(words), dtype=bool)
+        for own, spare in zip(self.bits, self.spare, strict=True):
+            lacking = own & ~bits
+            few = np.flatnonzero(np.bitwise_count(lacking) <= np.bitwise_count(spare).max())
+            near[few[np.isin(lacking[few], spare)]] = True
+        by_length: dict[int, list[int]] = {}
+        for i in np.flatnonzero(near).tolist():
+            by_length.setdefault(len(words[i]), []).append(i)
+        floor = FLOOR * least_norms()
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        begins: list[str] = []
+        for n, at in by_length.items():
+            if n < ORDER:
+                continue
+            i, j = np.triu_indices(n, 1)
+            number = np.zeros((n, n), dtype=int)
+            number[i, j] = np.arange(len(i))
+            places = np.array(sorted(combinations(range(n), ORDER), key=lambda x: x[-1]))
+            two, last = number[places[:, 0], places[:, 1]], places[:, 2]
+            weight = DECAY ** (last - places[:, 0] + 1.0)
+            step = max(1, (1 << 17) // len(places))
+            for low in range(0, len(at), step):
+                some = at[low : low + step]
+                a = self.numbers[np.minimum(padded([words[x] for x in some], n), len(self.numbers) - 1)]
+                start = self.pairs[a[:, i] * self.letters + a[:, j]] * self.letters
+                held = self.triples[start[:, two] + a[:, last]]
+                r, c = np.nonzero(held)
+                if not len(r):
+                    continue
+                t = held[r, c]
+                times = self.holds[t]
+                at_weight = np.repeat(self.begins[t] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                cell = np.repeat(r * len(self.strings) * n + last[c], times) + self.held_by[at_weight] * n
+                value = np.bincount(cell, np.repeat(weight[c], times) * self.weights[at_weight], len(some) * len(self.strings) * n)
+                value = value.reshape(-1, n).cumsum(axis=1)
+                x, end = np.nonzero((value >= floor[:n]) & (value > 0))
+                word, l = np.divmod(x, len(self.strings))
+                found.append((np.array(some)[word], l, value[x, end]))
+                begins += [words[some[k]][: e + 1] for k, e in zip(word.tolist(), end.tolist(), strict=True)]
+        word, landmark, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        distinct = sorted(set(begins))
+        norm = dict(zip(distinct, np.sqrt(kernel(distinct, distinct)).tolist(), strict=True))
+        value = value / np.array([norm[x] for x in begins])
+        alike = value >= FLOOR
+        return word[alike], landmark[alike], np.minimum(value[alike], 1.0) ** POWER
 
     def features(self, texts: Iterable[set[str]]) -> np.ndarray:
-        """(texts, landmarks): the best word of each text for each landmark."""
+        """(texts, landmarks): the kernel of each text with each landmark."""
         texts = list(texts)
         out = np.zeros((len(texts), len(self.strings)))
-        every = list(set().union(*texts)) if texts else []
-        parts, word = [], []
-        for i, w in enumerate(every):
-            some = letters(w)
-            parts += some
-            word += [i] * len(some)
+        holders: dict[str, list[str]] = {}
+        for w in set().union(*texts):
+            for part in letters(w):
+                holders.setdefault(part, []).append(w)
+        parts = list(holders)
         if not parts or not self.strings:
             return out
-        bits = letter_bits(parts)
-        has = [np.flatnonzero((bits & b) == b) for b in self.bits]
-        p, l = np.concatenate(has), np.repeat(np.arange(len(has)), [len(h) for h in has])
-        value = kernel([parts[i] for i in p], [self.strings[j] for j in l]) / self.own[l]
-        strong = value >= LEAST
         best: dict[str, dict[int, float]] = {}
-        for i, j, v in zip(p[strong].tolist(), l[strong].tolist(), value[strong].tolist(), strict=True):
-            of = best.setdefault(every[word[i]], {})
-            of[j] = max(of.get(j, 0.0), ((min(v, 1.0) - LEAST) / (1 - LEAST)) ** 2)
+        for i, j, v in zip(*(x.tolist() for x in self.likeness(parts)), strict=True):
+            for w in holders[parts[i]]:
+                of = best.setdefault(w, {})
+                of[j] = max(of.get(j, 0.0), v)
         flagged = best.keys()
         for row, text in zip(out, texts, strict=True):
             for w in flagged & text:

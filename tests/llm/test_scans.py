@@ -309,6 +309,35 @@ def test_kernel(s, t):
     assert toxicity.kernel([s], [t])[0] == pytest.approx(brute_kernel(s, t), rel=1e-4, abs=1e-6)
 
 
+def test_landmark_kernels_against_brute_force():
+    rng = np.random.default_rng(5)
+    word = lambda low, high: toxicity.START + "".join(rng.choice(list("abcdeé"), rng.integers(low, high)))
+    strings = sorted({word(4, 6) for _ in range(4)})
+    words = sorted({word(0, 6) for _ in range(30)} | {s + "abc" for s in strings} | {s[:4] + "b" + s[4:] for s in strings})
+    found = toxicity.Landmarks(strings).likeness(words)
+    got = {}
+    for i, j, v in zip(*(x.tolist() for x in found), strict=True):
+        got[words[i], strings[j]] = max(v, got.get((words[i], strings[j]), 0.0))
+    want = {}
+    for w in words:
+        for s in strings:
+            begins = [w[:n] for n in range(toxicity.ORDER, len(w) + 1)]
+            v = max((brute_kernel(b, s) / (brute_kernel(b, b) * brute_kernel(s, s)) ** 0.5 for b in begins), default=0.0)
+            if v >= toxicity.FLOOR:
+                want[w, s] = v**toxicity.POWER
+    assert got == pytest.approx(want, rel=1e-3)
+    assert all(got[s + "abc", s] == pytest.approx(1) for s in strings)
+
+
+def test_features_are_a_nystroem_map():
+    strings = [toxicity.START + s for s in ("gorbla", "gorbli", "pathet", "idiot")]
+    value = np.array([[brute_kernel(s, t) / (brute_kernel(s, s) * brute_kernel(t, t)) ** 0.5 for t in strings] for s in strings])
+    whiten = toxicity.Landmarks(strings).whiten
+    # Of the landmarks themselves, single strings, the map's inner products are their kernel values.
+    mapped = value**toxicity.POWER @ whiten
+    assert mapped @ mapped.T == pytest.approx(value**toxicity.POWER, abs=1e-6)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
