@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollscope.llm import chat, decontam, licenses, mixing, neighbours, pii, repeats, secrets, simhash, toxicity
+from rollscope.llm import chat, decontam, licenses, manifest, mixing, neighbours, pii, repeats, secrets, simhash, spelling, toxicity, urls
 from rollscope.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), urls.rules_table(spark))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(manifest.dataset_manifest(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_pii": op2_pii,
@@ -64,9 +76,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
+    "op11_spelling": op11_spelling,
+    "op12_url_filter": op12_url_filter,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_spelling": spelling.ORACLE,
+    "op12_url_filter": urls.ORACLE,
+    "op13_manifest": manifest.ORACLE,
 }
