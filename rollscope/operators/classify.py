@@ -7,53 +7,73 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rollscope.functions.names import char_ngrams, is_predictable, normalize_name
 from rollscope.operators.labels import three_heads
 from rollscope.operators.ranking import has_column, keep_first
-from rollscope.operators.similarity import ngram_counts
+from rollscope.sources.shared import kept, stored
 
 
 class NaiveBayes:
-    """Multinomial naive Bayes with add-one smoothing, kept as two aggregate tables."""
+    """Multinomial naive Bayes with add-one smoothing, kept as two tables in the shared folder, made in one pass over the rows."""
 
     def __init__(self, rows: DataFrame, name: str = "last_name", label: str = "label", n: int = 2):
         self.n = n
         rows = rows.select(F.col(name).alias("name"), F.col(label).alias("label")).na.drop()
-        grams = rows.select("label", F.explode(char_ngrams("name", n)).alias("gram"))
-        self.counts = grams.groupBy("gram", "label").agg(F.count("*").alias("n"))
+        # An empty gram counts the rows of a label.
+        grams = rows.select("label", F.explode(F.concat(F.array(F.lit("")), char_ngrams("name", n))).alias("gram"))
+        counts = stored(grams.groupBy("gram", "label").agg(F.count("*").alias("n")), "bayes")
+        self.counts = counts.filter("gram <> ''")
+        seen = counts.filter("gram = ''").select("label", F.col("n").alias("seen"))
         totals = self.counts.groupBy("label").agg(F.sum("n").alias("total"))
-        vocabulary = self.counts.agg(F.count_distinct("gram").alias("v"))
-        everything = rows.agg(F.count("*").alias("all"))
-        priors = rows.groupBy("label").agg(F.count("*").alias("seen"))
-        self.labels = (
-            priors.join(totals, "label")
-            .crossJoin(F.broadcast(vocabulary))
-            .crossJoin(F.broadcast(everything))
-            .select("label", F.log(F.col("seen") / F.col("all")).alias("prior"), F.log(F.col("total") + F.col("v")).alias("base"))
-        )
+        one_row = self.counts.agg(F.count_distinct("gram").alias("v")).crossJoin(seen.agg(F.sum("seen").alias("all")))
+        self.labels = stored(
+            seen.join(totals, "label").crossJoin(F.broadcast(one_row))
+            .select("label", F.log(F.col("seen") / F.col("all")).alias("prior"), F.log(F.col("total") + F.col("v")).alias("base")),
+            "bayes-labels",
+        )
+
+    def _distinct(self, names: DataFrame, column: str) -> DataFrame:
+        distinct = names.select(F.col(column).alias("name")).na.drop().distinct()
+        return distinct.withColumn("size", F.greatest(F.length("name") - (self.n - 1), F.lit(0)))
+
+    def _seen(self, distinct: DataFrame, how: str = "inner") -> DataFrame:
+        """(name, label, gain) of labels that a gram of the name has been seen with; with `left` one without label for other grams."""
+        grams = distinct.select("name", F.explode_outer(char_ngrams("name", self.n)).alias("gram"))
+        return grams.join(self.counts, "gram", how).groupBy("name", "label").agg(F.sum(F.log(F.col("n") + 1)).alias("gain"))
 
     def scores(self, names: DataFrame, column: str = "last_name") -> DataFrame:
-        """(name, label, score rounded to six places) of distinct names.
+        """(name, label, score, log_prob) of distinct names and every label, rounded to six places.
 
-        Only seen (gram, label) pairs are joined; the smoothing of the others is added by length.
+        `log_prob` is the score less the logarithm of the summed exponentials of the name's scores, so that the
+        probabilities of a name add up to one. A row for each name and label: `top_k` does without them.
         """
-        grams = ngram_counts(names, (self.n,), column)
-        seen = (
-            grams.join(self.counts, "gram")
-            .groupBy("name", "label")
-            .agg(F.sum(F.col("tf") * F.log(F.col("n") + 1)).alias("gain"))
-        )
-        distinct = names.select(F.col(column).alias("name")).na.drop().distinct()
-        size = F.greatest(F.length("name") - (self.n - 1), F.lit(0))
-        known = self.labels.agg(F.collect_list(F.struct("label", "prior", "base")).alias("_known"))  # one row
-        every = distinct.crossJoin(F.broadcast(known)).select("name", F.inline("_known"))
-        return every.join(seen, ["name", "label"], "left").select(
-            "name", "label", F.round(F.col("prior") + F.coalesce("gain", F.lit(0.0)) - size * F.col("base"), 6).alias("score")
-        )
+        distinct = self._distinct(names, column)
+        every = distinct.crossJoin(self.labels).join(self._seen(distinct), ["name", "label"], "left")
+        raw = every.select("name", "label", (F.col("prior") + F.coalesce("gain", F.lit(0.0)) - F.col("size") * F.col("base")).alias("raw"))
+        most = raw.groupBy("name").agg(F.max("raw").alias("most"))
+        total = raw.join(most, "name").groupBy("name", "most").agg(F.log(F.sum(F.exp(F.col("raw") - F.col("most")))).alias("rest"))
+        scored = raw.join(total, "name").withColumn("log_prob", F.col("raw") - F.col("most") - F.col("rest"))
+        return scored.select("name", "label", F.round("raw", 6).alias("score"), F.round("log_prob", 6).alias("log_prob"))
 
     def top_k(self, names: DataFrame, k: int = 3, column: str = "last_name") -> DataFrame:
-        """(name, pred): the k best labels, best first, ties by label."""
-        order = Window.partitionBy("name").orderBy(F.desc("score"), "label")
-        ranked = self.scores(names, column).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
-        pairs = F.sort_array(F.collect_list(F.struct("r", "label")))
-        return ranked.groupBy("name").agg(F.transform(pairs, lambda x: x["label"]).alias("pred"))
+        """(name, pred): the k best labels, best first, ties by label.
+
+        A label without a gram of the name scores what its prior and the name's length give, so beside the labels seen with
+        one only the k best for that length can be among the k best: names meet the model on grams and these on length.
+        Grams, labels and names stay where the names' first shuffle has put them if the model is small enough to broadcast.
+        """
+        distinct = self._distinct(names, column)
+        score = lambda gain: F.round(F.col("prior") + gain - F.col("size") * F.col("base"), 6)
+        first = lambda by: Window.partitionBy(by).orderBy(F.desc("score"), "label")
+        entry = F.struct((-F.col("score")).alias("less"), "label")
+        sizes = distinct.select("size").distinct().crossJoin(self.labels).withColumn("score", score(F.lit(0.0)))
+        lengths = sizes.withColumn("r", F.row_number().over(first("size"))).filter(F.col("r") <= k)
+        unseen = F.broadcast(lengths.groupBy("size").agg(F.collect_list(entry).alias("unseen")))  # a row of k entries a length
+        size = F.greatest(F.length("name") - (self.n - 1), F.lit(0))
+        found = self._seen(distinct, "left").join(self.labels, "label", "left").withColumn("size", size).withColumn("score", score(F.col("gain")))
+        found = found.withColumn("r", F.row_number().over(first("name"))).filter(F.col("r") <= k)
+        seen = found.groupBy("name", "size").agg(F.collect_list(F.when(F.col("label").isNotNull(), entry)).alias("seen"))
+        # A label seen, but not among the k, scores better than as unseen, so it cannot come in by that.
+        other = F.filter("unseen", lambda x: ~F.exists("seen", lambda y: y["label"] == x["label"]))
+        best = F.slice(F.array_sort(F.concat("seen", other)), 1, k)
+        return seen.join(unseen, "size").select("name", F.transform(best, lambda x: x["label"]).alias("pred"))
 
 
 def pred_last_state(df: DataFrame, column: str, model: NaiveBayes, k: int = 3, order_by: str | None = None) -> DataFrame:
@@ -66,7 +86,7 @@ def pred_last_state(df: DataFrame, column: str, model: NaiveBayes, k: int = 3, o
         return df
     rows = df.filter(is_predictable(column)).withColumn(column, normalize_name(column))
     rows = rows if order_by else rows.withColumn("_at", F.monotonically_increasing_id())
-    rows = keep_first(rows, [column], [order_by or "_at"]).drop("_at")
+    rows = kept(keep_first(rows, [column], [order_by or "_at"]).drop("_at"))
     found = model.top_k(rows, k, column).select(F.col("name").alias("_name"), F.col("pred").alias("pred_state"))
     return rows.join(found, rows[column] == found["_name"], "left").drop("_name")
 

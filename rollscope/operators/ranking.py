@@ -35,7 +35,10 @@ def hash_rank(df: DataFrame, by: Sequence[str], hashed: Column, ties: Sequence[s
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key by `order`; rows are combined before the shuffle. Null keys are one key."""
+    """The first row of each key by `order`, nulls first; rows are combined before the shuffle. Null keys are one key."""
+    if len(order) == 1 and set(df.columns) <= {*key, *order} and order[0] not in key:  # nothing else to carry, so no sort is needed
+        least = F.when(F.bool_or(F.col(order[0]).isNull()), F.lit(None)).otherwise(F.min(order[0]))
+        return df.groupBy(*key).agg(least.cast(df.schema[order[0]].dataType).alias(order[0])).select(df.columns)
     row = F.struct(*df.columns)
     picked = df.groupBy(*key).agg(F.min_by(row, F.struct(*order)).alias("_row"))
     return picked.select("_row.*")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollscope.operators.ranking import hash32, hash_rank
+from rollscope.sources.shared import kept
 
 SCALE = 10_000
+#: Steps of a histogram, and rows among which the last one of a sample is looked up; both come to the driver.
+BINS = 4096
+SMALL = 10_000
 
 
 def split_bucket(key: Column | str, fractions: Sequence[float], seed: int = 0) -> Column:
@@ -41,15 +47,95 @@ def sample_per_group(df: DataFrame, key: str, by: str, fraction: float = 0.1, se
     return stratified_split(df, key, by, fraction, seed).filter("part = 1").drop("part")
 
 
+def _cut(rows: DataFrame, column: str, n: int, low: float | None = None, high: float | None = None) -> tuple[float, float, int, int] | None:
+    """(low, high, before, inside): the n-th smallest value lies from low to high; so many rows lie before and inside.
+
+    Each pass counts into BINS equal steps, of which the one with the n-th value is cut next, until it has SMALL rows or one
+    value. None if there are fewer than n rows.
+    """
+    if low is None or high is None:
+        low, high = rows.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return None
+    before = 0
+    while True:
+        width = (high - low) / BINS or 1.0
+        step = F.least(F.floor((F.col(column) - low) / width), F.lit(BINS))
+        inside = rows.filter(F.col(column).between(low, high)).groupBy(step.alias("step"))
+        steps = inside.agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()  # BINS + 1 rows
+        for at in sorted(steps, key=lambda r: r["low"]):
+            if before + at["n"] >= n:
+                break
+            before += at["n"]
+        else:
+            return None
+        low, high = at["low"], at["high"]
+        if at["n"] <= SMALL or low == high:
+            return low, high, before, at["n"]
+
+
+def _any(rows: DataFrame, n: int) -> DataFrame:
+    """n of equal rows, counted off partition by partition."""
+    rows = kept(rows)
+    quota, left = {}, n
+    for part, size in sorted(rows.groupBy(F.spark_partition_id()).count().collect()):  # a row a partition
+        quota[part] = min(size, left)
+        left -= quota[part]
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = quota.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            yield batch.slice(0, mine)
+            mine -= min(mine, batch.num_rows)
+
+    return rows.mapInArrow(take, rows.schema)
+
+
+def smallest(df: DataFrame, n: int, score: Column, ties: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    """The n rows with the smallest (score, ties, hash of the row); rows without a score are none of them.
+
+    The n-th score is narrowed down by histograms to a bin of a bounded number of rows, among which the n-th row is looked
+    up; the result is a filter on the input. No sort and no limit spans the rows. Only if more than SMALL rows have the very
+    score of the n-th are they cut by `ties` and then by their hashes, and only equal rows are counted off. Known bounds
+    of the score save a pass.
+    """
+    hashed = [c for c in df.columns if df.schema[c].dataType.typeName() != "map"]
+    rows = df.withColumn("_score", score.cast("double")).withColumn("_row", F.pmod(F.xxhash64(*hashed), F.lit(2**53)).cast("double"))
+    rows = rows.filter(F.col("_score").isNotNull() & ~F.isnan("_score"))
+    cut = _cut(rows, "_score", n, low, high) if n > 0 else None
+    if cut is None:
+        return (rows if n > 0 else rows.filter("false")).select(df.columns)
+    low, high, before, inside = cut
+    sure, edge = F.col("_score") < low, F.col("_score").between(low, high)
+    if inside > SMALL:
+        for at in rows.filter(edge).groupBy(ties).count().orderBy(ties).toLocalIterator():
+            if before + at["count"] >= n:
+                break
+            before += at["count"]
+        sure, edge = sure | edge & F.coalesce(F.col(ties) < F.lit(at[ties]), F.lit(at[ties] is not None)), edge & F.col(ties).eqNullSafe(F.lit(at[ties]))
+        low, high, more, inside = _cut(rows.filter(edge), "_row", n - before)
+        sure, edge, before = sure | edge & (F.col("_row") < low), edge & F.col("_row").between(low, high), before + more
+    if inside > SMALL:  # of one hash
+        return rows.filter(sure).unionByName(_any(rows.filter(edge), n - before)).select(df.columns)
+    order = F.struct("_score", ties, "_row")
+    found = [r[0] for r in rows.filter(edge).select(order).orderBy(order).collect()]  # SMALL rows at most
+    last = found[n - before - 1]
+    at = F.struct(F.lit(last[0]).alias("_score"), F.lit(last[1]).cast(df.schema[ties].dataType).alias(ties), F.lit(last[2]).alias("_row"))
+    if found.count(last) == found[: n - before].count(last):
+        return rows.filter(sure | edge & (order <= at)).select(df.columns)
+    equal = _any(rows.filter(edge & (order == at)), found[: n - before].count(last))
+    return rows.filter(sure | edge & (order < at)).unionByName(equal).select(df.columns)
+
+
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """The n rows with the smallest hashes."""
-    return df.orderBy(hash32(key, seed), key).limit(n)
+    """The n rows with the smallest hashes of `key`, ties by key."""
+    return smallest(df, n, hash32(key, seed), key, 0.0, 2.0**32)
 
 
 def weighted_sample(df: DataFrame, n: int, key: str, weight: str, seed: int = 0) -> DataFrame:
-    """n rows without replacement, likelier with more weight: the smallest -ln(u) / weight."""
+    """n rows without replacement, likelier with more weight: the smallest -ln(u) / weight. Weights are finite; none under 0 counts."""
     u = (hash32(key, seed) + 1) / F.lit(2.0**32 + 1)
-    return df.filter(F.col(weight) > 0).orderBy(-F.log(u) / F.col(weight), key).limit(n)
+    return smallest(df.filter(F.col(weight) > 0), n, -F.log(u) / F.col(weight), key)
 
 
 def bootstrap_per_group(df: DataFrame, key: str, by: str, draws: int = 1000, seed: int = 0) -> DataFrame:

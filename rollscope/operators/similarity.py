@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from difflib import SequenceMatcher
+from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from rollscope.functions.names import char_ngrams
 from rollscope.operators.labels import argmax
 from rollscope.operators.ranking import has_column
+from rollscope.sources.shared import kept
 
 CUTOFF = 0.6
-
-
-PARTS = 16
+#: Edit bounds of the rounds of `edit_knn`; after these each is the sum of the two before.
+BOUNDS = (1, 2, 3, 4, 6)
+#: Similarities of the rounds of `cosine_knn`.
+LEVELS = (0.8, 0.7, 0.55, 0.3, 0.0)
+#: Postings of one gram in one piece.
+PIECE = 5000
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
@@ -24,73 +31,113 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def in_parts(names: DataFrame) -> DataFrame:
-    """Names with their length `_n` and one of PARTS parts, so that a common length is many keys."""
-    return names.withColumns({"_n": F.length("neighbour"), "_part": F.pmod(F.hash("neighbour"), F.lit(PARTS))})
+def _nearest(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k of each query; Spark limits groups before and after the shuffle."""
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def to_every_part(queries: DataFrame) -> DataFrame:
-    return queries.withColumn("_part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+def _rounds(asked: DataFrame, k: int, bounds: Iterable, search: Callable[[DataFrame, Any], DataFrame], last: Callable[[Any], bool]) -> DataFrame:
+    """`search(queries, bound)` at one bound after the other, each for the queries that have no k answers yet.
 
+    A search gives all answers within its bound, best first, so k of them are the k best. The last bound's answers stand.
+    """
+    done = None
+    for bound in bounds:
+        found = kept(search(asked, bound))
+        if last(bound):
+            return found if done is None else done.unionByName(found)
+        whole = found.join(found.filter(F.col("rank") == k).select("query"), "query", "left_semi")
+        done = whole if done is None else done.unionByName(whole)
+        asked = kept(asked.join(whole.select("query"), "query", "left_anti"))
+        if asked.isEmpty():
+            return done
+    raise ValueError("no last bound")
 
-def _nearest(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The first k of each query; Spark limits groups before and after the shuffle."""
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k)
 
+def _segment(n: Column, i: Column, t: int) -> tuple[Column, Column]:
+    """Start, from 1, and size of the i-th of t + 1 segments of a name of n letters; the last ones have one letter more."""
+    base, longer = F.floor(n / (t + 1)).cast("int"), (n % (t + 1)).cast("int")
+    before = i - 1 - (t + 1 - longer)
+    return (i - 1) * base + F.greatest(before, F.lit(0)) + 1, base + (i > t + 1 - longer).cast("int")
+
+
+def segment_index(names: DataFrame, t: int) -> DataFrame:
+    """(neighbour, _n, _i, _seg): names of more than t letters cut into t + 1 segments."""
+    cut = names.withColumn("_n", F.length("neighbour")).filter(F.col("_n") > t).withColumn("_i", F.explode(F.array(*map(F.lit, range(1, t + 2)))))
+    start, size = _segment(F.col("_n"), F.col("_i"), t)
+    return cut.select("neighbour", "_n", "_i", F.substring("neighbour", start, size).alias("_seg"))
+
+
+def segment_probes(queries: DataFrame, t: int) -> DataFrame:
+    """(query, _n, _i, _seg): what of a query can be the i-th segment of a name of n letters within t edits.
+
+    One segment is unchanged with at most i - 1 edits before it and t + 1 - i after it, which bounds its shift from both ends.
+    """
+    asked = queries.select("query", F.length("query").alias("_q")).filter("_q > 0")
+    low = F.greatest(F.lit(t + 1), F.col("_q") - t)
+    each = asked.withColumn("_n", F.explode(F.sequence(low, F.col("_q") + t))).withColumn("_i", F.explode(F.array(*map(F.lit, range(1, t + 2)))))
+    start, size = _segment(F.col("_n"), F.col("_i"), t)
+    each = each.withColumns({"_start": start, "_size": size, "_shift": F.col("_q") - F.col("_n")})
+    first = F.greatest(F.lit(1), F.expr("_start - _i + 1"), F.expr(f"_start + _shift - ({t} + 1 - _i)"))
+    final = F.least(F.expr("_q - _size + 1"), F.expr("_start + _i - 1"), F.expr(f"_start + _shift + ({t} + 1 - _i)"))
+    placed = each.withColumns({"_first": first, "_final": final}).filter("_first <= _final").withColumn("_at", F.explode(F.sequence("_first", "_final")))
+    return placed.select("query", "_n", "_i", F.substring("query", F.col("_at"), F.col("_size")).alias("_seg"))
 
-def deletions(c: Column) -> Column:
-    """A string and what is left of it without one or two of its letters."""
-    cut = lambda s: F.when(
-        F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(c), cut(c), F.flatten(F.transform(cut(c), cut))))
 
+def letters_of(name: str) -> Column:
+    return F.array_distinct(F.filter(F.split(name, ""), lambda x: x != ""))
 
-def edit_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, mode: str = "blocked", column: str = "last_name") -> DataFrame:
+
+def within_edits(queries: DataFrame, names: DataFrame, t: int, k: int | None = None, small_too: bool = True) -> DataFrame:
+    """(query, neighbour, distance): names within t edits of distinct queries; with k, those that can be among the k first.
+
+    Names of more than t letters meet queries on segments. Shorter ones meet them on a letter; a name that has none of the
+    query's is at the distance of the longer length, so of these only the k first of each length can be among the k first.
+    Without `small_too` no name is that short.
+    """
+    on = ["_n", "_i", "_seg"]
+    met = spread(segment_probes(queries, t), *on).join(spread(segment_index(names, t), *on), on).select("query", "neighbour")
+    if not small_too:
+        return _checked(met, t)
+    small = names.withColumn("_n", F.length("neighbour")).filter(F.col("_n") <= t)
+    letters = small.select("neighbour", "_n", F.explode(letters_of("neighbour")).alias("_letter"))
+    sizes = F.sequence(F.greatest(F.length("query") - t, F.lit(0)), F.least(F.lit(t), F.length("query") + t))
+    near = queries.filter(F.length("query") <= 2 * t).withColumn("_n", F.explode(sizes))
+    shared = spread(near.withColumn("_letter", F.explode(letters_of("query"))), "_n", "_letter").join(spread(letters, "_n", "_letter"), ["_n", "_letter"]).select("query", "neighbour")
+    order = Window.partitionBy("_n").orderBy("neighbour")
+    others = small if k is None else small.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    defaults = near.join(others, "_n").select("query", "neighbour")
+    return _checked(met.unionByName(shared).unionByName(defaults), t)
+
+
+def _checked(pairs: DataFrame, t: int) -> DataFrame:
+    return pairs.withColumn("distance", F.expr(f"levenshtein(query, neighbour, {t})")).filter("distance >= 0").distinct()
+
+
+def edit_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, column: str = "last_name") -> DataFrame:
     """(query, neighbour, distance, rank): the k corpus names at the least edit distance, ties by name.
 
-    Both modes give the same rows. `blocked` first takes the k-th distance among names with the query's first two
-    letters and about its length, which is an upper bound. Names within two edits share a string that is left of each
-    without two letters or fewer, so queries bounded by two meet only names on such strings; the others meet the
-    names whose length is within their bound, on an equi-join of lengths with a distance that gives up beyond it.
-    `exact` does without bounds, as queries without k names in their block do.
+    Names cut into bound + 1 segments keep one unchanged within the bound, so queries and names meet on (length, segment
+    number, segment) at the places it can have shifted to. Rounds of growing bounds go on with the queries that have found no k
+    names yet; most have within two edits, and the others are long, which keeps their segments telling.
     """
-    asked = queries.select(F.col(column).alias("query")).filter("query is not null").distinct()
-    names = spread(corpus.select(F.col("last_name").alias("neighbour")).filter("neighbour is not null").distinct(), "neighbour")
-    by_name = (F.col("distance"), F.col("neighbour"))
-    sized = names.withColumn("_n", F.length("neighbour"))
-    near = asked.withColumn("_n", F.explode(F.array(*(F.length("query") + d for d in (-1, 0, 1)))))
-    block = (
-        near.withColumn("_head", F.substring("query", 1, 2))
-        .join(sized.withColumn("_head", F.substring("neighbour", 1, 2)), ["_head", "_n"])
-        .withColumn("distance", F.levenshtein("query", "neighbour"))
-    )
-    bounds = _nearest(block, k, *by_name).filter(F.col("rank") == k).select("query", F.col("distance").alias("bound"))
-    if mode == "exact":
-        bounds = bounds.filter("false")
-    bounded = asked.join(bounds, "query", "left")
-    few = spread(bounded.filter("bound <= 2"), "query").select("query", "bound", F.explode(deletions(F.col("query"))).alias("_left"))
-    left = names.select("neighbour", F.explode(deletions(F.col("neighbour"))).alias("_left"))
-    close = spread(few, "_left").join(spread(left, "_left"), "_left").drop("_left").distinct()
-    longest = names.agg(F.coalesce(F.max(F.length("neighbour")), F.lit(0)).alias("longest"))  # one row
-    reach = (
-        bounded.filter("bound is null or bound > 2")
-        .crossJoin(F.broadcast(longest))
-        .withColumn("bound", F.coalesce("bound", F.greatest(F.length("query"), "longest")))
-        .withColumn("_low", F.greatest(F.length("query") - F.col("bound"), F.lit(0)))
-        .withColumn("_high", F.least(F.length("query") + F.col("bound"), "longest"))
-        .filter("_low <= _high")
-        .withColumn("_n", F.explode(F.sequence("_low", "_high")))
-    )
-    pairs = (
-        spread(to_every_part(reach), "_n", "_part").join(spread(in_parts(names), "_n", "_part"), ["_n", "_part"])
-        .select("query", "bound", "neighbour")
-        .unionByName(close)
-        .withColumn("distance", F.expr("levenshtein(query, neighbour, bound)"))
-        .filter("distance >= 0")
-        .select("query", "neighbour", "distance")
-    )
-    return _nearest(pairs, k, *by_name)
+    asked = kept(queries.select(F.col(column).alias("query")).filter("query is not null").distinct())
+    names = kept(corpus.select(F.col("last_name").alias("neighbour")).filter("neighbour is not null").distinct())
+    shortest, longest = names.agg(F.min(F.length("neighbour")), F.max(F.length("neighbour"))).first()
+    longest = max(longest or 0, asked.agg(F.max(F.length("query"))).first()[0] or 0)
+
+    def bounds() -> Iterator[int]:
+        a, b = BOUNDS[-2:]
+        yield from BOUNDS
+        while True:
+            a, b = b, a + b
+            yield b
+
+    def search(queries: DataFrame, t: int) -> DataFrame:
+        small = shortest is not None and shortest <= t and not queries.filter(F.length("query") <= 2 * t).isEmpty()
+        return _nearest(within_edits(queries, names, t, k, small), k, F.col("distance"), F.col("neighbour"))
+
+    return _rounds(asked, k, bounds(), search, lambda t: t >= longest)
 
 
 def ngram_counts(names: DataFrame, n: Sequence[int] = (2,), column: str = "last_name") -> DataFrame:
@@ -125,24 +172,95 @@ def tfidf(features: DataFrame) -> DataFrame:
     return raw.select("name", "gram", (F.col("w") / length).alias("w"), "df", "n_names")
 
 
+def gram_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(name, v): the tf-idf vector of each name, of length 1, as structs (df, gram, w, reach), rare grams first.
+
+    `reach` is the length of what is left of the vector from this gram on, so reach * reach - w * w is that after it.
+    """
+    raw = F.struct("df", "gram", (F.col("tf") * (F.log((1 + F.col("n_names")) / (1 + F.col("df"))) + 1)).alias("w"))
+    rows = counts.join(idf, "gram").groupBy("name").agg(F.sort_array(F.collect_list(raw)).alias("v"))
+    square = lambda part: F.aggregate(part, F.lit(0.0), lambda got, x: got + x["w"] * x["w"])
+    rows = rows.withColumn("_norm", F.sqrt(square(F.col("v"))))
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.struct(x["df"].alias("df"), x["gram"].alias("gram"), (x["w"] / F.col("_norm")).alias("w"))))
+    reach = lambda x, i: F.struct(x["df"].alias("df"), x["gram"].alias("gram"), x["w"].alias("w"), F.sqrt(square(F.slice("v", i + 1, F.size("v")))).alias("reach"))
+    return rows.select("name", F.transform("v", reach).alias("v"))
+
+
+def postings(vectors: DataFrame) -> DataFrame:
+    """(name, gram, reach, _tenth, _piece): lists cut by tenths of the reach, and long ones into pieces by name."""
+    rows = vectors.select("name", F.inline("v"))
+    return rows.select("name", "gram", "w", "reach", F.floor(F.col("reach") * 10).cast("int").alias("_tenth"), F.pmod(F.hash("name"), F.ceil(F.col("df") / PIECE).cast("int")).alias("_piece"))
+
+
+def cosine_candidates(asked: DataFrame, lists: DataFrame, least: float) -> DataFrame:
+    """(query, neighbour), distinct: all pairs that can be similar by `least`, of vectors `asked` and `postings` lists.
+
+    With the grams in one order, rare ones first, what two names share lies from their first shared gram on. So there the
+    product of their weights and that of their reaches after it add up to their similarity at least. Common grams come
+    last and are met by few.
+    """
+    least = least - 1e-8
+    rows = asked.select(F.col("name").alias("query"), F.inline("v")).filter(F.col("reach") >= least).withColumnsRenamed({"reach": "_mine", "w": "_w"})
+    tenth = F.least(F.floor(F.lit(max(least, 0.0)) / F.col("_mine") * 10).cast("int"), F.lit(10))
+    rows = rows.withColumn("_tenth", F.explode(F.sequence(tenth, F.lit(10))))
+    rows = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / PIECE).cast("int") - 1)))
+    on = ["gram", "_tenth", "_piece"]
+    after = lambda reach, w: F.greatest(F.col(reach) * F.col(reach) - F.col(w) * F.col(w), F.lit(0.0))
+    most = F.col("_w") * F.col("w") + F.sqrt(after("_mine", "_w") * after("reach", "w"))
+    met = spread(rows.select("query", "_w", "_mine", *on), *on).join(spread(lists, *on), on).filter(most >= least)
+    return met.select("query", F.col("name").alias("neighbour")).distinct()
+
+
 def cosine_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, max_df: float = 0.5, min_df: float = 1, column: str = "last_name") -> DataFrame:
-    """(query, neighbour, similarity, rank): the k most similar names, by an inverted-index join on bigrams.
+    """(query, neighbour, similarity, rank): the k most similar names by tf-idf of bigrams.
 
-    Similarities are rounded to nine places before ties go by name. Grams above max_df are no features, which
-    bounds the posting lists.
+    Similarities are rounded to nine places before ties go by name. Grams above max_df are no features. Rounds of falling
+    thresholds go on with the queries that have found no k names yet; in each, prefix filtering finds the candidates, and
+    their similarities are then taken over all grams.
     """
-    features = ngram_features(corpus, (2,), max_df, min_df)
-    weights = tfidf(features)
-    idf = features.groupBy("gram").agg(F.first("df").alias("df"), F.first("n_names").alias("n_names"))
-    asked = tfidf(ngram_counts(queries, (2,), column).join(idf, "gram"))
-    left = asked.select(F.col("name").alias("query"), "gram", F.col("w").alias("wq"))
-    right = weights.select(F.col("name").alias("neighbour"), "gram", F.col("w").alias("wc"))
-    pairs = (
-        spread(left, "gram").join(spread(right, "gram"), "gram")
-        .groupBy("query", "neighbour")
-        .agg(F.round(F.sum(F.col("wq") * F.col("wc")), 9).alias("similarity"))
-    )
-    return _nearest(pairs, k, F.desc("similarity"), F.col("neighbour"))
+    names = kept(corpus.select("last_name").filter("last_name is not null").distinct())
+    n_names = names.count()
+    counts = kept(ngram_counts(names))
+    low = n_names * min_df if min_df < 1 else min_df
+    df = counts.groupBy("gram").agg(F.count("*").alias("df")).filter((F.col("df") <= n_names * max_df) & (F.col("df") >= low))
+    idf = kept(df.withColumn("n_names", F.lit(n_names)))
+    known = kept(gram_vectors(counts, idf))
+    mine = kept(gram_vectors(ngram_counts(queries, (2,), column), idf))
+    lists = postings(known)
+    left = mine.select(F.col("name").alias("query"), *_flat("v", "a"))
+    right = known.select(F.col("name").alias("neighbour"), *_flat("v", "b"))
+
+    def search(asked: DataFrame, least: float) -> DataFrame:
+        met = cosine_candidates(mine.join(asked, mine["name"] == asked["query"]).select("name", "v"), lists, least)
+        pairs = met.join(left, "query").join(right, "neighbour")
+        scored = pairs.mapInArrow(_dots, "query string, neighbour string, similarity double").withColumn("similarity", F.round("similarity", 9))
+        return _nearest(scored.filter(F.col("similarity") >= least), k, F.desc("similarity"), F.col("neighbour"))
+
+    return _rounds(left.select("query"), k, LEVELS, search, lambda least: least == LEVELS[-1])
+
+
+def _flat(v: str, name: str) -> list[Column]:
+    """Grams as numbers, two code points of 21 bits, and weights as parallel arrays."""
+    code = lambda x: F.ascii(F.substring(x["gram"], 1, 1)).cast("long") * (1 << 21) + F.ascii(F.substring(x["gram"], 2, 1))
+    return [F.transform(v, code).alias(f"{name}_gram"), F.transform(v, lambda x: x["w"]).alias(f"{name}_w")]
+
+
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inner products of sparse vectors a and b, many pairs at a time."""
+
+    def padded(lists: pa.ListArray, fill: float) -> np.ndarray:
+        sizes = np.diff(lists.offsets.to_numpy())
+        out = np.full((len(sizes), max(1, sizes.max(initial=0))), fill, dtype=lists.values.to_numpy().dtype)
+        out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
+        return out
+
+    for batch in batches:
+        grams_a, grams_b = padded(batch.column("a_gram"), -1), padded(batch.column("b_gram"), -2)
+        weights_a, weights_b = padded(batch.column("a_w"), 0.0), padded(batch.column("b_w"), 0.0)
+        dots = np.zeros(batch.num_rows)
+        for i in range(grams_a.shape[1]):
+            dots += weights_a[:, i] * np.where(grams_a[:, i : i + 1] == grams_b, weights_b, 0.0).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("neighbour"), pa.array(dots)], ["query", "neighbour", "similarity"])
 
 
 @F.pandas_udf(DoubleType())
@@ -158,6 +276,18 @@ def letter_tokens(names: DataFrame, column: str) -> DataFrame:
     return names.withColumn("tokens", numbered)
 
 
+PARTS = 16
+
+
+def in_parts(names: DataFrame) -> DataFrame:
+    """Names with their length `_n` and one of PARTS parts, so that a common length is many keys."""
+    return names.withColumns({"_n": F.length("neighbour"), "_part": F.pmod(F.hash("neighbour"), F.lit(PARTS))})
+
+
+def to_every_part(queries: DataFrame) -> DataFrame:
+    return queries.withColumn("_part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+
+
 def closest_match(queries: DataFrame, corpus: DataFrame, cutoff: float = CUTOFF, column: str = "last_name") -> DataFrame:
     """(query, neighbour, ratio): the best sequence ratio of cutoff or more, ties to the later name; else nulls.
 
@@ -211,7 +341,7 @@ def knn_sweep(queries: DataFrame, corpus: DataFrame, labels: Sequence[str], ks:
     return means.select("query", "k", argmax([F.col(f"`{c}`") for c in labels], labels).alias("pred"))
 
 
-def lookup_lang(df: DataFrame, column: str, corpus: DataFrame, labels: Sequence[str], k: int = 3, mode: str = "blocked") -> DataFrame:
+def lookup_lang(df: DataFrame, column: str, corpus: DataFrame, labels: Sequence[str], k: int = 3) -> DataFrame:
     """Adds `predicted_lang`: the language with the most weight over the k nearest names.
 
     Neighbours are looked up once a distinct name and joined back, so every input row stays. Names are taken as
@@ -219,6 +349,6 @@ def lookup_lang(df: DataFrame, column: str, corpus: DataFrame, labels: Sequence[
     """
     if not has_column(df, column):
         return df
-    sums = neighbour_labels(edit_knn(df, corpus, k, mode, column), corpus, labels)
+    sums = neighbour_labels(edit_knn(df, corpus, k, column), corpus, labels)
     best = sums.select(F.col("query").alias("_query"), argmax([F.col(f"`{c}`") for c in labels], labels).alias("predicted_lang"))
     return df.join(best, df[column] == best["_query"], "left").drop("_query")

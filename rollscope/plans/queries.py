@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +11,7 @@ from rollscope.functions.sql import register
 from rollscope.operators import classify, corpus, counts, enrich, evaluate, labels, ranking, sampling, similarity
 from rollscope.plans import tables as t
 from rollscope.sources import rolls, schemas
-from rollscope.sources.shared import shared_folder
+from rollscope.sources.shared import kept, new_folder
 from rollscope.streaming.rolls import incremental_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,7 +386,7 @@ def json_map_explode(spark, sf):
 @query(f"with {t.TOKENS} select last_name, state, count(*) as count from tokens group by 1, 2")
 def streaming_counts(spark, sf):
     """Running counts over the documents' files as they arrive, after the last of them."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     schema = t.table(spark, sf, "documents").schema
     # A pattern, since the table may be one file or a folder.
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/documents.parque[t]")
@@ -400,7 +399,7 @@ def streaming_counts(spark, sf):
 
 def _written(spark, sf, layout, name, by=None):
     """The roll as gzipped CSV files in the shared folder."""
-    path = f"{shared_folder(spark)}/rolls-{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(spark, 'rolls')}/{name}"
     rolls.write_csv(t.roll(spark, sf).select(*layout), path, by)
     return path
 
@@ -438,7 +437,7 @@ def roll_file_names(spark, sf):
 @query(f"with {t.ROLL}, c as (select elector_name as last_name, state, count(*) as n from roll group by all) select last_name, state, n from c")
 def corpus_round_trip(spark, sf):
     """A corpus written by state and appended to, read back."""
-    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    path = new_folder(spark, "corpus")
     found = t.roll(spark, sf).groupBy(F.col("elector_name").alias("last_name"), "state").agg(F.count("*").alias("n"))
     rolls.write_corpus(found, path, "state")
     return rolls.read_corpus(spark, path).select("last_name", "state", "n")
@@ -453,8 +452,8 @@ def corpus_round_trip(spark, sf):
     select *, row_number() over (partition by query order by distance, neighbour)::int as rank from p qualify rank <= 3"""
 )
 def edit_knn_top3(spark, sf):
-    found = counts.name_counts(t.names(spark, sf)).filter("count >= 3")
-    return similarity.edit_knn(t.asked_names(spark, sf), found).select("query", "neighbour", "distance", "rank")
+    counted = t.counted_names(spark, sf)
+    return similarity.edit_knn(t.asked_names(counted), t.known_names(counted)).select("query", "neighbour", "distance", "rank")
 
 
 _LOOKUP = f"""w as (select last_name, {_LANG_WIDE} from names group by 1 having count(*) >= 3),
@@ -469,9 +468,9 @@ _LOOKUP = f"""w as (select last_name, {_LANG_WIDE} from names group by 1 having
     select last_name, predicted_lang, count(*) as n from words left join best on last_name = query group by 1, 2"""
 )
 def lookup_lang(spark, sf):
-    wide = corpus.pivot_states(counts.name_state_counts(counts.min_occurrence(t.names(spark, sf)), state="lang"), t.LANGS, state="lang")
-    found = similarity.lookup_lang(t.asked_names(spark, sf), "last_name", wide, t.LANGS)
-    return found.groupBy("last_name", "predicted_lang").agg(F.count("*").alias("n"))
+    counted = t.counted_names(spark, sf)
+    wide = corpus.pivot_states(counted.join(t.known_names(counted), "last_name"), t.LANGS, state="lang")
+    return similarity.lookup_lang(t.asked_names(counted), "last_name", wide, t.LANGS).select("last_name", "predicted_lang", "n")
 
 
 _GRAMS = """d as (select distinct last_name as name from names),
@@ -517,13 +516,16 @@ nn as (select *, row_number() over (partition by query order by similarity desc,
 
 @query(f"with {t.TOKENS}, {t.ASKED_WORDS}, {_COSINE} select query, neighbour, round(similarity, 6) as similarity, rank from nn where rank <= 5")
 def cosine_knn(spark, sf):
-    found = counts.name_counts(t.names(spark, sf)).filter("count >= 3")
-    pairs = similarity.cosine_knn(t.asked_names(spark, sf), found, 5)
+    counted = t.counted_names(spark, sf)
+    pairs = similarity.cosine_knn(t.asked_names(counted), t.known_names(counted), 5)
     return pairs.select("query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-def _lang_corpus(spark, sf):
-    return corpus.build_state_corpus(counts.min_occurrence(t.names(spark, sf)), t.LANGS, state="lang")
+def _lang_corpus(counted):
+    """(last_name, a proportion a language) of the known names."""
+    wide = corpus.pivot_states(counted.join(t.known_names(counted), "last_name"), t.LANGS, state="lang")
+    total = sum((F.col(c) for c in t.LANGS), F.lit(0))
+    return wide.select("last_name", *((F.col(c) / total).alias(c) for c in t.LANGS))
 
 
 _KNN = f"""{_COSINE}, lc as (select last_name, {", ".join(f"count(*) filter (lang = '{c}') / count(*) as {c}" for c in t.LANGS)} from names
@@ -538,7 +540,8 @@ _KNN = f"""{_COSINE}, lc as (select last_name, {", ".join(f"count(*) filter (lan
     select query, k, case {_CASE("greatest(de, en, es, fr)", t.LANGS)} end as pred from m"""
 )
 def knn_sweep(spark, sf):
-    return similarity.knn_sweep(t.asked_names(spark, sf), _lang_corpus(spark, sf), t.LANGS, (3, 5, 10))
+    counted = t.counted_names(spark, sf)
+    return similarity.knn_sweep(t.asked_names(counted), _lang_corpus(counted), t.LANGS, (3, 5, 10))
 
 
 @query(
@@ -549,14 +552,16 @@ def knn_sweep(spark, sf):
     select query, string_agg(label, ',' order by place) as pred_state from best group by 1"""
 )
 def knn_state(spark, sf):
-    found = similarity.knn_state(t.asked_names(spark, sf), _lang_corpus(spark, sf), t.LANGS, k=5)
+    counted = t.counted_names(spark, sf)
+    found = similarity.knn_state(t.asked_names(counted), _lang_corpus(counted), t.LANGS, k=5)
     return found.withColumn("pred_state", F.concat_ws(",", "pred_state"))
 
 
 @query()
 def closest_match(spark, sf):
     """For the names whose hash is divisible by 2048, as each is compared with many."""
-    return similarity.closest_match(t.asked_names(spark, sf, 2048), counts.name_counts(t.names(spark, sf)).filter("count >= 3"))
+    counted = t.counted_names(spark, sf)
+    return similarity.closest_match(t.asked_names(counted, 2048), t.known_names(counted))
 
 
 # --- splits and samples
@@ -599,7 +604,7 @@ def sample_per_group(spark, sf):
 
 @query(f"with {t.TOKENS} select last_name from (select distinct last_name from names) order by {_H}, last_name limit 1000")
 def sample_n(spark, sf):
-    return sampling.sample_n(t.names(spark, sf).select("last_name").distinct(), 1000, "last_name")
+    return sampling.sample_n(kept(t.names(spark, sf).select("last_name").distinct()), 1000, "last_name")
 
 
 @query(
@@ -607,7 +612,7 @@ def sample_n(spark, sf):
     select last_name, count from c order by -ln(({_H} + 1) / 4294967297.0::double) / count, last_name limit 3000"""
 )
 def weighted_sample(spark, sf):
-    return sampling.weighted_sample(counts.name_counts(t.names(spark, sf)), 3000, "last_name", "count")
+    return sampling.weighted_sample(kept(counts.name_counts(t.names(spark, sf))), 3000, "last_name", "count")
 
 
 @query(
@@ -706,7 +711,7 @@ def classification_report(spark, sf):
 )
 def topk_accuracy(spark, sf):
     rows = _judged(spark, sf)
-    folder = f"{shared_folder(spark)}/judged-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "judged")
     rows.write.parquet(folder)  # a row a test name, read three times
     rows = spark.read.parquet(folder)
     parts = [
@@ -823,11 +828,11 @@ def pred_last_state(spark, sf):
 @query()
 def predict_lang(spark, sf):
     """Three models on the first, second and third label of each name, applied to the names asked for."""
-    wide = corpus.pivot_states(counts.name_state_counts(t.names(spark, sf), state="lang"), t.LANGS, state="lang")
-    ranked = labels.top3_labels(wide, t.LANGS)
+    counted = t.counted_names(spark, sf)
+    ranked = labels.top3_labels(corpus.pivot_states(counted, t.LANGS, state="lang"), t.LANGS)
     models = tuple(classify.NaiveBayes(ranked, label=c) for c in ("first_lang", "second_lang", "third_lang"))
-    found = classify.predict_lang(t.asked_names(spark, sf), "last_name", models)
-    return found.groupBy("last_name", F.concat_ws(",", "predicted_lang").alias("predicted_lang")).agg(F.count("*").alias("n"))
+    found = classify.predict_lang(t.asked_names(counted), "last_name", models)
+    return found.select("last_name", F.concat_ws(",", "predicted_lang").alias("predicted_lang"), "n")
 
 
 @query()

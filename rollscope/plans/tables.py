@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollscope.operators.ranking import hash32 as hash32_column
+from rollscope.sources.shared import kept
 
 SOURCES = [f"src{i}" for i in range(20)]
 LANGS = ["de", "en", "es", "fr"]
@@ -53,12 +54,23 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Searches ask for the names whose hash is divisible by this.
-ASKED_EACH = 512
+ASKED_EACH = 50
 
 
-def asked_names(spark: SparkSession, sf_dir: str, each: int = ASKED_EACH) -> DataFrame:
-    """(last_name): the rows of the names that the searches ask for, a stated set that grows with the documents."""
-    return names(spark, sf_dir).select("last_name").filter(hash32_column("last_name") % each == 0)
+def counted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(last_name, lang, count), kept, since searches take both their names and their corpora from it."""
+    return kept(names(spark, sf_dir).groupBy("last_name", "lang").agg(F.count("*").alias("count")))
+
+
+def asked_names(counted: DataFrame, each: int = ASKED_EACH) -> DataFrame:
+    """(last_name, n): the names that the searches ask for, a stated set that grows with the documents, and how often they came."""
+    asked = counted.filter(hash32_column("last_name") % each == 0)
+    return asked.groupBy("last_name").agg(F.sum("count").alias("n"))
+
+
+def known_names(counted: DataFrame, least: int = 3) -> DataFrame:
+    """(last_name): the names that came `least` times or more."""
+    return counted.groupBy("last_name").agg(F.sum("count").alias("n")).filter(F.col("n") >= least).select("last_name")
 
 
 TOKENS = r"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,3 +17,34 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it lies in."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; what is read from it is fixed."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+#: Folders that `new_folder` has named, until `clear_shared`.
+_NAMED: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, which `clear_shared` deletes."""
+    _NAMED.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again; unlike what `kept` gives, it has a known size."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this process has put into the shared folder under names of its own; results that read it must be used before."""
+    while _NAMED:
+        delete_folder(spark, _NAMED.pop())

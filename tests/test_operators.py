@@ -106,7 +106,7 @@ def test_edit_knn_modes_agree(spark):
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 7)))
     known = spark.createDataFrame([(word(),) for _ in range(150)] + [(None,)], "last_name string")
     asked = spark.createDataFrame([(word(),) for _ in range(40)] + [(None,), ("zzzzzzzzzz",)], "last_name string")
-    exact = rows(similarity.edit_knn(asked, known, 3, "exact").select("query", "neighbour", "distance", "rank"))
+    exact = rows(similarity.edit_knn(asked, known, 3).select("query", "neighbour", "distance", "rank"))
     assert exact == rows(similarity.edit_knn(asked, known, 3, "blocked").select("query", "neighbour", "distance", "rank"))
     few = spark.createDataFrame([("ab",), ("b",)], "last_name string")
     assert similarity.edit_knn(asked, few, 3).groupBy("query").count().filter("count <> 2").isEmpty()
