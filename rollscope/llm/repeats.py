@@ -16,7 +16,8 @@ A string of LENGTH bytes that starts anywhere else in the corpus is a repeat. Ma
 4. The runs' repeated starts give byte ranges, joined to the documents.
 
 Runs are the same if the 64-bit hash of their anchors and the 64-bit digest of their bytes are: two different runs of one
-anchor are confused with probability 2^-64.
+anchor are confused with probability 2^-64. Rows are told apart by 88 bits of their ids and texts: with null or shared ids,
+too, two different texts are confused with probability 2^-88.
 
 `keep_first=True` removes later copies and keeps the first in (doc_id, position) order; False removes all.
 """
@@ -40,6 +41,7 @@ SPAN = LENGTH - GRAM + 1
 STEP = 1 << 17
 HOT = 4096
 CHUNK = 1 << 17
+PART = 1000
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -99,21 +101,29 @@ def runs_of(data: bytes | memoryview, ends: np.ndarray) -> Iterator[tuple[np.nda
         yield h[anchor[at]].view(np.int64), digest.view(np.int64), text[at], first + low - begins[text[at]], n
 
 
-_RUNS = "h long, s long, doc_id long, pos long"
+def _kinds(ids: list[str]) -> str:
+    return ", ".join(f"{c} long" for c in ("h", "s", *ids, "pos"))
 
 
-def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("bytes").cast(pa.large_binary())
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]]
-        tag = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
-        for h, s, text, first, n in runs_of(data, offsets[1:] - offsets[0]):
-            pos = (first << 32) | (n << 24) | tag[text]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(s), batch.column("doc_id").take(pa.array(text)), pa.array(pos)],
-                names=["h", "s", "doc_id", "pos"],
-            )
+def _find_runs(ids: list[str]):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _runs_in(batch, ids)
+
+    return find
+
+
+def _runs_in(batch: pa.RecordBatch, ids: list[str]) -> Iterator[pa.RecordBatch]:
+    texts = batch.column("bytes").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+    tag = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
+    for h, s, text, first, n in runs_of(data, offsets[1:] - offsets[0]):
+        pos = (first << 32) | (n << 24) | tag[text]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h), pa.array(s), *(batch.column(c).take(pa.array(text)) for c in ids), pa.array(pos)],
+            names=["h", "s", *ids, "pos"],
+        )
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -248,35 +258,38 @@ def _mark(keep_first: bool):
     return mark
 
 
-def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(ids: list[str]):
     """The bytes of the runs that are asked for of each text."""
-    for frame in frames:
-        if not len(frame):
-            continue
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
         n = frame["h"].map(len).to_numpy()
         pos = np.concatenate(frame["pos"].to_numpy())
         text = frame["bytes"].to_numpy().repeat(n)
         start = pos >> 32
         ends = start + (pos >> 24 & 255) + LENGTH - 1
-        yield pd.DataFrame(
+        return pd.DataFrame(
             {
                 "h": np.concatenate(frame["h"].to_numpy()),
                 "s": np.concatenate(frame["s"].to_numpy()),
-                "doc_id": frame["doc_id"].repeat(n).to_numpy(),
+                **{c: frame[c].repeat(n).to_numpy() for c in ids},
                 "pos": pos,
                 "hot": np.concatenate(frame["hot"].to_numpy()).astype(bool),
                 "run": [t[a:b] for t, a, b in zip(text, start.tolist(), ends.tolist(), strict=True)],
             }
         )
 
+    return lambda frames: (cut(frame) for frame in frames if len(frame))
 
-def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _digests(ids: list[str]):
     """Each window of the runs of hot anchors with a 128-bit digest."""
-    for frame in frames:
-        for row in frame.itertuples():
-            runs = range(len(row.run) - LENGTH + 1)
-            each = [xxhash.xxh3_128_digest(row.run[i : i + LENGTH]) for i in runs]
-            yield pd.DataFrame({"h": row.h, "s": row.s, "doc_id": row.doc_id, "pos": row.pos, "at": list(runs), "digest": each})
+
+    def each(row: dict) -> pd.DataFrame:
+        runs = range(len(row["run"]) - LENGTH + 1)
+        digests = [xxhash.xxh3_128_digest(row["run"][i : i + LENGTH]) for i in runs]
+        return pd.DataFrame({**{c: row[c] for c in ("h", "s", *ids, "pos")}, "at": list(runs), "digest": digests})
+
+    return lambda frames: (each(row) for frame in frames for row in frame.to_dict("records"))
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,45 +328,50 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = T
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).cast("binary").alias("bytes"),
-    ).withColumn("tag", F.xxhash64("bytes").bitwiseAND(0xFFFFFF).cast("long"))
-    found = rows.mapInArrow(_find_runs, _RUNS)
-    place = F.struct("doc_id", "pos")
+    )
+    # A row is named by 64 bits of its id and text and 24 of another hash of its text.
+    rows = rows.withColumns({"row": F.xxhash64("doc_id", "bytes"), "tag": F.crc32("bytes").bitwiseAND(0xFFFFFF)})
+    ids = ["row"]
+    if keep_first:
+        rows, ids = rows.withColumn("rank", F.coalesce("doc_id", F.lit(-(2**63)))), ["rank", "row"]
+    found = rows.mapInArrow(_find_runs(ids), _kinds(ids))
+    place = F.struct(*ids, "pos")
     shared = (
         found.groupBy("h")
         .agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), *([F.min(place).alias("first")] if keep_first else []))
         .filter("n > 1")
-        .withColumn("mixed", F.col("lo") < F.col("hi"))
+        .withColumns({"mixed": F.col("lo") < F.col("hi"), "parts": F.ceil(F.col("n") / PART).cast("int")})
         .drop("n", "lo", "hi")
     )
     # Checkpointed, so that both sides of the join come from plain shuffles and a hot anchor can be split.
     runs = checkpointed(found.join(checkpointed(shared), "h"))
 
     classes = checkpointed(
-        runs.filter("mixed").groupBy("h", "s").agg(F.count("*").alias("c"), F.min(place).alias("head"))
+        runs.filter("mixed").groupBy("h", "s").agg(F.count("*").alias("c"), F.min(place).alias("head"), F.first("parts").alias("parts"))
     )
     per_anchor = classes.groupBy("h").agg((F.count("*") > HOT).alias("hot"))
     tag = lambda pos: pos.bitwiseAND(0xFFFFFF)
     asked = (
         classes.join(per_anchor, "h")
-        .groupBy(F.col("head.doc_id").alias("a_doc"), tag(F.col("head.pos")).alias("a_tag"))
+        .groupBy(F.col("head.row").alias("a_row"), tag(F.col("head.pos")).alias("a_tag"))
         .agg(F.collect_list(F.struct("h", "s", F.col("head.pos").alias("pos"), "hot")).alias("asked"))
     )
-    same_doc = lambda d, t: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("tag") == F.col(t))
+    same_row = lambda r, t: (F.col("row") == F.col(r)) & (F.col("tag") == F.col(t))
     texts = (
-        rows.join(asked, same_doc("a_doc", "a_tag"))
-        .select("doc_id", "bytes", "asked.h", "asked.s", "asked.pos", "asked.hot")
-        .mapInPandas(_slices, _RUNS + ", hot boolean, run binary")
+        rows.join(asked, same_row("a_row", "a_tag"))
+        .select(*ids, "bytes", "asked.h", "asked.s", "asked.pos", "asked.hot")
+        .mapInPandas(_slices(ids), _kinds(ids) + ", hot boolean, run binary")
     )
     sorted_marks = (
         texts.filter("not hot")
-        .select("h", "s", "doc_id", "pos", "run")
+        .select("h", "s", *ids, "pos", "run")
         .repartition("h")
-        .sortWithinPartitions("h", "doc_id", "pos", "s")
+        .sortWithinPartitions("h", *ids, "pos", "s")
         .mapInPandas(_mark(keep_first), "h long, s long, marks array<int>")
     )
     marks = sorted_marks
     if not per_anchor.filter("hot").isEmpty():
-        windows = texts.filter("hot").dropDuplicates(["h", "s"]).mapInPandas(_digests, _RUNS + ", at int, digest binary")
+        windows = texts.filter("hot").dropDuplicates(["h", "s"]).mapInPandas(_digests(ids), _kinds(ids) + ", at int, digest binary")
         copies = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("w_first")).filter("n > 1")
         marked = windows.join(copies, "digest")
         if keep_first:
@@ -375,18 +393,19 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, with_text: bool = T
     plain = runs.filter("not mixed")
     if keep_first:
         plain = plain.filter(place != F.col("first"))
-    plain = plain.select("doc_id", "pos", F.inline(whole))
-    # Classes and marks, one row each, come first and are dealt anew with a part of the key; then the runs meet them in one
-    # join of two plain shuffles, in which Spark can split a hot class further.
-    per_class = classes.join(marks, ["h", "s"], "left").withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
-    joined = runs.filter("mixed").withColumn("part", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(2)).cast("int")).join(per_class, ["h", "s", "part"])
+    plain = plain.select("row", "pos", F.inline(whole))
+    # Classes and marks, one row each, come first and are dealt anew to parts, one for each PART runs of the anchor; then the
+    # runs meet them in one join of two plain shuffles.
+    per_class = classes.join(marks, ["h", "s"], "left").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    dealt = runs.filter("mixed").withColumn("part", F.pmod(F.xxhash64("row", "pos"), F.col("parts")).cast("int")).drop("parts")
+    joined = dealt.join(per_class, ["h", "s", "part"])
     is_copy = (place != F.col("head")) if keep_first else (F.col("c") > 1)
-    partly = joined.select("doc_id", "pos", F.inline(F.when(is_copy, whole).otherwise(some)))
+    partly = joined.select("row", "pos", F.inline(F.when(is_copy, whole).otherwise(some)))
     ranges = (
         plain.unionByName(partly)
-        .groupBy(F.col("doc_id").alias("r_doc"), tag(F.col("pos")).alias("r_tag"))
+        .groupBy(F.col("row").alias("r_row"), tag(F.col("pos")).alias("r_tag"))
         .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     )
-    out = rows.join(ranges, same_doc("r_doc", "r_tag"), "left").select("doc_id", "bytes", "ranges.lo", "ranges.hi")
+    out = rows.join(ranges, same_row("r_row", "r_tag"), "left").select("doc_id", "bytes", "ranges.lo", "ranges.hi")
     kinds = "n_bytes long, n_removed long, n_spans long" + ", kept binary" * with_text + ", kept_sha256 string"
     return with_columns_of(out, _removed if with_text else _without_text, kinds, "bytes", "lo", "hi")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from rollscope.llm import components, decontam, jaccard, neighbours, repeats, simhash
 from rollscope.llm.components import connected_components
@@ -72,6 +73,25 @@ def test_repeats_odd_rows(spark):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+@pytest.mark.parametrize("ids", [(None, None), (7, 7), (None, 2**60 + 1)])
+def test_repeats_of_rows_without_ids_of_their_own(spark, keep_first, ids):
+    """Texts that agree in 24 bits of a hash and in their ids, and a third that repeats part of one of them."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(560)) for _ in range(16_000)]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64(F.col("text").cast("binary")).bitwiseAND(0xFFFFFF).alias("tag"))
+    pairs = found.groupBy("tag").agg(F.sort_array(F.collect_list("text")).alias("texts")).filter("size(texts) > 1").collect()
+    assert pairs
+    for pair in [p.texts[:2] for p in pairs[:2]]:
+        third = "z" * 30 + pair[0][100:360] + "y" * 30
+        rows = [(ids[0], pair[0]), (ids[1], pair[1]), (2**60 + 3, third), (2**60 + 4, "w" * 150)]
+        want = brute_repeats([t.encode() for _, t in rows], keep_first)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted((r.n_bytes, r.n_removed, bytes(r.kept)) for r in repeats.remove_repeats(df, keep_first).collect())
+        assert got == sorted((len(t), sum(f), bytes(b for b, x in zip(t.encode(), f, strict=True) if not x)) for (_, t), f in zip(rows, want, strict=True))
+        assert {r.doc_id for r in repeats.remove_repeats(df, keep_first).collect()} == {i for i, _ in rows}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.binary(min_size=repeats.LENGTH, max_size=240).map(lambda b: bytes(x % 2 for x in b)), min_size=1, max_size=5), st.integers(0, 10))
 def test_suffix_order(strings, seed):
