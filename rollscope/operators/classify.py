@@ -50,7 +50,7 @@ class NaiveBayes:
         most = raw.groupBy("name").agg(F.max("raw").alias("most"))
         total = raw.join(most, "name").groupBy("name", "most").agg(F.log(F.sum(F.exp(F.col("raw") - F.col("most")))).alias("rest"))
         scored = raw.join(total, "name").withColumn("log_prob", F.col("raw") - F.col("most") - F.col("rest"))
-        return scored.select("name", "label", F.round("raw", 6).alias("score"), F.round("log_prob", 6).alias("log_prob"))
+        return scored.select("name", "label", F.round("raw", 6).alias("score"), (F.round("log_prob", 6) + F.lit(0.0)).alias("log_prob"))  # no -0.0
 
     def top_k(self, names: DataFrame, k: int = 3, column: str = "last_name") -> DataFrame:
         """(name, pred): the k best labels, best first, ties by label.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from rollscope.sources.shared import kept
 
 
 def _share(test: Column) -> Column:
@@ -103,29 +105,84 @@ def accuracy_slices(df: DataFrame, hit: str, slices: dict[str, Column]) -> DataF
     return rows.groupBy("slice").agg(F.count("*").alias("n"), F.avg("hit").alias("accuracy"))
 
 
-def local_linear(df: DataFrame, x: str, y: str, by: str, span: float = 0.75) -> DataFrame:
-    """(by, x, fit): at each distinct x a line fitted with tricube weights to the nearest `span` of the points.
+#: A cell of the tree has at most this share of the points that a fit takes in.
+CELL = 0.2
+MARGIN = 0.005
+#: A fit of a degree needs a determinant of more than this times that of equal weights.
+SINGULAR = 1e-9
+
+
+def _grid(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
+    """(g, x, n, sy, upto, all): points summed by distinct x, with the number of points up to it and in all."""
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    grid = rows.groupBy(F.col(by).alias("g"), F.col(x).cast("double").alias("x")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("sy"))
+    group = Window.partitionBy("g")
+    return grid.withColumns({"upto": F.sum("n").over(group.orderBy("x")), "all": F.sum("n").over(group)})
+
 
-    Points are summed by distinct x first, so what meets itself is the grid of values, not the rows.
+def _vertices(grid: DataFrame, span: float, cell: float) -> DataFrame:
+    """(g, i, v): the borders of the cells of a tree over x, from left to right.
+
+    Cells are halved at their middle point until none has more than span * cell of the points, so the borders between them are
+    the middles between two neighbouring points at multiples of a power of two; the outer ones lie a little beyond the data.
     """
-    grid = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(by).alias("g"), F.col(x).cast("double").alias("x")).agg(F.count("*").alias("n"), F.sum(y).alias("sy"))
-    size = grid.groupBy("g").agg(F.ceil(F.sum("n") * span).alias("need"))
-    at = grid.select("g", F.col("x").alias("x0"))
-    pairs = at.join(grid, "g").join(size, "g").withColumn("d", F.abs(F.col("x") - F.col("x0")))
-    from pyspark.sql import Window
-
-    nearest = Window.partitionBy("g", "x0").orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
-    inside = pairs.withColumn("got", F.sum("n").over(nearest)).withColumn("reach", F.min(F.when(F.col("got") >= F.col("need"), F.col("d"))).over(Window.partitionBy("g", "x0")))
-    u = F.when(F.col("reach") > 0, F.col("d") / F.col("reach")).otherwise(F.when(F.col("d") == 0, 0.0).otherwise(2.0))
-    weight = F.when(u < 1, F.pow(1 - F.pow(u, F.lit(3)), F.lit(3))).otherwise(0.0)
-    w = inside.withColumn("w", weight).withColumn("dx", F.col("x") - F.col("x0"))
-    sums = w.groupBy("g", "x0").agg(
-        F.sum(F.col("w") * F.col("n")).alias("s0"),
-        F.sum(F.col("w") * F.col("n") * F.col("dx")).alias("s1"),
-        F.sum(F.col("w") * F.col("n") * F.col("dx") * F.col("dx")).alias("s2"),
-        F.sum(F.col("w") * F.col("sy")).alias("t0"),
-        F.sum(F.col("w") * F.col("sy") * F.col("dx")).alias("t1"),
-    )
-    det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-    line = F.when(det > 1e-12, (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / det)
-    return sums.select(F.col("g").alias(by), F.col("x0").alias(x), F.coalesce(line, F.try_divide(F.col("t0"), F.col("s0"))).alias("fit"))
+    ends = grid.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.first("all").alias("all"))
+    most = F.greatest(F.floor(F.col("all") * span * cell), F.lit(1))
+    cells = F.pow(F.lit(2), F.ceil(F.log2(F.col("all") / most) - 1e-9)).cast("long")
+    ends = ends.withColumn("cells", F.greatest(cells, F.lit(1)))
+    wanted = ends.filter("cells > 1").select("g", "cells", "all", F.explode(F.expr("sequence(1L, cells - 1)")).alias("k"))
+    wanted = wanted.select("g", "k", F.greatest(F.expr("all * k div cells"), F.lit(1)).alias("at"))
+    wanted = wanted.withColumn("pos", F.explode(F.array("at", F.col("at") + 1)))
+    # The point at a position is the x whose points reach from before it to it.
+    spans = grid.select("g", "x", (F.col("upto") - F.col("n")).alias("before"), "upto")
+    placed = wanted.join(spans, "g").filter("pos > before and pos <= upto")
+    inner = placed.groupBy("g", "k").agg(F.avg("x").alias("v")).select("g", "v")
+    pad = F.greatest(F.col("hi") - F.col("lo"), F.greatest(F.abs("lo"), F.abs("hi")) * 1e-10 + 1e-30) * MARGIN
+    outer = ends.select("g", F.explode(F.array(F.col("lo") - pad, F.col("hi") + pad)).alias("v"))
+    return inner.unionByName(outer).distinct().withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("v")))
+
+
+def _fits(grid: DataFrame, vertices: DataFrame, span: float, degree: int) -> DataFrame:
+    """(g, i, v, b0, b1): value and slope at each vertex of a polynomial fitted with tricube weights to the nearest `span` of the points."""
+    met = vertices.join(grid, "g").withColumn("d", F.abs(F.col("x") - F.col("v")))
+    got = F.sum("n").over(Window.partitionBy("g", "i").orderBy("d").rangeBetween(Window.unboundedPreceding, 0))
+    reach = F.min(F.when(F.col("got") >= F.ceil(F.col("all") * span), F.col("d"))).over(Window.partitionBy("g", "i"))
+    near = met.withColumn("got", got).withColumn("h", reach).withColumn("h", F.when(F.col("h") > 0, F.col("h")).otherwise(1.0)).filter("d < h")
+    u = F.col("d") / F.col("h")
+    w = F.pow(1 - u * u * u, F.lit(3))
+    near = near.withColumns({"w": w * F.col("n"), "wy": w * F.col("sy"), "t": (F.col("x") - F.col("v")) / F.col("h")})
+    power = lambda c, k: F.sum(F.col(c) * F.pow("t", F.lit(k)))
+    sums = near.groupBy("g", "i", "v", "h").agg(*(power("w", k).alias(f"s{k}") for k in range(5)), *(power("wy", k).alias(f"y{k}") for k in range(3)))
+    s0, s1, s2, s3, s4, y0, y1, y2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "y0", "y1", "y2"))
+    flat = y0 / s0
+    line = s0 * s2 - s1 * s1
+    minor = s2 * s4 - s3 * s3
+    whole = s0 * minor - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+    curved = whole > SINGULAR * s0 * s0 * s0 if degree > 1 else F.lit(False)
+    c0 = (y0 * minor - s1 * (y1 * s4 - y2 * s3) + s2 * (y1 * s3 - y2 * s2)) / whole
+    c1 = (s0 * (y1 * s4 - y2 * s3) - y0 * (s1 * s4 - s2 * s3) + s2 * (s1 * y2 - s2 * y1)) / whole
+    sloped = line > SINGULAR * s0 * s0
+    b0 = F.when(curved, c0).when(sloped, (s2 * y0 - s1 * y1) / line).otherwise(flat)
+    b1 = F.when(curved, c1).when(sloped, (s0 * y1 - s1 * y0) / line).otherwise(0.0)
+    return sums.select("g", "i", "v", b0.alias("b0"), (b1 / F.col("h")).alias("b1"))
+
+
+def local_smooth(df: DataFrame, x: str, y: str, by: str, span: float = 0.75, degree: int = 2, cell: float = CELL) -> DataFrame:
+    """(by, x, fit): local regression at each distinct x of each group.
+
+    Polynomials of the given degree, 1 or 2, are fitted at the vertices of a tree over x and blended by cubics that have the
+    vertices' values and slopes. A group has some ten vertices however many points it has, so the cost is linear in its distinct
+    x. Where a window has too few distinct x for the degree, a lower one is fitted. Rows with a null x or y are left out.
+    """
+    grid = kept(_grid(df, x, y, by))
+    fits = _fits(grid, _vertices(grid, span, cell), span, degree)
+    after = Window.partitionBy("g").orderBy("i")
+    nexts = {f"{c}_r": F.lead(c).over(after) for c in ("v", "b0", "b1")}
+    cells = fits.withColumns(nexts).filter("v_r is not null")
+    inside = grid.join(cells, "g").filter("x > v and x <= v_r or i = 1 and x <= v")
+    h, t = F.col("v_r") - F.col("v"), (F.col("x") - F.col("v")) / (F.col("v_r") - F.col("v"))
+    blend = (
+        (1 + 2 * t) * (1 - t) * (1 - t) * F.col("b0") + t * (1 - t) * (1 - t) * h * F.col("b1")
+        + t * t * (3 - 2 * t) * F.col("b0_r") + t * t * (t - 1) * h * F.col("b1_r")
+    )
+    return inside.select(F.col("g").alias(by), F.col("x").alias(x), blend.alias("fit"))

@@ -825,7 +825,35 @@ def pred_last_state(spark, sf):
     return found.select("name", F.concat_ws(",", "pred_state").alias("pred_state"))
 
 
-@query()
+def _nb_sql(p: str, pairs: str, names: str, k: int = 3) -> str:
+    """Scores `{p}_sc` and the k best labels `{p}_top` (name, pred) of `names` (name), trained on `pairs` (name, label)."""
+    return f"""{p}_tg as (select label, unnest([substr(name, i, 2) for i in range(1, length(name))]) as gram from {pairs}),
+    {p}_cn as (select gram, label, count(*) as n from {p}_tg group by 1, 2),
+    {p}_lb as (select label, ln(seen / (select count(*) from {pairs})) as prior, ln(total + (select count(distinct gram) from {p}_cn)) as base
+      from (select label, count(*) as seen from {pairs} group by 1) join (select label, sum(n) as total from {p}_cn group by 1) using (label)),
+    {p}_qg as (select name, unnest([substr(name, i, 2) for i in range(1, length(name))]) as gram from {names}),
+    {p}_gain as (select name, label, sum(ln(n + 1)) as gain from {p}_qg join {p}_cn using (gram) group by 1, 2),
+    {p}_sc as (select q.name, l.label, prior + coalesce(gain, 0) - (length(q.name) - 1) * base as raw
+      from {names} q cross join {p}_lb l left join {p}_gain g on g.name = q.name and g.label = l.label),
+    {p}_r as (select name, label, row_number() over (partition by name order by round(raw, 6) desc, label) as r from {p}_sc qualify r <= {k}),
+    {p}_top as (select name, list(label order by r) as pred from {p}_r group by 1)"""
+
+
+_HEADS = f"""{t.ASKED_WORDS}, wide as (select last_name as name, {_LANG_WIDE} from names group by 1),
+    v as (select *, list_reverse_sort([de, en, es, fr]) as v from wide),
+    ranked as (select name, case {_CASE("v[1]", t.LANGS)} end as a, case {_CASE("v[2]", t.LANGS)} end as b, case {_CASE("v[3]", t.LANGS)} end as c from v),
+    pa as (select name, a as label from ranked where a is not null), pb as (select name, b as label from ranked where b is not null),
+    pc as (select name, c as label from ranked where c is not null), q as (select distinct last_name as name from words),
+    {_nb_sql("x", "pa", "q")}, {_nb_sql("y", "pb", "q")}, {_nb_sql("z", "pc", "q")},
+    h as (select x_top.name, x_top.pred as x, y_top.pred as y, z_top.pred as z from x_top join y_top using (name) join z_top using (name)),
+    two as (select *, case when y[1] = x[1] then y[2] else y[1] end as second from h)"""
+
+
+@query(
+    f"""with {t.TOKENS}, {_HEADS},
+    best as (select name, concat_ws(',', x[1], second, case when z[1] = x[1] or z[1] = second then z[3] else z[1] end) as predicted_lang from two)
+    select last_name, predicted_lang, count(*) as n from words left join best on last_name = name group by 1, 2"""
+)
 def predict_lang(spark, sf):
     """Three models on the first, second and third label of each name, applied to the names asked for."""
     counted = t.counted_names(spark, sf)
@@ -835,6 +863,18 @@ def predict_lang(spark, sf):
     return found.select("last_name", F.concat_ws(",", "predicted_lang").alias("predicted_lang"), "n")
 
 
+@query(
+    f"""with {t.TOKENS}, {t.ASKED_WORDS}, pairs as (select distinct last_name as name, lang as label from names where lang is not null),
+    q as (select distinct last_name as name from words), {_nb_sql("x", "pairs", "q")},
+    m as (select *, max(raw) over (partition by name) as most from x_sc)
+    select name, label, round(raw, 6) as score, round(raw - most - ln(sum(exp(raw - most)) over (partition by name)), 6) + 0.0::double as log_prob from m"""
+)
+def label_probabilities(spark, sf):
+    """Scores of all languages for the names asked for, and their logarithms normalised to one."""
+    counted = t.counted_names(spark, sf)
+    return classify.NaiveBayes(counted, label="lang").scores(t.asked_names(counted))
+
+
 @query()
 def forest_lang(spark, sf):
     train, test = _split_pairs(spark, sf)
@@ -842,12 +882,55 @@ def forest_lang(spark, sf):
     return found.groupBy("label", "pred").agg(F.count("*").alias("n"))
 
 
-@query()
-def local_linear(spark, sf):
-    """Share of English over the frequency of names, by first letter."""
+def _smooth_sql(points: str, span: float = 0.75, degree: int = 2) -> str:
+    """`fit` (g, x, fit) of `points` (g, x, y)."""
+    curved = "whole > 1e-9 * s0 * s0 * s0" if degree > 1 else "false"
+    return f"""grid0 as (select g, x::double as x, count(*) as n, sum(y::double) as sy from {points} where x is not null and y is not null group by 1, 2),
+    grid as (select *, (sum(n) over (partition by g order by x))::bigint as upto, (sum(n) over (partition by g))::bigint as every from grid0),
+    ends as (select g, min(x) as lo, max(x) as hi, first(every) as every,
+      greatest(pow(2, ceil(log2(first(every) / greatest(floor(first(every) * {span}::double * {evaluate.CELL}::double), 1)) - 1e-9))::bigint, 1) as cells from grid group by 1),
+    wanted as (select g, k, unnest([greatest(every * k // cells, 1), greatest(every * k // cells, 1) + 1]) as pos from (select *, unnest(range(1, cells)) as k from ends)),
+    vx as (select g, avg(x) as v from (select w.g, k, x from wanted w join grid on w.g = grid.g and pos > upto - n and pos <= upto) group by g, k
+      union select g, lo - greatest(hi - lo, greatest(abs(lo), abs(hi)) * 1e-10 + 1e-30) * {evaluate.MARGIN}::double from ends
+      union select g, hi + greatest(hi - lo, greatest(abs(lo), abs(hi)) * 1e-10 + 1e-30) * {evaluate.MARGIN}::double from ends),
+    vi as (select *, row_number() over (partition by g order by v) as i from vx),
+    met as (select vi.g, i, v, x, n, sy, every, abs(x - v) as d from vi join grid on vi.g = grid.g),
+    run as (select *, sum(n) over (partition by g, i order by d range between unbounded preceding and current row) as got from met),
+    wide as (select *, min(case when got >= ceil(every * {span}::double) then d end) over (partition by g, i) as reach from run),
+    near as (select *, case when reach > 0 then reach else 1.0::double end as h from wide),
+    wt as (select g, i, v, h, (x - v) / h as t, pow(1 - (d / h) * (d / h) * (d / h), 3) as w, n, sy from near where d < h),
+    sums as (select g, i, v, h, {", ".join(f"sum(w * n * pow(t, {k})) as s{k}" for k in range(5))}, {", ".join(f"sum(w * sy * pow(t, {k})) as y{k}" for k in range(3))} from wt group by all),
+    det as (select *, s2 * s4 - s3 * s3 as minor, s0 * s2 - s1 * s1 as line,
+      s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) as whole from sums),
+    vertex as (select g, i, v,
+      case when {curved} then (y0 * minor - s1 * (y1 * s4 - y2 * s3) + s2 * (y1 * s3 - y2 * s2)) / whole
+        when line > 1e-9 * s0 * s0 then (s2 * y0 - s1 * y1) / line else y0 / s0 end as b0,
+      case when {curved} then (s0 * (y1 * s4 - y2 * s3) - y0 * (s1 * s4 - s2 * s3) + s2 * (s1 * y2 - s2 * y1)) / whole
+        when line > 1e-9 * s0 * s0 then (s0 * y1 - s1 * y0) / line else 0 end / h as b1 from det),
+    cell as (select *, lead(v) over o as vr, lead(b0) over o as b0r, lead(b1) over o as b1r from vertex window o as (partition by g order by i)),
+    place as (select grid.g, x, (x - v) / (vr - v) as t, vr - v as h, b0, b1, b0r, b1r from grid join cell on grid.g = cell.g and vr is not null and (x > v and x <= vr or i = 1 and x <= v)),
+    fit as (select g, x, (1 + 2 * t) * (1 - t) * (1 - t) * b0 + t * (1 - t) * (1 - t) * h * b1 + t * t * (3 - 2 * t) * b0r + t * t * (t - 1) * h * b1r as fit from place)"""
+
+
+_EN_BY_FREQ = """points as (select substr(last_name, 1, 1) as g, freq as x, en as y from (
+      select last_name, count(*) as freq, avg((lang = 'en')::int) as en from names group by 1) where freq <= 2000)"""
+
+
+def _english_by_frequency(spark, sf):
     rows = t.names(spark, sf).groupBy("last_name").agg(F.count("*").alias("freq"), F.avg((F.col("lang") == "en").cast("int")).alias("en"))
-    rows = rows.withColumn("letter", F.substring("last_name", 1, 1)).filter("freq <= 2000")
-    return evaluate.local_linear(rows, "freq", "en", "letter").withColumn("fit", F.round("fit", 6))
+    return rows.withColumn("letter", F.substring("last_name", 1, 1)).filter("freq <= 2000")
+
+
+@query(f"with {t.TOKENS}, {_EN_BY_FREQ}, {_smooth_sql('points')} select g as letter, x as freq, round(fit, 5) as fit from fit")
+def local_smooth(spark, sf):
+    """Share of English over the frequency of names, by first letter, by parabolas."""
+    return evaluate.local_smooth(_english_by_frequency(spark, sf), "freq", "en", "letter").withColumn("fit", F.round("fit", 5))
+
+
+@query(f"with {t.TOKENS}, {_EN_BY_FREQ}, {_smooth_sql('points', degree=1)} select g as letter, x as freq, round(fit, 5) as fit from fit")
+def local_linear(spark, sf):
+    """The same by lines."""
+    return evaluate.local_smooth(_english_by_frequency(spark, sf), "freq", "en", "letter", degree=1).withColumn("fit", F.round("fit", 5))
 
 
 @query(
