@@ -357,6 +357,26 @@ def test_gapped_spellings():
     assert (scores[:4] > 0.5).all() and scores[4] < 0.5
 
 
+def test_other_spellings_of_telling_strings():
+    """Of strings learnt from labels nearly all are found with a letter doubled, half with one inserted or left out; clean words stay clean."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeiorstnlmdu") for _ in range(rng.randint(3, 9)))
+    text = lambda *x: " ".join([*(word() for _ in range(20)), *x])
+    insults = ["gorblax", "pifflewop", "zwackel", "kumquob"]
+    toxic = [text(rng.choice(insults)) for _ in range(200)]
+    model = toxicity.Model([text() for _ in range(200)] + toxic, [0] * 200 + [1] * 200)
+    found = lambda words: float(np.mean(model.scores([f"You are a {x} and so on" for x in words]) >= 0.5))
+    assert found(insults) == 1.0
+    spelt = {"doubled": [], "inserted": [], "left out": []}
+    for s in insults:
+        spelt["doubled"] += [s[:i] + s[i] + s[i:] for i in range(len(s))]
+        spelt["inserted"] += [s[:i] + "j" + s[i:] for i in range(1, len(s))]
+        spelt["left out"] += [s[:i] + s[i + 1 :] for i in range(1, len(s))]
+    shares = {k: found(v) for k, v in spelt.items()}
+    assert shares["doubled"] > 0.9 and shares["inserted"] >= 0.45 and shares["left out"] >= 0.45, shares
+    assert found([word() for _ in range(300)]) < 0.02
+
+
 def test_toxicity_odd_rows(spark):
     df = documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
