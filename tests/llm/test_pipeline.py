@@ -1,5 +1,10 @@
 """The pipeline stage by stage against plain versions of what each decides."""
 
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from rollscope.llm import pii
 from tests.llm.fixtures import documents, empty
@@ -54,3 +59,23 @@ def test_stages_on_odd_rows(spark, sf):
             if name != pipeline.STAGES[-1][0]:
                 assert out.columns == df.columns
                 df = out
+
+
+CLASHING = ["_row_id", "_first_id", "_first_words", "_id", "_words", "row", "hash", "label", "made", "_made", "kept", "words", "size", "first", "n"]
+
+
+@pytest.mark.parametrize("name, stage", pipeline.STAGES)
+def test_a_stage_decides_alike_with_clashing_columns(spark, sf, name, stage):
+    """Columns that are called like the stages' own change no row, and stay as they were."""
+    odd = documents(spark, extra=False)
+    columns = odd.columns
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(columns).unionByName(odd)
+    clashing = docs.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)})
+    plain, found = stage(spark, docs, sf), stage(spark, clashing, sf)
+    rows = lambda df, of: Counter(map(tuple, df.select(of).collect()))
+    if name == pipeline.STAGES[-1][0]:
+        assert rows(plain, plain.columns) == rows(found, plain.columns)
+        return
+    assert found.columns == clashing.columns
+    assert rows(plain, columns) == rows(found, columns)
+    assert found.filter(" or ".join(f"`{c}` <> {i}" for i, c in enumerate(CLASHING))).isEmpty()
