@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from rollscope.functions.names import normalize_name
@@ -44,3 +46,24 @@ def list_states(corpus: DataFrame, column: str = "state") -> DataFrame:
         return corpus.select(column).distinct().orderBy(column)
     labels = [c for c in corpus.columns if c not in ("last_name", "total_n")]
     return corpus.sparkSession.createDataFrame([(c,) for c in labels], f"{column} string")
+
+
+def column_range(df: DataFrame, first: str, last: str, *keep: str) -> DataFrame:
+    """The columns from `first` to `last`, both included, in the order of the table, after those to keep."""
+    names = df.columns
+    return df.select(*(F.col(f"`{c}`") for c in [*keep, *names[names.index(first) : names.index(last) + 1]]))
+
+
+def label_union(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(label): the distinct labels of all of the columns, without null."""
+    return df.select(F.explode(F.array_distinct(F.array(*columns))).alias("label")).filter("label is not null").distinct()
+
+
+def with_codes(df: DataFrame, column: str, codes: DataFrame, name: str = "code") -> DataFrame:
+    """Adds the code of the column's label by a table (label, code); labels without one get null."""
+    return df.join(codes.select(F.col("label").alias(column), F.col("code").alias(name)), column, "left")
+
+
+def with_labels(df: DataFrame, column: str, codes: DataFrame, name: str = "label") -> DataFrame:
+    """Adds the label of a code, the way back."""
+    return df.join(codes.select(F.col("code").alias(column), F.col("label").alias(name)), column, "left")

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from rollscope.constants import ALPHABET
 from rollscope.functions import names as fn
 from rollscope.functions.sql import register
 from rollscope.operators import classify, corpus, counts, enrich, evaluate, labels, ranking, sampling, similarity
 from rollscope.plans import tables as t
 from rollscope.sources import rolls, schemas
 from rollscope.sources.shared import kept, new_folder
-from rollscope.streaming.rolls import incremental_counts
+from rollscope.streaming.rolls import counts_table, incremental_counts, stream_last_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -391,7 +392,25 @@ def streaming_counts(spark, sf):
     # A pattern, since the table may be one file or a folder.
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/documents.parque[t]")
     incremental_counts(t.tokens_of(arriving), f"{folder}/counts", f"{folder}/log").awaitTermination()
-    return spark.read.parquet(f"{folder}/counts")
+    return counts_table(spark, f"{folder}/counts").read()
+
+
+@query(
+    """with c as (select user_id::varchar as last_name, count(*) as total_n, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'view') as view
+      from events where event_type in ('click', 'view') group by 1),
+    u as (select distinct user_id::varchar as name from events)
+    select name, lower(name) as __last_name, click / total_n as click, view / total_n as view from u left join c on lower(name) = last_name"""
+)
+def streaming_last_state(spark, sf):
+    """Arriving users with the distribution of their events, each once within a day of event time."""
+    folder = new_folder(spark, "stream")
+    events = t.table(spark, sf, "events")
+    user = F.col("user_id").cast("string")
+    known = corpus.build_state_corpus(events.select(user.alias("last_name"), F.col("event_type").alias("state")), ["click", "view"]).drop("total_n")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parque[t]")
+    arriving = arriving.select(user.alias("name"), F.col("ts").cast("timestamp").alias("ts"))
+    stream_last_state(arriving, "name", known, f"{folder}/rows", f"{folder}/log", "ts", "36500 days").awaitTermination()
+    return spark.read.schema("name string, ts timestamp, __last_name string, click double, view double").parquet(f"{folder}/rows").drop("ts")
 
 
 # --- sources and sinks
@@ -417,10 +436,11 @@ def roll_layouts(spark, sf):
     return rows.groupBy("elector_name", "father_or_husband_name", "state", "sex").agg(F.count("*").alias("n"))
 
 
-@query(f"with {t.ROLL} select state, elector_name, count(*) as n from roll group by all")
-def roll_file_names(spark, sf):
-    """Files of one state each, in a tree, with the states read from their names."""
-    path = _written(spark, sf, ["elector_name", "father_or_husband_name", "sex", F.replace("state", F.lit("_"), F.lit(" ")).alias("file")], "tree", "file")
+def _state_files(spark, sf, name, compress=True):
+    """The roll as files of one state each, in a tree; `name` gives a file's name by its state, with `~` for `_`, and number."""
+    columns = ["elector_name", "father_or_husband_name", "sex"]
+    path = f"{new_folder(spark, 'rolls')}/tree"
+    rolls.write_csv(t.roll(spark, sf).select(*columns, F.replace("state", F.lit("_"), F.lit(" ")).alias("file")), path, "file", compress)
     fs = spark._jvm.org.apache.hadoop.fs
     root = fs.Path(path)
     store = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -428,15 +448,107 @@ def roll_file_names(spark, sf):
         if folder.isDirectory():
             state = folder.getPath().getName().split("=")[1].replace("%20", " ").replace(" ", "~")
             for k, file in enumerate(store.listStatus(folder.getPath())):
-                store.rename(file.getPath(), fs.Path(folder.getPath(), f"{state}_2021-{k}.csv.gz"))
-    read = rolls.read_rolls(spark, path, schemas.strings("elector_name", "father_or_husband_name", "sex"), recursive=True)
-    rows = rolls.with_state_from_path(read).withColumn("state", F.replace("state", F.lit("~"), F.lit("_")))
+                store.rename(file.getPath(), fs.Path(folder.getPath(), name(state, k)))
+    return path
+
+
+def _of_files(rows, unsupported=()):
+    rows = rolls.with_state_from_path(rows, unsupported).withColumn("state", F.replace("state", F.lit("~"), F.lit("_")))
     return rows.groupBy("state", "elector_name").agg(F.count("*").alias("n"))
 
 
+_FILE_COLUMNS = schemas.strings("elector_name", "father_or_husband_name", "sex")
+
+
+@query(f"with {t.ROLL} select state, elector_name, count(*) as n from roll group by all")
+def roll_file_names(spark, sf):
+    """Files of one state each, in a tree, with the states read from their names."""
+    path = _state_files(spark, sf, lambda state, k: f"{state}_2021-{k}.csv.gz")
+    return _of_files(rolls.read_rolls(spark, path, _FILE_COLUMNS, recursive=True))
+
+
+@query(f"with {t.ROLL} select state, elector_name, count(*) as n from roll where state not like 'I%' and state <> 'FRANCE' group by all")
+def roll_file_set(spark, sf):
+    """The same without the files of copies in another script and of an unsupported state."""
+    path = _state_files(spark, sf, lambda state, k: f"{state}_{'guj' if state.startswith('I') else 'eng'}_2021-{k}.csv.gz")
+    return _of_files(rolls.read_rolls(spark, path, _FILE_COLUMNS, recursive=True), ["FRANCE"])
+
+
+@query(f"with {t.ROLL} select state, elector_name, count(*) as n from roll group by all")
+def tab_files(spark, sf):
+    """Files called `.tab` that hold CSV, one column of them read."""
+    path = _state_files(spark, sf, lambda state, k: f"{state}-{k}.tab", compress=False)
+    return _of_files(rolls.read_rolls(spark, path, _FILE_COLUMNS, ["elector_name", "_metadata"], "*.tab", recursive=True))
+
+
+@query(
+    f"""with {t.ROLL} select state, count(*) filter (l_orderkey % 7 <> 0 and l_orderkey % 11 <> 0) as n_good,
+    count(*) filter (l_orderkey % 7 = 0 or l_orderkey % 11 = 0) as n_malformed from roll group by 1"""
+)
+def malformed_rolls(spark, sf):
+    """Rows with a column too few or too many, counted apart from the others by file."""
+    path = f"{new_folder(spark, 'rolls')}/broken"
+    whole = F.concat_ws(",", "elector_name", "father_or_husband_name", "sex")
+    line = F.when(F.col("l_orderkey") % 7 == 0, F.col("elector_name")).when(F.col("l_orderkey") % 11 == 0, F.concat(whole, F.lit(",x,y"))).otherwise(whole)
+    t.roll(spark, sf).select(line.alias("value"), "state").write.partitionBy("state").text(path)
+    rows = rolls.read_with_malformed(spark, path, _FILE_COLUMNS, "*.txt", header=False)
+    state = F.regexp_extract("file", "/state=([^/]*)/", 1)
+    return rolls.malformed_counts(rows.withColumn("state", F.replace(state, F.lit("%20"), F.lit(" "))), "state")
+
+
+@query(f"with {t.ROLL} select elector_name, count(*)::bigint as n from (select * from roll union all select * from roll where sex = 'Male') group by 1")
+def appended_rolls(spark, sf):
+    """Files of one layout appended to one table, some of them again."""
+    out = f"{new_folder(spark, 'rolls')}/all"
+    columns = schemas.ROLL.names
+    path = _written(spark, sf, columns, "by-sex", "sex")
+    schema = schemas.strings(*(c for c in columns if c != "sex"))
+    for files in ([path], [f"{path}/sex=Male"]):
+        rolls.append_files(spark, files, schema, out)
+    return spark.read.parquet(out).groupBy("elector_name").agg(F.count("*").alias("n"))
+
+
+@query("select n_name as state, row_number() over (order by n_regionkey, n_nationkey) - 1 as seq from nation")
+def dimension_order(spark, sf):
+    """The order of a dimension's rows over several files."""
+    path = f"{new_folder(spark, 'dimension')}/states"
+    rows = t.table(spark, sf, "nation").repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey")
+    empty = [F.lit("x").alias(c) for c in schemas.STATE_LANGUAGES.names[1:]]
+    rolls.write_csv(rows.select(F.col("n_name").alias("state"), *empty, "n_regionkey"), path, "n_regionkey", compress=False)
+    return rolls.state_languages(spark, path, recursive=True).select("state", "seq")
+
+
+@query(
+    f"""with {t.TOKENS}, c as (select distinct unnest(string_split(last_name, '')) as "char" from names)
+    select "char", row_number() over (order by "char") as code, row_number() over (order by "char") as line from c where "char" <> ''"""
+)
+def vocabulary_files(spark, sf):
+    """The letters in use as a JSON object of their numbers and as lines of a text, read back."""
+    folder = new_folder(spark, "vocabulary")
+    known = counts.char_vocab(t.names(spark, sf)).select("char", "code")  # an alphabet
+    entries = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("char", "code"))))).alias("value")
+    known.agg(entries).coalesce(1).write.text(f"{folder}/map")
+    known.orderBy("code").select(F.col("char").alias("value")).coalesce(1).write.text(f"{folder}/lines")
+    lines = [(c, i) for i, c in enumerate(rolls.read_vocabulary(spark, f"{folder}/lines"), 1)]
+    return rolls.read_character_map(spark, f"{folder}/map").join(spark.createDataFrame(lines, "char string, line int"), "char")
+
+
+@query(
+    f"""with {t.ROLL} select elector_name, case when sex = 'Male' and l_orderkey % 3 > 0 then father_or_husband_name when l_orderkey % 5 > 0 then elector_name end as father_or_husband_name,
+    count(*) as n from roll group by all"""
+)
+def delhi_rolls(spark, sf):
+    """The layout with a father's and a husband's name, of which the first that is there counts."""
+    father = F.when((F.col("sex") == "Male") & (F.col("l_orderkey") % 3 > 0), F.col("father_or_husband_name")).alias("father's name")
+    husband = F.when(F.col("l_orderkey") % 5 > 0, F.col("elector_name")).alias("husband's name")
+    path = _written(spark, sf, [F.col("elector_name").alias("name"), father, husband], "delhi")
+    rows = rolls.reconcile_roll(rolls.read_rolls(spark, path, schemas.ROLL_DELHI), "delhi")
+    return rows.groupBy("elector_name", "father_or_husband_name").agg(F.count("*").alias("n"))
+
+
 @query(f"with {t.ROLL}, c as (select elector_name as last_name, state, count(*) as n from roll group by all) select last_name, state, n from c")
 def corpus_round_trip(spark, sf):
-    """A corpus written by state and appended to, read back."""
+    """A corpus written by state, read back."""
     path = new_folder(spark, "corpus")
     found = t.roll(spark, sf).groupBy(F.col("elector_name").alias("last_name"), "state").agg(F.count("*").alias("n"))
     rolls.write_corpus(found, path, "state")
@@ -966,3 +1078,90 @@ def sql_name_rules(spark, sf):
         "last_name_household(elector_name, father_or_husband_name) as household, "
         "last_name_shared(elector_name, father_or_husband_name) as shared, count(*) as n from rollscope_roll group by all"
     )
+
+
+# --- encoders and lists
+
+_GRAM_WORDS = ["th", "he", "in", "er", "an", "re", "on", "at", "en", "nd"]
+
+
+@query(
+    f"""with {t.TOKENS}, d as (select distinct last_name from names),
+    c as (select *, [unicode(x) - 96 for x in string_split(last_name, '')] as codes, [substr(last_name, i, 2) for i in range(1, length(last_name))] as grams from d)
+    select last_name, array_to_string(codes, ' ') as codes, array_to_string(codes || [0 for i in range(24 - len(codes))], ' ') as padded,
+      array_to_string([greatest(coalesce(list_position({_GRAM_WORDS}, g), 0) - 1, 0) for g in grams], ' ') as gram_codes,
+      array_to_string([case when strpos('etaoin', x) > 0 then repeat('0', strpos('etaoin', x)::int - 1) || '1' || repeat('0', 6 - strpos('etaoin', x)::int) else '000001' end
+        for x in string_split(last_name, '')], ' ') as one_hot from c"""
+)
+def name_codes(spark, sf):
+    """Names as letter numbers, padded, as places of bigrams in a vocabulary, and letter by letter as 0 and 1."""
+    codes = fn.char_codes("last_name", ALPHABET)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    places = fn.ngram_index(fn.char_ngrams("last_name", 2), F.array(*map(F.lit, _GRAM_WORDS)))
+    hot = F.transform(fn.one_hot_name("last_name", "etaoin"), lambda row: F.array_join(F.transform(row, lambda x: x.cast("string")), ""))
+    distinct = t.names(spark, sf).select("last_name").distinct()
+    return distinct.select("last_name", joined(codes).alias("codes"), joined(fn.pad_codes(codes, 24)).alias("padded"), joined(places).alias("gram_codes"), F.array_join(hot, " ").alias("one_hot"))
+
+
+@query(
+    f"""with {t.TOKENS}, c as (select last_name, lang, state, count(*) as n from tokens group by all)
+    select last_name, sum(n)::bigint as n, bool_and(regexp_matches(last_name, '^[A-Za-z]+$')) as ascii, case when state = 'src1' then 'Src1' else upper(state[1]) || lower(state[2:]) end as shown
+    from c where regexp_matches(last_name, '[a-z]') and regexp_matches(last_name, '^\\p{{L}}+$') group by last_name, state"""
+)
+def name_filters(spark, sf):
+    """Names fit for a corpus, whether they are ASCII, and the printed names of their states."""
+    rows = t.tokens(spark, sf).filter(fn.is_corpus_name("last_name"))
+    grouped = rows.groupBy("last_name", "state").agg(F.count("*").alias("n"))
+    return grouped.select("last_name", "n", fn.is_ascii_name("last_name").alias("ascii"), fn.state_display_name("state").alias("shown"))
+
+
+@query(
+    f"""with {_DIM}, u as (select state, unnest([first, second, third]) as lang from dim)
+    select state, lang, dense_rank() over (order by lang) - 1 as code, lang as label from u"""
+)
+def unrolled_languages(spark, sf):
+    """The languages of each state as rows, with their codes and the labels of these."""
+    columns = ["most_spoken_lang", "second_most_spoken_lang", "third_most_spoken_lang"]
+    dim = enrich.column_range(_dimension(spark, sf), columns[0], columns[-1], "state").withColumns({c: F.lower(c) for c in columns})
+    listed = dim.select("state", fn.top_languages(*columns).alias("languages"))
+    labels_ = enrich.label_union(dim, columns)
+    codes = labels_.withColumn("code", F.dense_rank().over(Window.orderBy("label")) - 1)  # a row a language
+    coded = enrich.with_codes(counts.unroll_languages(listed), "lang", codes)
+    return enrich.with_labels(coded, "code", codes).select(F.lower("state").alias("low"), "state", "lang", "code", "label").drop("low")
+
+
+@query(
+    f"""with {t.TOKENS}, {_JUDGED}, s as (select last_name, list_sort(list(state)) as states, count(*) as n from names where state is not null group by 1)
+    select name, array_to_string(pred, ',') as pred, array_to_string(states, ',') as states from judged join s on name = last_name"""
+)
+def prediction_states(spark, sf):
+    """Predictions with the states that each name came from, as a list."""
+    states = counts.collect_by_name(t.names(spark, sf).select("last_name", "state"), ["state"])
+    rows = _judged(spark, sf).select(F.col("name").alias("last_name"), F.concat_ws(",", "pred").alias("pred"))
+    return counts.attach_aggregate(rows, states).select(F.col("last_name").alias("name"), "pred", F.array_join("states" if "states" in states.columns else "state", ",").alias("states"))
+
+
+@query(
+    f"""with {t.TOKENS}, c as (select state, count(*) as count from names where last_name = 'the' group by 1)
+    select 'the' as last_name, state, count, count / (select sum(count) from c) * 100 as percent from c"""
+)
+def name_profile(spark, sf):
+    """The states of one name."""
+    return counts.name_profile(counts.name_state_counts(t.names(spark, sf)), "the")
+
+
+@query(
+    f"""with {t.TOKENS}, p as (select distinct last_name, state from names),
+    r as (select *, row_number() over (partition by state order by {_H}, last_name) as r from p) select last_name, state from r where (r - 1) % 99 = 0"""
+)
+def every_nth(spark, sf):
+    return sampling.every_nth(counts.unique_pairs(t.names(spark, sf)), "last_name", "state", 99)
+
+
+@query(
+    f"""with {t.TOKENS}, p as (select distinct last_name from names), r as (select *, row_number() over (order by {_H}, last_name) as r from p),
+    d as (select i as draw, {t.hash32("'1:' || i", "0-draw")} % (select count(*) from p) + 1 as r from range(1000) x(i))
+    select draw::int as draw, last_name from d join r using (r)"""
+)
+def bootstrap(spark, sf):
+    return sampling.bootstrap(t.names(spark, sf).select("last_name").distinct(), 1000, "last_name").select("draw", "last_name")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rollscope.sources import schemas
 
@@ -35,6 +35,28 @@ def read_rolls(
     return rows.select(*columns) if columns else rows
 
 
+def read_with_malformed(spark: SparkSession, path: str, schema: StructType = schemas.ROLL, glob: str = "*.csv*", header: bool = True) -> DataFrame:
+    """The columns of the schema, `file`, and `malformed`: the text of a row that does not fit the schema, else null.
+
+    Such rows have as many of the columns as could be read. The scan takes all columns, as a row can only then be told to fit.
+    """
+    rows = (
+        spark.read.schema(StructType([*schema.fields, StructField("malformed", StringType())]))
+        .option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed")
+        .option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("columnPruning", False)
+        .csv(path)
+    )
+    # Spark refuses scans of the malformed text alone, in which every row would seem to fit; so it is tied to the others.
+    tied = F.when(F.length(F.concat_ws("", *schema.names)) >= 0, F.col("malformed"))
+    return rows.withColumns({"malformed": tied, "file": F.col("_metadata.file_path")})
+
+
+def malformed_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, n_good, n_malformed) of what `read_with_malformed` gives, by file unless otherwise said."""
+    bad = F.col("malformed").isNotNull()
+    return rows.groupBy(*(by or ("file",))).agg(F.count_if(~bad).alias("n_good"), F.count_if(bad).alias("n_malformed"))
+
+
 def path_tokens(path: Column | None = None) -> Column:
     """The parts of a file name between `-`, `_`, `:`, `+`, `.` and blanks."""
     path = F.col("_metadata.file_path") if path is None else path
@@ -79,10 +101,23 @@ def union_rolls(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def state_languages(spark: SparkSession, path: str) -> DataFrame:
-    """The state and language dimension with its row order as `seq`; its file is a parameter."""
-    rows = spark.read.schema(schemas.STATE_LANGUAGES).option("header", True).option("quote", '"').csv(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+def with_row_order(rows: DataFrame, name: str = "seq") -> DataFrame:
+    """Adds the number of a row, from 0, in the order of files by path, of blocks in a file and of rows in a block.
+
+    Rows are counted per block, and the blocks' counts, few rows, are summed up. The scan must be the last step before it.
+    """
+    block = ["_path", "_start"]
+    placed = rows.withColumns({"_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
+    inside = placed.withColumn("_at", F.row_number().over(Window.partitionBy(*block).orderBy("_id")))
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*block).agg(F.count("*").alias("_n")).select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return inside.join(offsets, block).withColumn(name, F.col("_before") + F.col("_at") - 1).drop(*block, "_id", "_at", "_before")
+
+
+def state_languages(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """The state and language dimension with its row order as `seq`; its file, or files in the order of their names, is a parameter."""
+    rows = spark.read.schema(schemas.STATE_LANGUAGES).option("header", True).option("quote", '"').option("recursiveFileLookup", recursive).csv(path)
+    return with_row_order(rows)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> list[str]:
