@@ -108,6 +108,8 @@ def accuracy_slices(df: DataFrame, hit: str, slices: dict[str, Column]) -> DataF
 #: A cell of the tree has at most this share of the points that a fit takes in.
 CELL = 0.2
 MARGIN = 0.005
+#: Windows reach this much beyond the last point that they take in, so that it has a weight.
+WIDER = 1.001
 #: A fit of a degree needs a determinant of more than this times that of equal weights.
 SINGULAR = 1e-9
 
@@ -147,7 +149,7 @@ def _fits(grid: DataFrame, vertices: DataFrame, span: float, degree: int) -> Dat
     met = vertices.join(grid, "g").withColumn("d", F.abs(F.col("x") - F.col("v")))
     got = F.sum("n").over(Window.partitionBy("g", "i").orderBy("d").rangeBetween(Window.unboundedPreceding, 0))
     reach = F.min(F.when(F.col("got") >= F.ceil(F.col("all") * span), F.col("d"))).over(Window.partitionBy("g", "i"))
-    near = met.withColumn("got", got).withColumn("h", reach).withColumn("h", F.when(F.col("h") > 0, F.col("h")).otherwise(1.0)).filter("d < h")
+    near = met.withColumn("got", got).withColumn("h", reach).withColumn("h", F.when(F.col("h") > 0, F.col("h") * WIDER).otherwise(1.0)).filter("d < h")
     u = F.col("d") / F.col("h")
     w = F.pow(1 - u * u * u, F.lit(3))
     near = near.withColumns({"w": w * F.col("n"), "wy": w * F.col("sy"), "t": (F.col("x") - F.col("v")) / F.col("h")})

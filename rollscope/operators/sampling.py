@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollscope.operators.ranking import hash32, hash_rank
@@ -76,19 +75,20 @@ def _cut(rows: DataFrame, column: str, n: int, low: float | None = None, high: f
 
 def _any(rows: DataFrame, n: int) -> DataFrame:
     """n of equal rows, counted off partition by partition."""
-    rows = kept(rows)
+    rows = kept(rows.withColumn("_part", F.spark_partition_id()))
     quota, left = {}, n
-    for part, size in sorted(rows.groupBy(F.spark_partition_id()).count().collect()):  # a row a partition
+    for part, size in sorted(rows.groupBy("_part").count().collect()):  # a row a partition
         quota[part] = min(size, left)
         left -= quota[part]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = quota.get(TaskContext.get().partitionId(), 0)
+        taken = 0
         for batch in batches:
+            mine = quota[batch.column("_part")[0].as_py()] - taken if batch.num_rows else 0
+            taken += min(mine, batch.num_rows)
             yield batch.slice(0, mine)
-            mine -= min(mine, batch.num_rows)
 
-    return rows.mapInArrow(take, rows.schema)
+    return rows.mapInArrow(take, rows.schema).drop("_part")
 
 
 def smallest(df: DataFrame, n: int, score: Column, ties: str, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -1009,7 +1009,7 @@ def _smooth_sql(points: str, span: float = 0.75, degree: int = 2) -> str:
     met as (select vi.g, i, v, x, n, sy, every, abs(x - v) as d from vi join grid on vi.g = grid.g),
     run as (select *, sum(n) over (partition by g, i order by d range between unbounded preceding and current row) as got from met),
     wide as (select *, min(case when got >= ceil(every * {span}::double) then d end) over (partition by g, i) as reach from run),
-    near as (select *, case when reach > 0 then reach else 1.0::double end as h from wide),
+    near as (select *, case when reach > 0 then reach * {evaluate.WIDER}::double else 1.0::double end as h from wide),
     wt as (select g, i, v, h, (x - v) / h as t, pow(1 - (d / h) * (d / h) * (d / h), 3) as w, n, sy from near where d < h),
     sums as (select g, i, v, h, {", ".join(f"sum(w * n * pow(t, {k})) as s{k}" for k in range(5))}, {", ".join(f"sum(w * sy * pow(t, {k})) as y{k}" for k in range(3))} from wt group by all),
     det as (select *, s2 * s4 - s3 * s3 as minor, s0 * s2 - s1 * s1 as line,

@@ -101,13 +101,8 @@ def test_proportions_add_up(spark):
     assert all(abs(r.s + r.t + r.u - 1) < 1e-12 for r in wide.collect())
 
 
-def test_edit_knn_modes_agree(spark):
-    rng = random.Random(5)
-    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 7)))
-    known = spark.createDataFrame([(word(),) for _ in range(150)] + [(None,)], "last_name string")
-    asked = spark.createDataFrame([(word(),) for _ in range(40)] + [(None,), ("zzzzzzzzzz",)], "last_name string")
-    exact = rows(similarity.edit_knn(asked, known, 3).select("query", "neighbour", "distance", "rank"))
-    assert exact == rows(similarity.edit_knn(asked, known, 3, "blocked").select("query", "neighbour", "distance", "rank"))
+def test_edit_knn_of_few_names(spark):
+    asked = spark.createDataFrame([("abc",), ("b",), (None,), ("zzzzzzzzzz",), ("b",)], "last_name string")
     few = spark.createDataFrame([("ab",), ("b",)], "last_name string")
     assert similarity.edit_knn(asked, few, 3).groupBy("query").count().filter("count <> 2").isEmpty()
 
@@ -158,7 +153,7 @@ def test_pair_accuracy_and_baseline(spark):
 
 def test_local_linear_fits_lines_exactly(spark):
     df = spark.createDataFrame([("m", float(i), 2.0 * i + 1) for i in range(20)], "model string, x double, y double")
-    assert all(abs(r.fit - (2 * r.x + 1)) < 1e-6 for r in evaluate.local_linear(df, "x", "y", "model").collect())
+    assert all(abs(r.fit - (2 * r.x + 1)) < 1e-6 for r in evaluate.local_smooth(df, "x", "y", "model", degree=1).collect())
 
 
 def test_splits_are_disjoint_and_samples_repeat(spark):
@@ -195,7 +190,7 @@ def test_closest_match_against_all_pairs(spark, sf):
     from rollscope.plans import tables
 
     known = counts.name_counts(tables.names(spark, sf)).filter("count >= 3")
-    asked = tables.asked_names(spark, sf, 512)
+    asked = tables.asked_names(tables.counted_names(spark, sf), 512)
     found = {r.query: (r.neighbour, r.ratio) for r in similarity.closest_match(asked, known).collect()}
     names = [r.last_name for r in known.collect()]
     assert len(found) > 20
