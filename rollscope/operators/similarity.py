@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from difflib import SequenceMatcher
 from typing import Any
 
 import numpy as np
@@ -263,58 +262,99 @@ def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("neighbour"), pa.array(dots)], ["query", "neighbour", "similarity"])
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched letters over the total length, in Arrow batches; no built-in function has it."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def letter_tokens(names: DataFrame, column: str) -> DataFrame:
-    """Adds `tokens`: each letter with its number among the equal letters of the name, so that none repeats."""
-    letters = F.filter(F.split(column, ""), lambda x: x != "")
-    numbered = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
-    return names.withColumn("tokens", numbered)
-
+def _codes(strings: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, a row a string, 0 beyond its end, and the lengths."""
+    sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    width = max(1, sizes.max(initial=0))
+    raw = "".join(x.ljust(width, "\0") for x in strings).encode("utf-32-le")
+    return np.frombuffer(raw, dtype=np.uint32).reshape(len(strings), width), sizes
+
+
+def _longest_blocks(a: np.ndarray, b: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """(start in a, start in b, size) of the longest common block of each span (low a, high a, low b, high b); the first in a, then in b."""
+    at = np.arange(b.shape[1])
+    open_b = (at >= spans[:, 2:3]) & (at < spans[:, 3:4])
+    run = np.zeros((len(a), b.shape[1] + 1), dtype=np.int32)  # of the block that ends at this place of b and the last of a
+    best = np.zeros((len(a), 3), dtype=np.int64)
+    for i in range(spans[:, 0].min(initial=0), spans[:, 1].max(initial=0)):
+        inside = (i >= spans[:, 0]) & (i < spans[:, 1])
+        same = (a[:, i : i + 1] == b) & open_b & inside[:, None]
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        end = run.argmax(axis=1)
+        size = run[np.arange(len(a)), end]
+        better = np.flatnonzero(size > best[:, 2])
+        best[better] = np.stack([i + 1 - size, end - size, size], axis=1)[better]
+    return best
+
+
+def matched_letters(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Letters in the matching blocks of aligned strings: the longest common block, and those left and right of it in turn."""
+    (codes_a, sizes_a), (codes_b, sizes_b) = _codes(a), _codes(b)
+    total = np.zeros(len(a), dtype=np.int64)
+    pair = np.arange(len(a))
+    spans = np.stack([np.zeros_like(sizes_a), sizes_a, np.zeros_like(sizes_b), sizes_b], axis=1)
+    step = max(1, (1 << 22) // codes_b.shape[1])
+    while len(pair):
+        found = np.concatenate([_longest_blocks(codes_a[pair[i : i + step]], codes_b[pair[i : i + step]], spans[i : i + step]) for i in range(0, len(pair), step)])
+        np.add.at(total, pair, found[:, 2])
+        hit = found[:, 2] > 0
+        left = np.stack([spans[:, 0], found[:, 0], spans[:, 2], found[:, 1]], axis=1)
+        right = np.stack([found[:, 0] + found[:, 2], spans[:, 1], found[:, 1] + found[:, 2], spans[:, 3]], axis=1)
+        pair, spans = np.concatenate([pair[hit], pair[hit]]), np.concatenate([left[hit], right[hit]])
+        some = (spans[:, 0] < spans[:, 1]) & (spans[:, 2] < spans[:, 3])
+        pair, spans = pair[some], spans[some]
+    return total
 
-PARTS = 16
 
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the letters in matching blocks over the total length, for a batch at a time; 1 for two empty strings, null for null.
 
-def in_parts(names: DataFrame) -> DataFrame:
-    """Names with their length `_n` and one of PARTS parts, so that a common length is many keys."""
-    return names.withColumns({"_n": F.length("neighbour"), "_part": F.pmod(F.hash("neighbour"), F.lit(PARTS))})
+    No letter counts as junk, however long the strings.
+    """
+    known = (a.notna() & b.notna()).to_numpy()
+    x, y = a[known].tolist(), b[known].tolist()
+    length = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], dtype=float)
+    out = np.full(len(a), np.nan)
+    out[known] = np.where(length > 0, 2.0 * matched_letters(x, y) / np.maximum(length, 1), 1.0) if len(x) else 0.0
+    return pd.Series(out).where(known, None)
 
 
-def to_every_part(queries: DataFrame) -> DataFrame:
-    return queries.withColumn("_part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+#: Edit bounds that the searches of `closest_match` are sorted into; longer reaches are doubled from the last.
+REACHES = (1, 2, 3, 4, 6, 9)
 
 
 def closest_match(queries: DataFrame, corpus: DataFrame, cutoff: float = CUTOFF, column: str = "last_name") -> DataFrame:
     """(query, neighbour, ratio): the best sequence ratio of cutoff or more, ties to the later name; else nulls.
 
-    The ratio of the nearest name by edit distance is a lower bound of the best one. What is matched is a common
-    subsequence, so a ratio of at least the bound needs lengths that are near enough, an edit distance of at most
-    (1 - bound) times both lengths together, and as many shared letters; only pairs that have all three are compared.
+    The best ratio among the nearest names by edit distance is a lower bound of the best one. What is matched is a common
+    subsequence, so a ratio of at least the bound needs an edit distance of at most (1 - bound) times both lengths together,
+    and a length of at most (2 - bound) / bound times the query's. Queries are sorted by this reach and meet names on segments
+    for it; names without a letter of the query match nothing.
     """
-    asked = letter_tokens(queries.select(F.col(column).alias("query")).filter("query is not null").distinct(), "query")
-    names = letter_tokens(corpus.select(F.col("last_name").alias("neighbour")).filter("neighbour is not null").distinct(), "neighbour")
-    nearest = edit_knn(queries, corpus, 1, column=column)
-    bounds = nearest.select("query", F.greatest(F.lit(cutoff), sequence_ratio("neighbour", "query")).alias("bound"))
-    mine = (
-        asked.withColumnRenamed("tokens", "mine").join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(cutoff)))
-        .withColumn("_low", F.ceil(F.length("query") * F.col("bound") / (2 - F.col("bound")) - 1e-9).cast("int"))
-        .withColumn("_high", F.floor(F.length("query") * (2 - F.col("bound")) / F.col("bound") + 1e-9).cast("int"))
-        .withColumn("_n", F.explode(F.sequence("_low", "_high")))
-    )
+    asked = kept(queries.select(F.col(column).alias("query")).filter("query is not null").distinct())
+    names = kept(corpus.select(F.col("last_name").alias("neighbour")).filter("neighbour is not null").distinct())
+    nearest = edit_knn(asked, names.withColumnRenamed("neighbour", "last_name"), 5, column="query")
+    rated = nearest.select("query", sequence_ratio("neighbour", "query").alias("ratio"))
+    bounds = rated.groupBy("query").agg(F.greatest(F.lit(cutoff), F.max("ratio")).alias("bound"))
+    reach = F.floor((1 - F.col("bound")) * 2 * F.length("query") / F.col("bound") + 1e-9).cast("int")
+    bounded = kept(bounds.withColumn("reach", reach))
+    most, met, low, high = bounded.agg(F.max("reach")).first()[0], None, -1, 0
+    for high in [*REACHES, *(REACHES[-1] * 2**i for i in range(1, 30))]:
+        part = bounded.filter(F.col("reach").between(low + 1, high)).select("query")
+        if not part.isEmpty():
+            found = within_edits(part, names, high, 0)
+            met = found if met is None else met.unionByName(found)
+        low = high
+        if most is None or high >= most:
+            break
+    if met is None:
+        return asked.select("query", F.lit(None).cast("string").alias("neighbour"), F.lit(None).cast("double").alias("ratio"))
     both = F.length("query") + F.length("neighbour")
-    met = (
-        spread(to_every_part(mine), "_n", "_part").join(spread(in_parts(names), "_n", "_part"), ["_n", "_part"])
-        .withColumn("_far", F.floor((1 - F.col("bound")) * both + 1e-9).cast("int"))
-        .filter("levenshtein(query, neighbour, _far) >= 0")
-        .filter(2 * F.size(F.array_intersect("mine", "tokens")) >= F.col("bound") * both - 1e-9)
-    )
-    scored = met.select("query", "neighbour", sequence_ratio("neighbour", "query").alias("ratio")).filter(F.col("ratio") >= cutoff)
+    near = met.join(bounded, "query").filter(F.col("distance") <= (1 - F.col("bound")) * both + 1e-9)
+    scored = near.select("query", "neighbour", sequence_ratio("neighbour", "query").alias("ratio")).filter(F.col("ratio") >= cutoff)
     best = scored.groupBy("query").agg(F.max(F.struct("ratio", "neighbour")).alias("b")).select("query", "b.neighbour", "b.ratio")
-    return asked.select("query").join(best, "query", "left")
+    return asked.join(best, "query", "left")
 
 
 def neighbour_labels(neighbours: DataFrame, corpus: DataFrame, labels: Sequence[str], how: str = "sum") -> DataFrame:

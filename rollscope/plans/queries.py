@@ -671,9 +671,9 @@ def knn_state(spark, sf):
 
 @query()
 def closest_match(spark, sf):
-    """For the names whose hash is divisible by 2048, as each is compared with many."""
+    """For the names whose hash is divisible by 200, as each is compared letter by letter with many."""
     counted = t.counted_names(spark, sf)
-    return similarity.closest_match(t.asked_names(counted, 2048), t.known_names(counted))
+    return similarity.closest_match(t.asked_names(counted, 200), t.known_names(counted))
 
 
 # --- splits and samples

@@ -190,7 +190,7 @@ def test_closest_match_against_all_pairs(spark, sf):
     from rollscope.plans import tables
 
     known = counts.name_counts(tables.names(spark, sf)).filter("count >= 3")
-    asked = tables.asked_names(tables.counted_names(spark, sf), 512)
+    asked = tables.asked_names(tables.counted_names(spark, sf))
     found = {r.query: (r.neighbour, r.ratio) for r in similarity.closest_match(asked, known).collect()}
     names = [r.last_name for r in known.collect()]
     assert len(found) > 20

@@ -213,3 +213,15 @@ def test_local_smooth_gives_parabolas_back(spark):
         assert r.fit == pytest.approx(2 * r.x + 1, abs=1e-6)
     for r in evaluate.local_smooth(df, "x", "y", "g").collect():  # cubics through values and slopes of a parabola are that parabola
         assert r.fit == pytest.approx(3 * r.x * r.x - 2 * r.x + 1, rel=1e-6, abs=1e-5)
+
+
+def test_sequence_ratio_against_the_standard_library(spark):
+    from difflib import SequenceMatcher
+
+    left, right = words(10, "abcde", 14, 500) + ["", "é" * 9, "same"], words(11, "abcde", 14, 500)
+    rng = random.Random(12)
+    rows = [(a, rng.choice(right)) for a in left] + [("", ""), (None, "a"), ("abcabc", "abc"), ("ab" * 60, "ba" * 60)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("a", "b", similarity.sequence_ratio("a", "b").alias("ratio")).collect():
+        want = None if r.a is None else SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.ratio == (want if want is None else pytest.approx(want, abs=1e-12))
