@@ -115,6 +115,38 @@ def frequency_summary(counts: DataFrame, value: str = "count", quantiles: Sequen
     return counts.agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), *found)
 
 
+def summary_sketches(rows: DataFrame, value: str, name: str, *by: str) -> DataFrame:
+    """(by, n, least, most, total, quantiles, names) of rows: counters, a quantile sketch of `value` and a sketch of distinct `name`s.
+
+    The opt-in form of `frequency_summary` and of distinct counts: sketches of single files are kept and merged later, so that
+    no value is read twice. Ranks are off by 1.65 % at most with a probability of 99 % (k = 200), distinct counts by 0.8 % in the
+    mean (lg k = 14). They hold some kB each, whatever the number of rows.
+    """
+    return rows.groupBy(*by).agg(
+        F.count(value).alias("n"), F.min(value).cast("double").alias("least"), F.max(value).cast("double").alias("most"),
+        F.sum(F.col(value).cast("double")).alias("total"),
+        F.kll_sketch_agg_double(F.col(value).cast("double")).alias("quantiles"), F.hll_sketch_agg(name, F.lit(14)).alias("names"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """Sketches of parts as those of the whole; merging merged ones again is the same."""
+    return sketches.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("total"),
+        F.kll_merge_agg_double("quantiles").alias("quantiles"), F.hll_union_agg("names").alias("names"),
+    )
+
+
+def read_sketches(sketches: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.997)) -> DataFrame:
+    """The columns of `frequency_summary` and `distinct`, as estimated from sketches; min, mean and max are exact."""
+    kept_ = [c for c in sketches.columns if c not in ("n", "least", "most", "total", "quantiles", "names")]
+    found = [F.kll_sketch_get_quantile_double("quantiles", F.lit(float(q))).alias(f"q{str(q)[2:]}") for q in quantiles]
+    return sketches.select(
+        *kept_, F.col("least").alias("min"), (F.col("total") / F.col("n")).alias("mean"), F.col("most").alias("max"), *found,
+        F.hll_sketch_estimate("names").alias("distinct"),
+    )
+
+
 def first_appearance_codes(df: DataFrame, value: str, order: str) -> DataFrame:
     """(value, code): values numbered from 0 by where they first appear."""
     first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("at"))

@@ -123,6 +123,23 @@ def freq_quantiles(spark, sf):
     return counts.frequency_summary(counts.name_counts(t.names(spark, sf)))
 
 
+@query(
+    f"""with {t.TOKENS}, c as (select last_name, count(*) as n from names group by 1)
+    select min(n)::double as least, avg(n) as mean, max(n)::double as most, true as near from c"""
+)
+def sketched_quantiles(spark, sf):
+    """Counts by sketches of each first letter's names, merged; `near` says that median and number of names are within their bounds."""
+    counted = counts.name_counts(t.names(spark, sf)).withColumn("letter", F.substring("last_name", 1, 1))
+    parts = counts.summary_sketches(counted, "count", "last_name", "letter")
+    found = counts.read_sketches(counts.merge_sketches(parts))
+    rank = F.avg((F.col("count") < F.col("q5")).cast("int"))
+    upto = F.avg((F.col("count") <= F.col("q5")).cast("int"))
+    checked = counted.crossJoin(F.broadcast(found)).groupBy("min", "mean", "max").agg(  # one row
+        (rank - 0.03 <= 0.5) & (upto + 0.03 >= 0.5) & (F.abs(F.first("distinct") / F.count("*") - 1) < 0.05)
+    ).toDF("least", "mean", "most", "near")
+    return checked
+
+
 @query(
     """select source as value, row_number() over (order by min(doc_id), source) - 1 as code from documents
     where source is not null group by 1"""
