@@ -1,13 +1,6 @@
 """Fixed values of the domain: label orders, weights, sentinels."""
 
-# The 31 states in corpus order, and the short column names of the same states.
-STATE_ORDER = [
-    "Andaman and Nicobar Islands", "Andhra Pradesh", "Arunachal Pradesh", "Assam", "Bihar", "Chandigarh",
-    "Dadra and Nagar Haveli", "Daman and Diu", "Delhi", "Goa", "Gujarat", "Haryana", "Jharkhand",
-    "Jammu and Kashmir and Ladakh", "Karnataka", "Kerala", "Maharashtra", "Manipur", "Meghalaya", "Mizoram",
-    "Madhya Pradesh", "Nagaland", "Odisha", "Puducherry", "Punjab", "Rajasthan", "Sikkim", "Telangana", "Tripura",
-    "Uttar Pradesh", "Uttarakhand",
-]
+# The short column names of the 31 states in corpus order.
 STATE_COLUMNS = [
     "andaman", "andhra", "arunachal", "assam", "bihar", "chandigarh", "dadra", "daman", "delhi", "goa", "guj", "har",
     "jha", "jk", "kar", "kerala", "maharashtra", "manipur", "meghalaya", "mizoram", "mp", "nagaland", "odi",

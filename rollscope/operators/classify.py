@@ -116,20 +116,28 @@ def frequency_model(df: DataFrame, key: str = "last_name", label: str = "state",
     return ranked.groupBy(key).agg(F.transform(pairs, lambda x: x["label"]).alias("pred"))
 
 
-def forest_state(train: DataFrame, test: DataFrame, label: str = "label", num_trees: int = 100, features: int = 512, seed: int = 0, column: str = "last_name") -> DataFrame:
-    """`test` with `pred`, by a random forest with entropy over hashed one- and two-letter counts."""
+def forest_state(
+    train: DataFrame, test: DataFrame, label: str = "label", num_trees: int = 100, max_df: float = 0.3, min_df: float = 3,
+    depth: int = 14, seed: int = 0, column: str = "last_name",
+) -> DataFrame:
+    """`test` with `pred`, by a random forest with entropy over counts of one- and two-letter strings.
+
+    The vocabulary is fitted on the training names: strings in at most a share `max_df` of them and in `min_df` names or more.
+    Trees end at `depth` instead of being grown to pure leaves, which Spark's level-wise growth holds in memory.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
+    from pyspark.ml.feature import CountVectorizer, IndexToString, StringIndexer
 
     def grams(df: DataFrame) -> DataFrame:
         return df.withColumn("_grams", F.concat(char_ngrams(column, 1), char_ngrams(column, 2)))
 
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
     stages = [
-        HashingTF(inputCol="_grams", outputCol="_x", numFeatures=features),
-        RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=num_trees, impurity="entropy", seed=seed, predictionCol="_p", rawPredictionCol="_raw", probabilityCol="_prob"),
+        CountVectorizer(inputCol="_grams", outputCol="_x", minDF=min_df, maxDF=max_df),
+        RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=num_trees, impurity="entropy", maxDepth=depth, seed=seed, predictionCol="_p", rawPredictionCol="_raw", probabilityCol="_prob"),
         IndexToString(inputCol="_p", outputCol="pred", labels=index.labels),
     ]
-    model = Pipeline(stages=stages).fit(index.transform(grams(train.na.drop(subset=[column, label]))))
+    rows = kept(grams(train.na.drop(subset=[column, label])).select(column, label, "_grams"))
+    model = Pipeline(stages=stages).fit(index.transform(rows))
     return model.transform(grams(test)).drop("_grams", "_x", "_raw", "_prob", "_p", "_y")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from rollscope.constants import LANG_WEIGHTS
+from rollscope.constants import LANG_ORDER, LANG_WEIGHTS, STATE_COLUMNS
 from rollscope.functions.names import clean_language
 from rollscope.operators.counts import name_state_counts
 
@@ -24,7 +24,7 @@ def pivot_states(counts: DataFrame, labels: Sequence[str], value: str = "count",
     return counts.groupBy(key).agg(*sums).na.fill(0, list(labels))
 
 
-def build_state_corpus(df: DataFrame, labels: Sequence[str], key: str = "last_name", state: str = "state") -> DataFrame:
+def build_state_corpus(df: DataFrame, labels: Sequence[str] = STATE_COLUMNS, key: str = "last_name", state: str = "state") -> DataFrame:
     """Wide form: key, one proportion a label, total_n. One aggregation: no join, no window."""
     known = F.col(state).isin(list(labels))
     counts = [F.count_if(F.col(state) == c).alias(c) for c in labels]
@@ -71,7 +71,7 @@ def allocate_languages(counts: DataFrame, langs: DataFrame, state: str = "state"
     )
 
 
-def build_language_corpus(allocated: DataFrame, labels: Sequence[str]) -> DataFrame:
+def build_language_corpus(allocated: DataFrame, labels: Sequence[str] = LANG_ORDER) -> DataFrame:
     """Wide form: lower-cased name, one summed weight a language."""
     low = allocated.withColumn("last_name", F.lower("last_name"))
     return pivot_states(low, labels, value="weight", state="lang")

@@ -87,7 +87,6 @@ roll as (
     join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
 )"""
 
-PART_WORDS = "words as (select unnest(string_split(p_name, ' ')) as last_name from part)"
 CORPUS = "corpus as (select last_name from names group by 1 having count(*) >= 3)"
 
 
