@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,15 +42,26 @@ WEIGHTS = {
 PLACEHOLDER = re.compile(
     r"(?:^|[^a-z0-9])(?:changeme|example|placeholder|your[a-z]*|dummy|sample|redacted|none|null)[0-9]*(?![a-z0-9])|xxxx|\*{4}", re.IGNORECASE | re.ASCII
 )
-TOKEN = re.compile(
-    r"""(?P<comment>^[^\S\n]*(?:\#|//)[^\n]*)|(?P<blank>[^\S\n]+)|(?P<slash>//+)
-    |(?P<text>"(?:[^"\\\n]|\\.)*"|(?:(?<![A-Za-z])|(?<=\b[bBfFrRuU]))'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)
-    |(?P<prefix>\b[bBfFrRuU](?=["']))
-    |(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)
-    |(?P<assign>:=|=>|->|=(?!=)|:(?!//))|(?P<join>[+.](?=\s))|(?P<bare>[A-Za-z0-9+/_=~-][A-Za-z0-9+/_.=~-]*)
-    |(?P<line>\n)|(?P<other>.)""",
-    re.VERBOSE | re.ASCII | re.DOTALL | re.MULTILINE,
-)
+#: What a literal begins with, without its quotation mark.
+QUOTES = {'"': "", "'": r"(?:(?<![A-Za-z])|(?<=\b[bBfFrRuU]))", "`": ""}
+
+
+def _lexer(banned: frozenset[str]) -> re.Pattern[str]:
+    """Tokens of source and configuration text; banned quotation marks begin no literal."""
+    closed = [f"{before}{q}(?:[^{q}\\\\\n]|\\\\.)*{q}" for q, before in QUOTES.items() if q not in banned]
+    unclosed = [x[:-1] for x in closed]
+    return re.compile(
+        rf"""(?P<comment>^[^\S\n]*(?:\#|//)[^\n]*)|(?P<blank>[^\S\n]+)|(?P<slash>//+)
+        |(?P<text>{"|".join(closed) or "(?!)"})|(?P<unclosed>{"|".join(unclosed) or "(?!)"})
+        |(?P<prefix>\b[bBfFrRuU](?=["']))
+        |(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)
+        |(?P<assign>:=|=>|->|=(?!=)|:(?!//))|(?P<join>[+.](?=\s))|(?P<bare>[A-Za-z0-9+/_=~-][A-Za-z0-9+/_.=~-]*)
+        |(?P<line>\n)|(?P<other>.)""",
+        re.VERBOSE | re.ASCII | re.DOTALL | re.MULTILINE,
+    )
+
+
+LEXERS = {frozenset(x): _lexer(frozenset(x)) for n in range(4) for x in combinations(QUOTES, n)}
 SENSITIVE = re.compile("|".join(sorted(WEIGHTS)), re.IGNORECASE | re.ASCII)
 
 
@@ -123,8 +135,29 @@ class Value:
                 todo += one.parts
 
 
+def tokens(text: str) -> Iterator[re.Match[str]]:
+    """Tokens in order. A mark whose literal is not closed is one of its own, and up to where it looked no mark like it is tried
+    again, as none could be closed there; so every letter is read a bounded number of times."""
+    at, until = 0, {}
+    while at < len(text):
+        banned = frozenset(q for q, end in until.items() if end > at)
+        limit = min((until[q] for q in banned), default=len(text))
+        for m in LEXERS[banned].finditer(text, at):
+            if m.lastgroup == "unclosed":
+                until[m[0][0]] = m.end()
+                break
+            yield m
+            at = m.end()
+            if at >= limit:
+                break
+
+
 def assigned_values(text: str) -> Iterator[tuple[str, Value]]:
-    """(name, value) for every assignment, with names assigned before put in."""
+    """(name, value) for every assignment, with names assigned before put in.
+
+    Of groups, lists and calls each member is a value of the name; what is called is none. Of names assigned in a chain the
+    most sensitive one stands.
+    """
     known: dict[str, Value] = {}
     name: str | None = None
     argument = False  # the name is the first argument of a call
@@ -133,8 +166,9 @@ def assigned_values(text: str) -> Iterator[tuple[str, Value]]:
     value: list[Value] = []
     plain = True  # the value has names only
     joining, mark, before = True, "", ""
+    depth, latest = 0, ""  # brackets that are open in the value, and the last name in it
 
-    for m in TOKEN.finditer(text):
+    for m in tokens(text):
         kind, word = m.lastgroup, m[0]
         if kind in ("blank", "comment", "prefix"):
             continue
@@ -143,30 +177,45 @@ def assigned_values(text: str) -> Iterator[tuple[str, Value]]:
             start, end = start + 1, end - 1
         if annotated:
             if word == "=":
-                target, value, plain, joining, mark, annotated = annotated, [], True, True, word, None
+                target, value, plain, joining, mark, depth, annotated = annotated, [], True, True, word, 0, None
             elif kind == "line":
                 annotated = None
         elif target is None:
             if kind == "assign" and name or word == "," and name and argument:
-                target, value, plain, joining, mark = name, [], True, True, word
+                target, value, plain, joining, mark, depth = name, [], True, True, word, 0
             elif kind in ("name", "text"):
                 name, argument = text[start:end], before == "("
             elif kind != "other" or word not in "\"'])":
                 name = None
         elif kind == "join" and value:
             joining = True
+        elif kind == "name" and joining and text[end : end + 1] == "(":
+            pass
+        elif kind == "other" and word in "([" and joining:
+            depth += 1
+        elif depth and kind == "line":
+            continue
+        elif depth and word == ",":
+            if value:
+                yield target, Value.of(value)
+            value, plain, joining = [], True, True
+        elif depth and kind == "other" and word in ")]":
+            depth, joining = depth - 1, False
+        elif kind == "assign" and word == mark == "=" and value and plain:
+            # Between brackets it is a named argument, which stands for itself.
+            target, value, joining = latest if depth else max(target, latest, key=name_weight), [], True
         elif kind == "assign" and (not value or word == "=" and mark == ":" and plain):
             value, plain, joining = [], True, True
         elif kind in ("text", "bare", "name") and joining or kind == "text" and value:
             value.append(known.get(word) or Value.literal(text, start, end) if kind == "name" else Value.literal(text, start, end))
-            plain, joining = plain and kind == "name" and word not in known, False
+            plain, joining, latest = plain and kind == "name" and word not in known, False, word
         elif word in ("[", "|") and mark == ":" and value and plain:
             annotated, target = target, None
         else:
             if value:
                 known[target] = Value.of(value)
                 yield target, known[target]
-            target, name = None, text[start:end] if kind in ("name", "text") else None
+            target, depth, name = None, 0, text[start:end] if kind in ("name", "text") else None
             argument = before == "("
         before = word
     if target and value:

@@ -289,6 +289,51 @@ def test_licence_queries(spark, sf):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+SECRETS = {
+    'db_pwd = ("S3cretXyz9!")': ["S3cretXyz9!"],
+    '{"db_pwd": ["S3cretXyz9!", "Qw8rTy2zUi"]}': ["S3cretXyz9!", "Qw8rTy2zUi"],
+    'db_pwd = [\n "S3cretXyz9!",\n "Abcd1234Efgh",\n]\nother = "notOne12"': ["S3cretXyz9!", "Abcd1234Efgh"],
+    'x = db_pwd = "S3cretXyz9!"': ["S3cretXyz9!"],
+    'db_pwd = x = "S3cretXyz9!"': ["S3cretXyz9!"],
+    'db_pwd=os.getenv("X","S3cretXyz9!")': ["S3cretXyz9!"],
+    'set("db_pwd", "S3cretXyz9!")': ["S3cretXyz9!"],
+    'db_pwd: str = "S3cretXyz9!"': ["S3cretXyz9!"],
+    'db_pwd = "\\"S3cretXyz9!"': ['\\"S3cretXyz9!'],
+    'db_pwd = os.getenv("HOME")': [],
+    'label = ("S3cretXyz9!")': [],
+    'db_pwd = (\nlabel = "S3cretXyz9!"': [],
+}
+
+
+@pytest.mark.parametrize("text", SECRETS)
+def test_values_in_groups_lists_calls_and_chains(text):
+    sensitive = [v for n, v in secrets.assigned_values(text) if secrets.name_weight(n) * v.weight() >= secrets.SCORE]
+    assert sorted(text[a:b] for v in sensitive for a, b in v.tell()) == sorted(SECRETS[text])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab='\"`\\\\\n(,", max_size=40))
+def test_tokens_are_those_of_plain_lexing(text):
+    """Marks that are not tried again would not have begun a literal: every token is what a lexer that tries them all finds."""
+    want, at = [], 0
+    lexer = secrets.LEXERS[frozenset()]
+    while at < len(text):
+        m = lexer.match(text, at)
+        end = at + 1 if m.lastgroup == "unclosed" else m.end()
+        want.append((at, end))
+        at = end
+    assert [m.span() for m in secrets.tokens(text)] == want
+
+
+def test_lexing_is_linear_in_quotes():
+    import time
+
+    start = time.perf_counter()
+    for text in ('db_pwd = "' + '\\"' * 200_000, ("'" + '\\"' * 50 + "`") * 4000, "\"'`" * 100_000):
+        list(secrets.assigned_values(text))
+    assert time.perf_counter() - start < 20
+
+
 # --- toxicity
 
 
