@@ -1050,16 +1050,16 @@ def _english_by_frequency(spark, sf):
     return rows.withColumn("letter", F.substring("last_name", 1, 1)).filter("freq <= 2000")
 
 
-@query(f"with {t.TOKENS}, {_EN_BY_FREQ}, {_smooth_sql('points')} select g as letter, x as freq, round(fit, 5) as fit from fit")
+@query(f"with {t.TOKENS}, {_EN_BY_FREQ}, {_smooth_sql('points')} select g as letter, x as freq, round(fit, 5) + 0.0::double as fit from fit")
 def local_smooth(spark, sf):
     """Share of English over the frequency of names, by first letter, by parabolas."""
-    return evaluate.local_smooth(_english_by_frequency(spark, sf), "freq", "en", "letter").withColumn("fit", F.round("fit", 5))
+    return evaluate.local_smooth(_english_by_frequency(spark, sf), "freq", "en", "letter").withColumn("fit", F.round("fit", 5) + F.lit(0.0))  # no -0.0
 
 
-@query(f"with {t.TOKENS}, {_EN_BY_FREQ}, {_smooth_sql('points', degree=1)} select g as letter, x as freq, round(fit, 5) as fit from fit")
+@query(f"with {t.TOKENS}, {_EN_BY_FREQ}, {_smooth_sql('points', degree=1)} select g as letter, x as freq, round(fit, 5) + 0.0::double as fit from fit")
 def local_linear(spark, sf):
     """The same by lines."""
-    return evaluate.local_smooth(_english_by_frequency(spark, sf), "freq", "en", "letter", degree=1).withColumn("fit", F.round("fit", 5))
+    return evaluate.local_smooth(_english_by_frequency(spark, sf), "freq", "en", "letter", degree=1).withColumn("fit", F.round("fit", 5) + F.lit(0.0))  # no -0.0
 
 
 @query(
