@@ -16,8 +16,10 @@ is trained on them by dual coordinate descent, and its margin is mapped to a pro
 
 Training texts are whole texts and, of toxic ones, also each sentence that a telling string (SURE or more) shows to
 be meant. Strings that a first fit finds toxic on their own are then given in other spellings as well, with a letter inserted,
-doubled or left out, VARIED times as costly as others if missed. Training uses at most TRAIN_TEXTS texts of each label, those with the smallest hashes, of TRAIN_CHARS characters
-or fewer. Scoring reads every whole text.
+doubled or left out, unless more than ALIKE of the clean training texts have words that are like them without being them:
+such words are none of their spellings. Clean texts are CLEAN_COST times as costly as toxic ones if missed. Training
+uses at most TRAIN_TEXTS texts of each label, those with the smallest hashes, of TRAIN_CHARS characters or fewer. Scoring
+reads every whole text.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ START = "^^"
 HELD_OUT = 5
 POWER = 5
 FLOOR = 0.6
-VARIED = 4.0
+ALIKE = 0.02
+CLEAN_COST = 2.0
 SURE = 0.5
 
 SENTENCE = re.compile(r"[.!?]\s|\n")
@@ -301,11 +304,14 @@ def spellings(word: str) -> list[str]:
     return inserted + [word[:i] + word[i] + word[i:] for i in range(len(word))] + [word[:i] + word[i + 1 :] for i in inner]
 
 
-def support_vectors(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, cost: float = 20.0, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with hinge loss, by dual coordinate descent in a fixed order; `times` weighs the rows."""
+def shares(y: np.ndarray) -> np.ndarray:
+    """The costs of rows, such that clean ones cost CLEAN_COST times as much as toxic ones altogether."""
+    return np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), CLEAN_COST * len(y) / max(1, 2 * (y < 0).sum()))
+
+
+def support_vectors(x: np.ndarray, y: np.ndarray, share: np.ndarray, cost: float = 20.0, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine with hinge loss, by dual coordinate descent in a fixed order; `share` weighs the rows."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    share = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum()))
-    share = share if times is None else share * times
     alpha, w, norm = np.zeros(len(y)), np.zeros(x.shape[1]), (x * x).sum(axis=1)
     rng = np.random.default_rng(0)
     for _ in range(rounds):
@@ -350,12 +356,15 @@ class Model:
         nothing = np.zeros((1 + len(y) // 20, raw.shape[1]))  # a text without any of the strings is not toxic
         both = np.concatenate([raw, sentences, nothing]) @ self.landmarks.whiten
         sides = np.concatenate([y, np.ones(len(sentences)), -np.ones(len(nothing))])
-        w, b = support_vectors(both, sides)
+        w, b = support_vectors(both, sides, shares(sides))
         alone = self.landmarks.features([{x.removeprefix(START)} for x in strings]) @ self.landmarks.whiten @ w + b > 0
-        other = self.landmarks.features([{x} for s, bad in zip(strings, alone, strict=True) if bad for x in spellings(s.removeprefix(START))])
+        alike = raw[y < 0][:, : len(strings)]
+        apart = ((alike > 0) & (alike < 1)).mean(axis=0) <= ALIKE
+        varied = [s.removeprefix(START) for s, own in zip(strings, alone & apart, strict=True) if own]
+        other = self.landmarks.features([{x} for s in varied for x in spellings(s)])
         other = other[other.max(axis=1, initial=0.0) > 0] @ self.landmarks.whiten
-        times = np.concatenate([np.ones(len(sides)), np.full(len(other), VARIED)])
-        w, b = support_vectors(np.concatenate([both, other]), np.concatenate([sides, np.ones(len(other))]), times)
+        costs = np.concatenate([shares(sides), np.ones(len(other))])
+        w, b = support_vectors(np.concatenate([both, other]), np.concatenate([sides, np.ones(len(other))]), costs)
         self.weights, self.bias = self.landmarks.whiten @ w, b
         self.slope, self.offset = platt(raw @ self.weights + b, y)
 
