@@ -1,7 +1,8 @@
 """Secret scan: base patterns, and assignment-aware lexing of source and configuration syntax.
 
 The lexer turns a text into names, literals and marks. `name = literal`, `name: literal`, `name: type = literal`,
-`"name" => literal` and calls such as `set(name, literal)` give name-literal pairs; a name assigned before stands for its
+`"name" => literal`, `name, name = literal, literal`, `<name>literal</name>` and calls such as `set(name, literal)` give
+name-literal pairs, each branch of a conditional one; a name assigned before stands for its
 value where it is assigned on, and adjacent or added literals are one value. A literal is reported if the name it
 ends up under is sensitive and the value looks like a credential: the score is the weight of the most sensitive
 word of the name times the plausibility of the value, and SCORE or more counts. Lines that begin with a comment mark
@@ -62,6 +63,7 @@ def _lexer(banned: frozenset[str]) -> re.Pattern[str]:
 
 
 LEXERS = {frozenset(x): _lexer(frozenset(x)) for n in range(4) for x in combinations(QUOTES, n)}
+TAGGED = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>([^<>\s]+)</\1\s*>", re.ASCII)
 SENSITIVE = re.compile("|".join(sorted(WEIGHTS)), re.IGNORECASE | re.ASCII)
 
 
@@ -152,12 +154,25 @@ def tokens(text: str) -> Iterator[re.Match[str]]:
                 break
 
 
+def _paired(target: str, targets: list[str], told: list[Value], value: list[Value]) -> list[tuple[str, Value]]:
+    """The names of an assignment with their values; `value` is what the last one is made of."""
+    values = [*told, Value.of(value)] if value else told
+    if len(targets) == len(values):
+        return list(zip(targets, values, strict=True))
+    one = max(targets, key=name_weight) if targets else target
+    return [(one, x) for x in values]
+
+
 def assigned_values(text: str) -> Iterator[tuple[str, Value]]:
     """(name, value) for every assignment, with names assigned before put in.
 
     Of groups, lists and calls each member is a value of the name; what is called is none. Of names assigned in a chain the
-    most sensitive one stands.
+    most sensitive one stands, as of several names with another number of values. Both branches of `a if b else c`, `b ? a : c`,
+    `a or c`, `a || c` and `a ?? c` are values; what is asked for is none. Tags are matched by their names, without nesting.
     """
+    if "</" in text:
+        for m in TAGGED.finditer(text):
+            yield m[1], Value.literal(text, *m.span(2))
     known: dict[str, Value] = {}
     name: str | None = None
     argument = False  # the name is the first argument of a call
@@ -165,8 +180,12 @@ def assigned_values(text: str) -> Iterator[tuple[str, Value]]:
     annotated: str | None = None  # a name whose type is being read
     value: list[Value] = []
     plain = True  # the value has names only
-    joining, mark, before = True, "", ""
+    joining, mark, before, last = True, "", "", ""
     depth, latest = 0, ""  # brackets that are open in the value, and the last name in it
+    ahead: list[str] = []  # names with commas after them
+    targets: list[str] = []  # those of a parallel assignment
+    told: list[Value] = []  # their values so far
+    asking, branches = False, False  # in the condition of an `if`, and in the branches after a question mark
 
     for m in tokens(text):
         kind, word = m.lastgroup, m[0]
@@ -183,10 +202,32 @@ def assigned_values(text: str) -> Iterator[tuple[str, Value]]:
         elif target is None:
             if kind == "assign" and name or word == "," and name and argument:
                 target, value, plain, joining, mark, depth = name, [], True, True, word, 0
+                targets, told, ahead, asking, branches = [*ahead, name] if ahead and word == "=" else [], [], [], False, False
+            elif word == "," and name and last == "name":
+                ahead.append(name)
+                name = None
             elif kind in ("name", "text"):
+                ahead = ahead if before == "," and kind == "name" else []
                 name, argument = text[start:end], before == "("
             elif kind != "other" or word not in "\"'])":
-                name = None
+                name, ahead = None, []
+        elif asking and kind != "line":
+            asking = word != "else"
+        elif kind == "name" and word == "if" and value and not joining:
+            if not depth and not targets:
+                known[target] = Value.of(value)
+            yield target, Value.of(value)
+            value, plain, joining, asking = [], True, True, True
+        elif value and (kind == "name" and word == "or" and not joining or word in ("|", "?") and mark != ":" or branches and word == ":"):
+            if word != "?" or text[end : end + 1] == "?":  # what stands before a single question mark is the condition
+                yield target, Value.of(value)
+            branches = word == "?" and text[end : end + 1] != "?"
+            value, plain, joining = [], True, True
+        elif word in ("|", "?") and not value and joining and before == word:
+            pass
+        elif word == "," and value and not depth and len(told) + 1 < len(targets):
+            told.append(Value.of(value))
+            value, plain, joining = [], True, True
         elif kind == "join" and value:
             joining = True
         elif kind == "name" and joining and text[end : end + 1] == "(":
@@ -201,7 +242,7 @@ def assigned_values(text: str) -> Iterator[tuple[str, Value]]:
             value, plain, joining = [], True, True
         elif depth and kind == "other" and word in ")]":
             depth, joining = depth - 1, False
-        elif kind == "assign" and word == mark == "=" and value and plain:
+        elif kind == "assign" and word == mark == "=" and value and plain and not targets:
             # Between brackets it is a named argument, which stands for itself.
             target, value, joining = latest if depth else max(target, latest, key=name_weight), [], True
         elif kind == "assign" and (not value or word == "=" and mark == ":" and plain):
@@ -212,19 +253,19 @@ def assigned_values(text: str) -> Iterator[tuple[str, Value]]:
         elif word in ("[", "|") and mark == ":" and value and plain:
             annotated, target = target, None
         else:
-            if value:
-                known[target] = Value.of(value)
-                yield target, known[target]
+            for target, one in _paired(target, targets, told, value):
+                known[target] = one
+                yield target, one
             target, depth, name = None, 0, text[start:end] if kind in ("name", "text") else None
             argument = before == "("
-        before = word
-    if target and value:
-        yield target, Value.of(value)
+        before, last = word, kind
+    if target:
+        yield from _paired(target, targets, told, value)
 
 
 def lexed_spans(text: str) -> list[Span]:
     """Literals under sensitive names. A text without a mark or a call, or without a sensitive word, has none."""
-    if not ("=" in text or ":" in text or "->" in text or "(" in text) or not SENSITIVE.search(text):
+    if not ("=" in text or ":" in text or "->" in text or "(" in text or "</" in text) or not SENSITIVE.search(text):
         return []
     found = set()
     for name, value in assigned_values(text):

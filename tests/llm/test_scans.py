@@ -298,6 +298,20 @@ SECRETS = {
     'db_pwd=os.getenv("X","S3cretXyz9!")': ["S3cretXyz9!"],
     'set("db_pwd", "S3cretXyz9!")': ["S3cretXyz9!"],
     'db_pwd: str = "S3cretXyz9!"': ["S3cretXyz9!"],
+    'db_pwd, user = "S3cretXyz9!", "Notasecret12"': ["S3cretXyz9!"],
+    'user, db_pwd = "Notasecret12", "S3cretXyz9!"': ["S3cretXyz9!"],
+    'user, db_pwd = "S3cretXyz9!"\nx = "Notasecret12"': ["S3cretXyz9!"],
+    'a, b = "S3cretXyz9!", "Notasecret12"\ndb_pwd = a': ["S3cretXyz9!"],
+    'one, two, three\ndb_pwd = "S3cretXyz9!"': ["S3cretXyz9!"],
+    'db_pwd = a if b == "Notasecret12" else "S3cretXyz9!"': ["S3cretXyz9!"],
+    'db_pwd = "S3cretXyz9!" if b else "Abcd1234Efgh"': ["S3cretXyz9!", "Abcd1234Efgh"],
+    'db_pwd = "S3cretXyz9!" if b\nuser = "Notasecret12"': ["S3cretXyz9!"],
+    'db_pwd = production12 ? "S3cretXyz9!" : "Abcd1234Efgh"; x = "Notasecret12"': ["S3cretXyz9!", "Abcd1234Efgh"],
+    'db_pwd = os.getenv("HOME") or "S3cretXyz9!"': ["S3cretXyz9!"],
+    'db_pwd = env || "S3cretXyz9!"': ["S3cretXyz9!"],
+    'db_pwd = env ?? "S3cretXyz9!"': ["S3cretXyz9!"],
+    "<db_pwd>S3cretXyz9!</db_pwd> <user>Notasecret12</user>": ["S3cretXyz9!"],
+    '<db_pwd type="x">S3cretXyz9!</db_pwd><db_pwd>S3cretXyz9!</user>': ["S3cretXyz9!"],
     'db_pwd = "\\"S3cretXyz9!"': ['\\"S3cretXyz9!'],
     'db_pwd = os.getenv("HOME")': [],
     'label = ("S3cretXyz9!")': [],
@@ -329,7 +343,7 @@ def test_lexing_is_linear_in_quotes():
     import time
 
     start = time.perf_counter()
-    for text in ('db_pwd = "' + '\\"' * 200_000, ("'" + '\\"' * 50 + "`") * 4000, "\"'`" * 100_000):
+    for text in ("<db_pwd " * 50_000, "<" + "a" * 400_000, "a, " * 150_000 + 'db_pwd = "x"', 'db_pwd = a ' + '|| "b" ? c : ' * 40_000, 'db_pwd = "' + '\\"' * 200_000, ("'" + '\\"' * 50 + "`") * 4000, "\"'`" * 100_000):
         list(secrets.assigned_values(text))
     assert time.perf_counter() - start < 20
 
