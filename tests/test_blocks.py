@@ -3,7 +3,7 @@
 import pytest
 
 from rollscope.operators import blocks, similarity
-from tests.test_searches import edits, frame, words
+from tests.test_searches import brute_cosine, edits, frame, words
 
 
 
@@ -25,7 +25,7 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("search", [similarity.edit_knn])
+@pytest.mark.parametrize("search", [similarity.edit_knn, similarity.cosine_knn])
 def test_shuffles_carry_names_and_answers_only(spark, search):
     """Names of few syllables share grams and segments with most queries; pairs that met on these were shuffled before."""
     known = words(23, ["an", "be", "co", "di", "en", "fu"], 5, 2500, 3)
@@ -33,3 +33,12 @@ def test_shuffles_carry_names_and_answers_only(spark, search):
     before = shuffled(spark)
     assert len(search(frame(spark, asked), frame(spark, known)).collect()) == len(asked) * 3
     assert 0 < shuffled(spark) - before < 0.05 * len(asked) * len(known)
+
+
+def test_cosine_knn_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "NAMES", 60)
+    known, asked = words(26, "abcdefgh", 9, 200, 3), words(27, "abcdefgh", 9, 40, 3)
+    got = {(r.query, r["rank"]): r.similarity for r in similarity.cosine_knn(frame(spark, asked), frame(spark, known), 4).collect()}
+    want = brute_cosine(asked, known, 4)
+    assert got.keys() == want.keys()
+    assert all(got[x] == pytest.approx(want[x][1], abs=2e-9) for x in want)
