@@ -8,9 +8,9 @@ The projected space is cut into cells by a kd-tree whose splits are medians of a
 those with the smallest hashes); every vector is put into its cell, and a cell of more than SHARD vectors into several
 shards by hash, so a crowd of equal vectors is spread. A query first meets the shards of its own cell, then
 those of all cells that its K-th best so far does not rule out by the stopping test. In a shard a kd-tree over
-the projections gives the vectors in the order of their projected distance, leaf by leaf; they are verified by their
-inner products in that order, and a query stops once a vector as near as its K-th best would be projected
-nearer than the next one with probability CONFIDENCE.
+the projections gives the vectors in runs of leaves. The nearest by projected distance are verified by their inner
+products, then those of each run that a query does not rule out: a vector as near as its K-th best would be projected
+nearer than they are with probability CONFIDENCE.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ K = 20
 PROJECTIONS = 24
 CONFIDENCE = 0.95
 LEAF = 64
-FIRST = 4
+#: Leaves of one run, and queries that are searched together.
+RUN, TOGETHER = 8, 128
 SHARD = 16384
 QUERIES = 4096
 SAMPLE = 16384
@@ -88,67 +89,91 @@ def box_distances(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
     return near
 
 
+def stopping_ratio() -> float:
+    """The squared projected distance over the squared distance at which the stopping test ends a search."""
+    low, high = 0.0, 1e3
+    for _ in range(100):
+        at = (low + high) / 2
+        low, high = (at, high) if float(chi_square(at)) < CONFIDENCE else (low, at)
+    return high
+
+
 class ProjectedTree:
-    """A kd-tree over the projections of a shard. `verified` counts the inner products that were taken."""
+    """A kd-tree over the projections of a shard. `verified` counts the inner products that were taken.
+
+    Queries are searched together. Each verifies its 4 k nearest by projected distance, which gives a radius by the stopping
+    test; then the leaves come up one run after the other, and a run's inner products are taken for the queries whose radius
+    reaches into it. Radii shrink as better vectors are found, so whatever is projected nearer than the last radius is verified.
+    """
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, reach: float):
-        order = np.argsort(ids, kind="stable")
-        self.vectors, self.ids, self.reach, self.verified = vectors[order], ids[order], reach, 0
-        self.points = projected(self.vectors, reach)
-        self.leaves, _, _ = median_boxes(self.points, LEAF)
-        self.low = np.array([self.points[x].min(axis=0) for x in self.leaves])
-        self.high = np.array([self.points[x].max(axis=0) for x in self.leaves])
-
-    def _one(self, query: np.ndarray, own: int, at: np.ndarray, scale: float, bounds: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, inner products) of the k best of a query whose K-th best elsewhere is `least`."""
-        order = np.argsort(bounds, kind="stable")
-        rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        waiting, distance = np.zeros(0, dtype=np.int64), np.zeros(0)
-        opened, width, lot = 0, FIRST, 4 * k
-
-        def over(next_one: float) -> bool:
-            """The stopping test; both lifted vectors have length `reach`."""
-            kth = max(least, scores[k - 1] if len(scores) >= k else -np.inf)
-            far = max(2 * self.reach**2 - 2 * kth * scale, 0.0)
-            return next_one > 0 and (far == 0 or (math.isfinite(far) and float(chi_square(next_one / far)) >= CONFIDENCE))
-
-        while opened < len(order):
-            if over(bounds[order[opened]]) and not len(waiting):
-                break
-            new = np.concatenate([self.leaves[i] for i in order[opened : opened + width]])
-            opened, width = opened + width, 2 * width
-            waiting = np.concatenate([waiting, new])
-            distance = np.concatenate([distance, ((self.points[new] - at) ** 2).sum(axis=1)])
-            by_distance = np.argsort(distance, kind="stable")
-            waiting, distance = waiting[by_distance], distance[by_distance]
-            # Up to the next leaf the order of the projected neighbours is known.
-            horizon = bounds[order[opened]] if opened < len(order) else np.inf
-            known = int(np.searchsorted(distance, horizon, "right"))
-            low = 0
-            while low < known and not over(distance[low]):
-                some = waiting[low : min(low + lot, known)]
-                low, lot = low + len(some), 2 * lot
-                self.verified += len(some)
-                # Summed one way for every pair, so that equal vectors have equal scores.
-                found = np.einsum("kj,j->k", self.vectors[some], query)
-                keep = (self.ids[some] != own) & (found >= least)
-                rows, scores = np.concatenate([rows, some[keep]]), np.concatenate([scores, found[keep]])
-                best = np.lexsort((rows, -scores))[:k]
-                rows, scores = rows[best], scores[best]
-            if low < known:
-                break
-            waiting, distance = waiting[known:], distance[known:]
-        return rows, scores
+        by_id = np.argsort(ids, kind="stable")
+        points = projected(vectors[by_id], reach)
+        self.leaves, _, _ = median_boxes(points, LEAF)
+        order = np.concatenate(self.leaves) if len(ids) else by_id
+        self.vectors, self.ids, self.points = vectors[by_id][order], ids[by_id][order], points[order]
+        self.reach, self.verified, self.ratio = reach, 0, stopping_ratio()
+        self.ends = np.cumsum([len(x) for x in self.leaves])
+
+    def _runs(self) -> list[tuple[int, int]]:
+        """First vectors and ends of runs of RUN leaves."""
+        ends = [int(x) for x in self.ends[RUN - 1 :: RUN]]
+        ends = ends if ends and ends[-1] == len(self.ids) else [*ends, len(self.ids)]
+        return list(zip([0, *ends[:-1]], ends, strict=True))
+
+    def _radii(self, kth: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Squared projected distances up to which vectors have to be verified; both lifted vectors have length `reach`."""
+        far = np.maximum(2 * self.reach**2 - 2 * kth * scale, 0.0)
+        return np.where(np.isfinite(kth), self.ratio * far, np.inf)
+
+    def _best(self, queries: np.ndarray, rows: np.ndarray, least: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, inner products) of the k best of the given rows of each query, -1 and -inf for none."""
+        # Summed one way for every pair, so that equal vectors have equal scores.
+        scores = np.einsum("qkj,qj->qk", self.vectors[rows], queries)
+        out = (rows < 0) | (self.ids[rows] == own[:, None]) | (scores < least[:, None])
+        scores, rows = np.where(out, -np.inf, scores), np.where(out, -1, rows)
+        best = np.lexsort((np.where(rows < 0, np.iinfo(np.int64).max, self.ids[rows]), -scores), axis=1)[:, :k]
+        return np.take_along_axis(rows, best, 1), np.take_along_axis(scores, best, 1)
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, k: int = K) -> pd.DataFrame:
         """query_id, vec_id, score of the k best of each query that are not under its `least`."""
+        parts = [self._some(queries[i : i + TOGETHER], query_ids[i : i + TOGETHER], least[i : i + TOGETHER], k) for i in range(0, len(queries), TOGETHER)]
+        return pd.concat(parts)
+
+    def _some(self, queries: np.ndarray, own: np.ndarray, least: np.ndarray, k: int) -> pd.DataFrame:
         at, scale = projected_queries(queries, self.reach)
-        bounds = box_distances(at, self.low, self.high)
-        out = []
-        for i, own in enumerate(query_ids.tolist()):
-            rows, scores = self._one(queries[i], own, at[i], scale[i], bounds[i], least[i], k)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": self.ids[rows], "score": scores}))
-        return pd.concat(out)
+        near = (at**2).sum(axis=1)[:, None] + (self.points**2).sum(axis=1)[None, :] - 2 * at @ self.points.T
+        slack = 1e-9 * ((at**2).sum(axis=1) + (self.points**2).sum(axis=1).max(initial=0.0))  # what this sum can be off by
+        lot = min(4 * k + 1, len(self.ids))
+        first = np.argpartition(near, lot - 1, axis=1)[:, :lot]
+        rows, scores = self._best(queries, first, least, own, k)
+        self.verified += first.size
+        np.put_along_axis(near, first, np.inf, 1)
+        kth = lambda: np.maximum(least, scores[:, k - 1] if scores.shape[1] >= k else -np.inf)
+        for low, high in self._runs():
+            inside = (near[:, low:high] <= (self._radii(kth(), scale) + slack)[:, None]) & (near[:, low:high] < np.inf)
+            some = np.flatnonzero(inside.any(axis=1))
+            if not len(some):
+                continue
+            self.verified += int(inside[some].sum())
+            products = queries[some] @ self.vectors[low:high].T
+            products[~inside[some]] = -np.inf
+            margin = 1e-9 * self.reach * np.sqrt((queries[some] ** 2).sum(axis=1))
+            better = products >= (kth()[some] - margin)[:, None]
+            hit = np.flatnonzero(better.any(axis=1))
+            if not len(hit):
+                continue
+            width = int(better[hit].sum(axis=1).max())
+            ranked = np.argsort(~better[hit], axis=1, kind="stable")[:, :width]
+            fresh = np.where(np.take_along_axis(better[hit], ranked, 1), ranked + low, -1)
+            which = some[hit]
+            got = self._best(queries[which], np.concatenate([rows[which], fresh], axis=1), least[which], own[which], k)
+            if rows.shape[1] < got[0].shape[1]:
+                more = got[0].shape[1] - rows.shape[1]
+                rows, scores = np.pad(rows, ((0, 0), (0, more)), constant_values=-1), np.pad(scores, ((0, 0), (0, more)), constant_values=-np.inf)
+            rows[which, : got[0].shape[1]], scores[which, : got[0].shape[1]] = got
+        found = rows >= 0
+        return pd.DataFrame({"query_id": np.repeat(own, found.sum(axis=1)), "vec_id": self.ids[rows[found]], "score": scores[found]})
 
 
 def usable(embeddings: DataFrame) -> DataFrame:

@@ -482,3 +482,21 @@ def test_repeated_query_rows(spark):
     assert ids(100) == list(range(59, 39, -1))
     assert ids(200) == list(range(20))  # of -1, -9 and 1, 0 the former is the query
     assert found[200][0][2] == pytest.approx(-1.0)
+
+
+def test_neighbours_are_searched_for_many_queries_at_once(monkeypatch):
+    """The stopping test was taken for one query at a time, over three times each, which made CPU time grow with the pairs."""
+    rng = np.random.default_rng(29)
+    vectors, calls = rng.standard_normal((3000, 32)), []
+    plain = neighbours.chi_square
+    monkeypatch.setattr(neighbours, "chi_square", lambda *a: calls.append(1) or plain(*a))
+    tree = neighbours.ProjectedTree(vectors, np.arange(3000), float(np.sqrt((vectors**2).sum(axis=1).max())))
+    found = tree.search(vectors[:300], np.arange(300), np.full(300, -np.inf))
+    assert len(calls) < 300
+    hits = 0
+    for q, rows in found.groupby("query_id"):
+        products = vectors @ vectors[q]
+        products[q] = -np.inf
+        hits += len(set(np.argsort(-products)[:20]) & set(rows["vec_id"]))
+        assert rows["score"].to_numpy() == pytest.approx(products[rows["vec_id"]]) and q not in set(rows["vec_id"])
+    assert hits >= 0.9 * 20 * 300
