@@ -1,5 +1,7 @@
 """Searches in blocks against plain versions, and that their shuffles carry names and answers, not pairs."""
 
+from difflib import SequenceMatcher
+
 import pytest
 
 from rollscope.operators import blocks, similarity
@@ -25,16 +27,27 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("search", [similarity.edit_knn, similarity.cosine_knn])
+@pytest.mark.parametrize("search", [similarity.edit_knn, similarity.cosine_knn, similarity.closest_match])
 def test_shuffles_carry_names_and_answers_only(spark, search):
     """Names of few syllables share grams and segments with most queries; pairs that met on these were shuffled before."""
     known = words(23, ["an", "be", "co", "di", "en", "fu"], 5, 2500, 3)
     asked = known[::3]
     before = shuffled(spark)
-    assert len(search(frame(spark, asked), frame(spark, known)).collect()) == len(asked) * 3
+    assert len(search(frame(spark, asked), frame(spark, known)).collect()) == len(asked) * (1 if search is similarity.closest_match else 3)
     assert 0 < shuffled(spark) - before < 0.05 * len(asked) * len(known)
 
 
+def test_closest_match_against_the_standard_library(spark, monkeypatch):
+    """Over several blocks of names and of queries; ties go to the later name."""
+    monkeypatch.setattr(blocks, "NAMES", 60)
+    monkeypatch.setattr(blocks, "QUERIES", 20)
+    known = words(24, "abcdé", 12, 200) + ["ab" * 40]
+    asked = words(25, "abcdéz", 12, 50) + ["", "zzzz", "ba" * 40]
+    for r in similarity.closest_match(frame(spark, asked), frame(spark, known)).collect():
+        ratio, name = max((SequenceMatcher(None, n, r.query, autojunk=False).ratio(), n) for n in known)
+        assert (r.ratio, r.neighbour) == ((pytest.approx(ratio, abs=1e-12), name) if ratio >= 0.6 else (None, None))
+
+
 def test_cosine_knn_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(blocks, "NAMES", 60)
     known, asked = words(26, "abcdefgh", 9, 200, 3), words(27, "abcdefgh", 9, 40, 3)
