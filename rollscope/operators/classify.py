@@ -116,6 +116,10 @@ def frequency_model(df: DataFrame, key: str = "last_name", label: str = "state",
     return ranked.groupBy(key).agg(F.transform(pairs, lambda x: x["label"]).alias("pred"))
 
 
+#: Parts that the training rows of a forest are dealt into, or as many as there are cores.
+FOREST_PARTS = 24
+
+
 def forest_state(
     train: DataFrame, test: DataFrame, label: str = "label", num_trees: int = 100, max_df: float = 0.3, min_df: float = 3,
     depth: int = 14, seed: int = 0, column: str = "last_name",
@@ -124,20 +128,28 @@ def forest_state(
 
     The vocabulary is fitted on the training names: strings in at most a share `max_df` of them and in `min_df` names or more.
     Trees end at `depth` instead of being grown to pure leaves, which Spark's level-wise growth holds in memory.
+
+    Each part of the training rows sends the statistics of every node of a level, whatever rows it has, so the parts do not
+    grow with the rows; draws are made part by part in the order of the rows, so a set number, a sort and
+    a vocabulary in order make them repeat on up to FOREST_PARTS cores.
+    Rows keep the node they have reached in each tree instead of going down from the root at each level.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import CountVectorizer, IndexToString, StringIndexer
+    from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, IndexToString, StringIndexer
 
     def grams(df: DataFrame) -> DataFrame:
         return df.withColumn("_grams", F.concat(char_ngrams(column, 1), char_ngrams(column, 2)))
 
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
+    rows = index.transform(train.na.drop(subset=[column, label]).select(column, label))
+    dealt = rows.repartition(max(FOREST_PARTS, train.sparkSession.sparkContext.defaultParallelism), column).sortWithinPartitions(column, label)
+    rows = kept(grams(dealt))
+    vocabulary = CountVectorizer(inputCol="_grams", outputCol="_x", minDF=min_df, maxDF=max_df).fit(rows).vocabulary
     stages = [
-        CountVectorizer(inputCol="_grams", outputCol="_x", minDF=min_df, maxDF=max_df),
-        RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=num_trees, impurity="entropy", maxDepth=depth, seed=seed, predictionCol="_p", rawPredictionCol="_raw", probabilityCol="_prob"),
+        CountVectorizerModel.from_vocabulary(sorted(vocabulary), inputCol="_grams", outputCol="_x"),
+        RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=num_trees, impurity="entropy", maxDepth=depth, seed=seed, cacheNodeIds=True, predictionCol="_p", rawPredictionCol="_raw", probabilityCol="_prob"),
         IndexToString(inputCol="_p", outputCol="pred", labels=index.labels),
     ]
-    rows = kept(grams(train.na.drop(subset=[column, label])).select(column, label, "_grams"))
-    model = Pipeline(stages=stages).fit(index.transform(rows))
+    model = Pipeline(stages=stages).fit(rows)
     return model.transform(grams(test)).drop("_grams", "_x", "_raw", "_prob", "_p", "_y")

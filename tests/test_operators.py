@@ -134,6 +134,14 @@ def test_naive_bayes(spark):
     assert langs.count() == 5 and langs.filter("last_name = 'x1'").first()["predicted_lang"] is None
 
 
+def test_forest_repeats_however_its_rows_lie(spark):
+    names = ["".join(chr(97 + (i * a + b) % 26) for a, b in ((7, 1), (3, 5), (11, 2), (5, 9))) for i in range(300)]
+    train = spark.createDataFrame([(x, "nsew"[(i * i // 7) % 4]) for i, x in enumerate(names)], "last_name string, label string")
+    test = spark.createDataFrame([(x[::-1],) for x in names], "last_name string")
+    grown = [rows(classify.forest_state(df, test, num_trees=3, depth=4)) for df in (train.coalesce(1), train.orderBy(F.desc("last_name")).repartition(30))]
+    assert grown[0] == grown[1] and len({r[-1] for r in grown[0]}) > 1
+
+
 def test_report_against_hand_counts(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "t string, p string")
     found = {r.label: r for r in evaluate.classification_report(df, "t", "p").collect()}
