@@ -10,6 +10,10 @@ from rollscope.operators.ranking import has_column, keep_first
 from rollscope.sources.shared import kept, stored
 
 
+#: Pairs of a name and a label in one task on average, and rows of a model that is broadcast, at most.
+PAIRS, MODEL_ROWS = 1 << 18, 200_000
+
+
 class NaiveBayes:
     """Multinomial naive Bayes with add-one smoothing, kept as two tables in the shared folder, made in one pass over the rows."""
 
@@ -28,15 +32,18 @@ class NaiveBayes:
             .select("label", F.log(F.col("seen") / F.col("all")).alias("prior"), F.log(F.col("total") + F.col("v")).alias("base")),
             "bayes-labels",
         )
+        self._near = F.broadcast if self.counts.count() <= MODEL_ROWS else lambda table: table
 
     def _distinct(self, names: DataFrame, column: str) -> DataFrame:
-        distinct = names.select(F.col(column).alias("name")).na.drop().distinct()
-        return distinct.withColumn("size", F.greatest(F.length("name") - (self.n - 1), F.lit(0)))
+        """Names and their numbers of grams, in as many parts as their pairs with labels need: by the bytes of names alone too many meet in a task."""
+        distinct = kept(names.select(F.col(column).alias("name")).na.drop().distinct())
+        parts = max(-(-distinct.count() * self.labels.count() // PAIRS), names.sparkSession.sparkContext.defaultParallelism)
+        return distinct.repartition(parts, "name").withColumn("size", F.greatest(F.length("name") - (self.n - 1), F.lit(0)))
 
     def _seen(self, distinct: DataFrame, how: str = "inner") -> DataFrame:
         """(name, label, gain) of labels that a gram of the name has been seen with; with `left` one without label for other grams."""
         grams = distinct.select("name", F.explode_outer(char_ngrams("name", self.n)).alias("gram"))
-        return grams.join(self.counts, "gram", how).groupBy("name", "label").agg(F.sum(F.log(F.col("n") + 1)).alias("gain"))
+        return grams.join(self._near(self.counts), "gram", how).groupBy("name", "label").agg(F.sum(F.log(F.col("n") + 1)).alias("gain"))
 
     def scores(self, names: DataFrame, column: str = "last_name") -> DataFrame:
         """(name, label, score, log_prob) of distinct names and every label, rounded to six places.
@@ -57,7 +64,7 @@ class NaiveBayes:
 
         A label without a gram of the name scores what its prior and the name's length give, so beside the labels seen with
         one only the k best for that length can be among the k best: names meet the model on grams and these on length.
-        Grams, labels and names stay where the names' first shuffle has put them if the model is small enough to broadcast.
+        Grams, labels and names stay where `_distinct` has dealt the names if the model is small enough to broadcast.
         """
         distinct = self._distinct(names, column)
         score = lambda gain: F.round(F.col("prior") + gain - F.col("size") * F.col("base"), 6)
@@ -67,7 +74,7 @@ class NaiveBayes:
         lengths = sizes.withColumn("r", F.row_number().over(first("size"))).filter(F.col("r") <= k)
         unseen = F.broadcast(lengths.groupBy("size").agg(F.collect_list(entry).alias("unseen")))  # a row of k entries a length
         size = F.greatest(F.length("name") - (self.n - 1), F.lit(0))
-        found = self._seen(distinct, "left").join(self.labels, "label", "left").withColumn("size", size).withColumn("score", score(F.col("gain")))
+        found = self._seen(distinct, "left").join(self._near(self.labels), "label", "left").withColumn("size", size).withColumn("score", score(F.col("gain")))
         found = found.withColumn("r", F.row_number().over(first("name"))).filter(F.col("r") <= k)
         seen = found.groupBy("name", "size").agg(F.collect_list(F.when(F.col("label").isNotNull(), entry)).alias("seen"))
         # A label seen, but not among the k, scores better than as unseen, so it cannot come in by that.

@@ -134,6 +134,17 @@ def test_naive_bayes(spark):
     assert langs.count() == 5 and langs.filter("last_name = 'x1'").first()["predicted_lang"] is None
 
 
+def test_bayes_deals_names_by_their_pairs_with_labels(spark, monkeypatch):
+    monkeypatch.setattr(classify, "PAIRS", 2000, raising=False)
+    letters = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(4))
+    model = classify.NaiveBayes(spark.createDataFrame([(letters(i), "nsew"[i % 4]) for i in range(0, 5000, 7)], "last_name string, label string"))
+    asked = spark.createDataFrame([(letters(i),) for i in range(5000)], "last_name string")
+    for found, each in ((model.top_k(asked), 1), (model._seen(model._distinct(asked, "last_name")), 4)):
+        parts = found.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in parts) <= 5000 * each and max(r["count"] for r in parts) <= 2 * 500 * each
+    assert model.top_k(asked).count() == 5000
+
+
 def test_forest_repeats_however_its_rows_lie(spark):
     names = ["".join(chr(97 + (i * a + b) % 26) for a, b in ((7, 1), (3, 5), (11, 2), (5, 9))) for i in range(300)]
     train = spark.createDataFrame([(x, "nsew"[(i * i // 7) % 4]) for i, x in enumerate(names)], "last_name string, label string")
